@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,3 +117,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     named = leaves.unionByName(roots)
     alone = loops.distinct().join(named.select("node").distinct(), "node", "left_anti").select("node", F.col("node").alias("root"))
     return named.unionByName(alone)
+
+
+def batch_map(df: DataFrame, fn, ddl: str) -> DataFrame:
+    """mapInArrow over a generator function of pandas batches.
+
+    ``fn`` takes an iterator of pandas frames and yields dicts of columns. Integer
+    columns with nulls come as objects, so that no id passes through a float.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ship(df.sparkSession)
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+
+    def run(batches):
+        for cols in fn(b.to_pandas(integer_object_nulls=True) for b in batches):
+            arrays = [pa.array(cols[f.name], type=f.type, from_pandas=True) for f in schema]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+
+    return df.mapInArrow(run, ddl)
+
+
+def texts_of(pdf, lo: int = 0, hi: int | None = None) -> list[bytes]:
+    """UTF-8 of the texts of a batch; null is empty."""
+    return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"].iloc[lo:hi]]

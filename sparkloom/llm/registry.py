@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import jaccard, sharding
 
 QUERIES = {
     "op1_reshard_min_cost_flow": sharding.op1,
+    "op2_ngram_jaccard_join": jaccard.op2,
 }
 
 ORACLES: dict[str, str] = {}
