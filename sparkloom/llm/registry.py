@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, sharding
+from . import jaccard, packing, sharding, tokencount
 
 QUERIES = {
     "op1_reshard_min_cost_flow": sharding.op1,
     "op2_ngram_jaccard_join": jaccard.op2,
+    "op5_token_separator_scan": tokencount.op5,
+    "op8_best_two_fit_packing": packing.op8,
 }
 
 ORACLES: dict[str, str] = {}
