@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, sharding, tokencount
+from . import jaccard, langid, packing, quality, sharding, tokencount
 
 QUERIES = {
     "op1_reshard_min_cost_flow": sharding.op1,
     "op2_ngram_jaccard_join": jaccard.op2,
     "op5_token_separator_scan": tokencount.op5,
+    "op7_random_indexing_quality": quality.op7,
     "op8_best_two_fit_packing": packing.op8,
+    "op9_word_first_langid": langid.op9,
 }
 
 ORACLES: dict[str, str] = {}

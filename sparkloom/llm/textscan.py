@@ -86,36 +86,37 @@ def _pieces(texts: list[bytes], table: np.ndarray):
             at = end
 
 
-def word_hashes(texts: list[bytes], table: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and offsets of each text (one more than texts)."""
-    parts: list[np.ndarray] = []
-    counts = np.zeros(len(texts) + 1, np.int64)
+def windows(texts: list[bytes], table: np.ndarray = PLAIN):
+    """Windows over many texts: (bytes, word starts, word ends, word hashes, text number of each word)."""
     group: list[bytes] = []
     owner: list[int] = []
     size = 0
 
-    def flush() -> None:
-        nonlocal size
-        if not group:
-            return
+    def scan():
         buf = np.frombuffer(b"\n".join(group) + b"\n", np.uint8)
-        starts, _, hashes = _scan(buf, table)
+        starts, ends, hashes = _scan(buf, table)
         bounds = np.cumsum([0] + [len(g) + 1 for g in group])
-        n = np.diff(np.searchsorted(starts, bounds))
-        np.add.at(counts, np.asarray(owner) + 1, n)
-        parts.append(hashes)
-        group.clear()
-        owner.clear()
-        size = 0
+        return table[buf], starts, ends, hashes, np.repeat(np.asarray(owner), np.diff(np.searchsorted(starts, bounds)))
 
     for i, piece in _pieces(texts, table):
-        if size + len(piece) > WINDOW:
-            flush()
+        if group and size + len(piece) > WINDOW:
+            yield scan()
+            group, owner, size = [], [], 0
         group.append(piece)
         owner.append(i)
         size += len(piece) + 1
-    flush()
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.cumsum(counts)
+    if group:
+        yield scan()
+
+
+def word_hashes(texts: list[bytes], table: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and offsets of each text (one more than texts)."""
+    parts: list[np.ndarray] = []
+    at = np.zeros(len(texts) + 1, np.int64)
+    for _, _, _, hashes, owner in windows(texts, table):
+        parts.append(hashes)
+        at[1:] += np.bincount(owner, minlength=len(texts))
+    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.cumsum(at)
 
 
 _C = [np.uint64(c) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25)]
