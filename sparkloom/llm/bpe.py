@@ -17,7 +17,7 @@ from array import array
 
 import numpy as np
 
-from .textscan import _power, mix
+from .textscan import mix, powers
 
 LIMIT = 0x250
 #: Pieces kept by a worker before the cache starts anew.
@@ -127,7 +127,7 @@ class Encoder:
         if (end - begin).max() > CHARS:
             keys = np.array([hash(joined[a:b]) & (1 << 64) - 1 for a, b in zip(begin, end, strict=True)], np.uint64)
         else:
-            up, down = _power(n + 1)
+            up, down = powers(n + 1)
             sums = np.empty(n + 1, np.uint64)
             sums[0] = 0
             np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:], dtype=np.uint64)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, packing, quality, sharding, tokencount
+from . import decontam, jaccard, langid, licenses, neardup, packing, pii, quality, sharding, tokencount
 
 QUERIES = {
     "op1_reshard_min_cost_flow": sharding.op1,
     "op2_ngram_jaccard_join": jaccard.op2,
+    "op3_greedy_string_tiling": decontam.op3,
+    "op4_pii_surrogates": pii.op4,
     "op5_token_separator_scan": tokencount.op5,
+    "op6_license_sentence_rules": licenses.op6,
     "op7_random_indexing_quality": quality.op7,
     "op8_best_two_fit_packing": packing.op8,
     "op9_word_first_langid": langid.op9,
+    "op10_rp_forest_near_dedup": neardup.op10,
 }
 
 ORACLES: dict[str, str] = {}

@@ -36,7 +36,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least n of them."""
     size = max(WINDOW * 2, n)
     if size not in _powers:
         _powers.clear()
@@ -60,7 +61,7 @@ def _scan(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         return starts, ends, np.empty(0, np.uint64)
     if (ends - starts).max() > WINDOW:
         return starts, ends, np.array([_long_word(kept[a:b]) for a, b in zip(starts, ends, strict=True)], dtype=np.uint64)
-    up, down = _power(len(buf) + 1)
+    up, down = powers(len(buf) + 1)
     sums = np.empty(len(buf) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(kept * up[: len(buf)], out=sums[1:], dtype=np.uint64)
