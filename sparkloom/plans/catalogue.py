@@ -1,4 +1,340 @@
-"""The queries of the engine's own operators and their SQL twins."""
+"""The queries of the engine's own operators and their SQL twins.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+``same`` takes SQL that both engines read (after the dialect's rewriting on our
+side); ``pair`` takes a DataFrame plan and the SQL that says the same.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sparkloom.dialect import rewrite
+from sparkloom.functions import compat, json, text_search
+from sparkloom.fts.index import Index
+from sparkloom.operators import relational as rel
+from sparkloom.sources import tables as src
+from sparkloom.store import dml
+from sparkloom.store.partition import Partitioning
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def pair(name: str, plan: Callable[..., DataFrame], oracle: str | None) -> None:
+    """``plan`` takes a function that reads a table by name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return plan(lambda t: src.table(spark, sf_dir, t))
+
+    QUERIES[name] = run
+    if oracle:
+        ORACLES[name] = oracle
+
+
+def same(name: str, text: str, oracle: str | None = None, args: dict | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        src.views(spark, sf_dir, text)
+        return spark.sql(rewrite(text), args=args)
+
+    QUERIES[name] = run
+    ORACLES[name] = oracle or text
+
+
+# --- scans, projection, filters ---
+same("scan_project", "SELECT o_orderkey, o_totalprice AS price, o_orderstatus FROM orders")
+same("expr_project", "SELECT o_orderkey, o_totalprice * 2 AS twice, o_custkey + 1 AS next_cust, -o_custkey AS neg FROM orders")
+pair("point_lookup", lambda t: src.point_lookup(t("orders"), "o_orderkey", 77).select("o_orderkey", "o_custkey"), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77")
+pair("range_lookup", lambda t: src.range_lookup(t("orders"), "o_orderkey", 100, 199).select("o_orderkey", "o_custkey"), "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 100 AND 199")
+pair("columnar_scan_predicate", lambda t: t("lineitem").where((F.col("l_quantity") >= 45) & (F.col("l_discount") < 0.02)).select("l_orderkey", "l_linenumber", "l_quantity"), "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_discount < 0.02")
+same("values_rows", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS v(id, name)")
+same("filter_and_or_not", "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 300000) AND NOT o_orderpriority = '1-URGENT'")
+same("comparison_ops", "SELECT o_orderkey FROM orders WHERE o_custkey <> 5 AND o_custkey >= 10 AND o_custkey <= 400 AND o_totalprice < 200000 AND o_orderkey > 3 AND o_orderstatus != 'P'")
+same("in_list", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+pair(
+    "in_list_null_compat",
+    lambda t: t("customer").withColumn("seg", F.expr("nullif(c_mktsegment, 'BUILDING')")).where(compat.compat_not_in(F.col("seg"), ["MACHINERY", None])).select("c_custkey", "seg"),
+    "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer WHERE nullif(c_mktsegment, 'BUILDING') IS NOT NULL AND nullif(c_mktsegment, 'BUILDING') NOT IN ('MACHINERY')",
+)
+same("not_in_list_null", "SELECT c_custkey FROM customer WHERE nullif(c_mktsegment, 'BUILDING') NOT IN ('MACHINERY', 'AUTOMOBILE')")
+pair("in_subquery_semi", lambda t: rel.in_subquery(t("customer"), "c_custkey", t("orders").where("o_totalprice > 400000").select("o_custkey")).select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+pair(
+    "not_in_subquery_anti",
+    lambda t: rel.not_in_subquery(t("customer"), "c_custkey", t("orders").select(F.expr("nullif(o_custkey, 3)"))).select("c_custkey"),
+    "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE nullif(o_custkey, 3) = c_custkey)",
+)
+same("between", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 100000 AND 150000 AND o_custkey NOT BETWEEN 10 AND 20")
+same("like", "SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'r%' AND p_name NOT LIKE '%g_t'")
+same("ilike", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE 'ECO%' AND p_name NOT ILIKE 'RED%'")
+same("is_null", "SELECT c_custkey, nullif(c_nationkey, 3) IS NULL AS no_nation, nullif(c_nationkey, 3) IS NOT NULL AS has_nation FROM customer")
+same("case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'final' WHEN 'O' THEN 'open' ELSE 'other' END AS status FROM orders")
+same("case_searched", "SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'big' WHEN o_totalprice > 100000 THEN 'middle' END AS size FROM orders")
+pair("compat_not_null_logic", lambda t: t("customer").where(compat.compat_not(F.expr("nullif(c_nationkey, 3) = 5"))).select("c_custkey"), "SELECT c_custkey FROM customer WHERE NOT coalesce(nullif(c_nationkey, 3) = 5, false)")
+pair("arith_int_div", lambda t: t("orders").select("o_orderkey", compat.int_div(F.col("o_orderkey") - 5000, F.lit(7)).alias("q")), "SELECT o_orderkey, ((o_orderkey - 5000) // 7)::BIGINT AS q FROM orders")
+same("scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
+same("boolean_subquery", "SELECT r_regionkey FROM region WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey > 20)")
+same("exists_corr", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 350000)")
+same("not_exists_corr", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+same("corr_scalar_avg", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
+same("corr_in", "SELECT c_custkey FROM customer c WHERE 'F' IN (SELECT o_orderstatus FROM orders o WHERE o.o_custkey = c.c_custkey)")
+same("prepared_params", "SELECT o_orderkey FROM orders WHERE o_custkey = $1 OR o_orderstatus = $2 AND o_totalprice > $3", "SELECT o_orderkey FROM orders WHERE o_custkey = 7 OR o_orderstatus = 'F' AND o_totalprice > 400000", args={"p1": 7, "p2": "F", "p3": 400000})
+same("cast_matrix", "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR(20)) AS as_text, CAST('12' AS INT) AS as_int, CAST(o_custkey AS INT) AS narrowed, CAST(o_orderkey % 2 AS BOOLEAN) AS flag, CAST('2024-03-01' AS DATE) AS d FROM orders")
+pair("cast_text_bool", lambda t: t("orders").select("o_orderkey", compat.to_bool(F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'false' END")).alias("b")), "SELECT o_orderkey, o_orderkey % 2 = 0 AS b FROM orders")
+pair("cast_ts_text", lambda t: t("orders").select("o_orderkey", compat.rfc3339(F.col("o_orderdate")).alias("s")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS s FROM orders")
+
+# --- joins ---
+same("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+same("join_theta", "SELECT a.n_name AS lo, b.n_name AS hi FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+same("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000")
+same("join_right", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_orderstatus = 'P'")
+same("join_full", "SELECT a.c_custkey AS a, b.s_suppkey AS b FROM customer a FULL JOIN supplier b ON a.c_custkey = b.s_suppkey * 3")
+same("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+same("join_comma", "SELECT r_name, n_name FROM region, nation WHERE r_regionkey = n_regionkey")
+same("join_self", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_regionkey = b.n_nationkey")
+same("join_derived", "SELECT c_name, x.total FROM customer JOIN (SELECT o_custkey, count(*) AS total FROM orders GROUP BY o_custkey) x ON x.o_custkey = c_custkey")
+same("join_cte", "WITH big AS (SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 300000) SELECT c_name, o_orderkey FROM customer JOIN big ON c_custkey = o_custkey")
+same("join_multi", "SELECT c_name, o_orderkey, l_linenumber, s_name, l_quantity FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_totalprice > 300000")
+pair(
+    "join_lateral_topk",
+    lambda t: rel.top_per_key(t("customer").select(F.col("c_custkey").alias("k"), "c_name"), t("orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_totalprice"), "k", [F.desc("o_totalprice"), F.asc("o_orderkey")], 2).select(F.col("k").alias("c_custkey"), "o_orderkey"),
+    "SELECT c_custkey, x.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) x",
+)
+pair(
+    "join_left_lateral",
+    lambda t: rel.top_per_key(t("customer").select(F.col("c_custkey").alias("k")), t("orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("k"), "o_orderkey"), "k", [F.asc("o_orderkey")], 1, "left").select(F.col("k").alias("c_custkey"), "o_orderkey"),
+    "SELECT c_custkey, x.o_orderkey FROM customer LEFT JOIN LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000 ORDER BY o_orderkey LIMIT 1) x ON true",
+)
+same("join_lateral_agg", "SELECT c_custkey, x.n FROM customer, LATERAL (SELECT count(*) AS n FROM orders WHERE o_custkey = c_custkey) x")
+
+# --- aggregation ---
+same("agg_global", "SELECT count(*) AS n, count(nullif(o_orderstatus, 'F')) AS n_open, CAST(sum(o_custkey) AS BIGINT) AS s, round(avg(o_totalprice), 4) AS a, min(o_orderdate) AS lo, max(o_orderpriority) AS hi FROM orders")
+same("agg_empty", "SELECT count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS s, max(o_totalprice) AS m FROM orders WHERE o_orderkey < 0")
+same("agg_group", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY o_orderstatus, o_orderpriority")
+same(
+    "groupby_having",
+    "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_extendedprice), 4) AS avg_price, min(l_discount) AS lo, max(l_tax) AS hi FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10",
+)
+pair("agg_avg_trunc", lambda t: t("orders").groupBy("o_orderstatus").agg(compat.avg_trunc("o_custkey").alias("a")), "SELECT o_orderstatus, (sum(o_custkey) // count(o_custkey))::BIGINT AS a FROM orders GROUP BY o_orderstatus")
+same("having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12 AND max(o_totalprice) > 100000")
+same("count_distinct", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderstatus")
+same("agg_expression_group", "SELECT o_custkey % 10 AS bucket, count(*) AS n FROM orders GROUP BY o_custkey % 10")
+same("grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, min(o_custkey) AS lo FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+same("rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+same("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+same("grouping_fn", "SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) AS BIGINT) AS g1, CAST(grouping(o_orderpriority) AS BIGINT) AS g2, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+same("grouping_mixed", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderstatus, ROLLUP (o_orderpriority)")
+same("grouping_having", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority) HAVING count(*) > 500")
+same("agg_over_cte", "WITH x AS (SELECT o_orderstatus AS s, o_totalprice AS p FROM orders WHERE o_custkey < 500) SELECT s, count(*) AS n, round(avg(p), 4) AS a FROM x GROUP BY s")
+same("distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+same("distinct_on", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+
+# --- windows ---
+_W = "PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey"
+for _name, _expr in {
+    "row_number": f"row_number() OVER ({_W})",
+    "rank": "rank() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey)",
+    "dense_rank": "dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_custkey)",
+    "ntile": f"ntile(4) OVER ({_W})",
+    "lag": f"lag(o_orderkey) OVER ({_W})",
+    "lag_default": f"lag(o_orderkey, 2, CAST(-1 AS BIGINT)) OVER ({_W})",
+    "lead": f"lead(o_orderkey, 1) OVER ({_W})",
+    "first": f"first_value(o_orderkey) OVER ({_W})",
+    "last": f"last_value(o_orderkey) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    "last_running": f"last_value(o_orderkey) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "nth": f"nth_value(o_orderkey, 2) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    "sum_frame": f"CAST(sum(o_orderkey) OVER ({_W} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT)",
+    "count_frame": f"count(*) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)",
+    "avg_frame": f"round(avg(o_totalprice) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4)",
+    "min_frame": f"min(o_totalprice) OVER ({_W} ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)",
+    "max_frame": f"max(o_totalprice) OVER ({_W} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)",
+    "running_default": f"CAST(sum(o_orderkey) OVER ({_W}) AS BIGINT)",
+    "partition_total": "CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey) AS BIGINT)",
+}.items():
+    same(f"win_{_name}", f"SELECT o_orderkey, {_expr} AS w FROM orders")
+pair(
+    "win_ntile_compat",
+    lambda t: t("orders").select("o_orderkey", compat.ntile_spread(4, Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey"), ["o_custkey"]).alias("w")),
+    f"SELECT o_orderkey, ((row_number() OVER ({_W}) - 1) * 4 // count(*) OVER (PARTITION BY o_custkey) + 1)::BIGINT AS w FROM orders",
+)
+same("win_over_group", "SELECT o_custkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM orders GROUP BY o_custkey")
+
+# --- sort, limit, set operations ---
+same("order_nulls", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY nullif(o_orderstatus, 'F'), o_orderkey LIMIT 4000", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY nullif(o_orderstatus, 'F') NULLS LAST, o_orderkey LIMIT 4000")
+same("order_nulls_desc", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC, o_orderkey LIMIT 4000", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey LIMIT 4000")
+same("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 30")
+same("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+pair("limit_subquery", lambda t: rel.limit_subquery(t("orders").select("o_orderkey").orderBy("o_orderkey"), t("region").agg(F.count("*"))), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT (SELECT count(*) FROM region)")
+same("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+same("union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+same("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+same("intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+same("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+same("except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+pair("intersect_all_compat", lambda t: rel.intersect_all_set(t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").where("s_suppkey < 10").select("s_nationkey")), "SELECT c_nationkey AS k FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 10)")
+pair("except_all_compat", lambda t: rel.except_all_set(t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").where("s_suppkey < 10").select("s_nationkey")), "SELECT c_nationkey AS k FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 10)")
+same("setop_order_limit", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier ORDER BY k LIMIT 5 OFFSET 2")
+same("setop_chain", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier EXCEPT SELECT n_regionkey FROM nation")
+same("setop_with", "WITH a AS (SELECT o_custkey AS k FROM orders WHERE o_totalprice > 300000) SELECT k FROM a UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+
+# --- common table expressions, views ---
+same("cte_multi", "WITH a(k, p) AS (SELECT o_custkey, o_totalprice FROM orders), b AS (SELECT k, max(p) AS top FROM a GROUP BY k) SELECT k, top FROM b WHERE top > 300000")
+same("cte_setop", "WITH u AS (SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier) SELECT count(*) AS n FROM u")
+same("cte_recursive", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT n FROM t")
+pair(
+    "cte_recursive_union",
+    lambda t: rel.recursive_union(
+        t("nation").where("n_nationkey = 7").select(F.col("n_nationkey").alias("k")),
+        lambda new: new.join(t("nation"), F.col("k") == F.col("n_regionkey")).select((F.col("n_nationkey") % 11).alias("k")),
+    ).select(F.col("k").cast("int").alias("k")),
+    "WITH RECURSIVE r(k) AS (SELECT n_nationkey FROM nation WHERE n_nationkey = 7 UNION SELECT n_nationkey % 11 FROM r JOIN nation ON k = n_regionkey) SELECT k FROM r",
+)
+
+
+def _view(t) -> DataFrame:
+    t("orders").where("o_totalprice > 200000").select("o_orderkey", "o_custkey").createOrReplaceTempView("big_orders_view")
+    return t("orders").sparkSession.sql("SELECT o_custkey, count(*) AS n FROM big_orders_view GROUP BY o_custkey")
+
+
+pair("view_query", _view, "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 200000 GROUP BY o_custkey")
+
+# --- scalar functions ---
+same("fn_string_case", "SELECT p_partkey, upper(p_name) AS u, lower(p_type) AS l, length(p_name) AS n, reverse(p_name) AS r, replace(p_name, 'red', 'blue') AS rep FROM part")
+pair("fn_length_bytes", lambda t: t("documents").select("doc_id", compat.byte_length(F.col("text")).alias("b"), F.length("text").cast("long").alias("c")), "SELECT doc_id, strlen(text)::BIGINT AS b, length(text)::BIGINT AS c FROM documents")
+pair("fn_concat_skip", lambda t: t("part").select("p_partkey", compat.concat_skip(F.col("p_name"), F.expr("nullif(p_type, 'ECONOMY')"), F.lit("!")).alias("s")), "SELECT p_partkey, concat(p_name, nullif(p_type, 'ECONOMY'), '!') AS s FROM part")
+pair("fn_substr", lambda t: t("part").select("p_partkey", compat.substr_clamped(F.col("p_name"), 0, 3).alias("a"), compat.substr_clamped(F.col("p_name"), 2, 4).alias("b"), compat.substr_clamped(F.col("p_name"), 50, 2).alias("c")), "SELECT p_partkey, substr(p_name, 1, 3) AS a, substr(p_name, 2, 4) AS b, substr(p_name, 50, 2) AS c FROM part")
+same("fn_trim", "SELECT p_partkey, trim(concat('  ', p_name, ' ')) AS t, ltrim(concat('  ', p_name)) AS l, rtrim(concat(p_name, '  ')) AS r FROM part")
+same("fn_position", "SELECT p_partkey, CAST(position('e' IN p_name) AS INT) AS p FROM part")
+same("fn_repeat", "SELECT p_partkey, repeat(p_brand, 2) AS r FROM part")
+pair("fn_lpad_compat", lambda t: t("part").select("p_partkey", compat.lpad_tail(F.col("p_name"), 9, "xyz").alias("s")), "SELECT p_partkey, right(concat(repeat('xyz', ceil(greatest(9 - length(p_name), 0) / 3)::INT), p_name), 9) AS s FROM part")
+same("fn_pad", "SELECT p_partkey, lpad(p_name, 12, '*') AS l, rpad(p_name, 12, 'ab') AS r FROM part")
+same("fn_conditional", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), 'none') AS s, nullif(c_nationkey, 4) AS n FROM customer")
+same("fn_math", "SELECT o_orderkey, abs(o_custkey - 500) AS a, o_custkey % 7 AS m, round(o_totalprice, 1) AS r, CAST(floor(o_totalprice) AS BIGINT) AS f, CAST(ceil(o_totalprice) AS BIGINT) AS c FROM orders")
+pair("fn_math_int", lambda t: t("part").select("p_partkey", compat.int_pow(F.col("p_size"), F.lit(2)).alias("sq"), compat.int_sqrt(F.col("p_partkey")).alias("root")), "SELECT p_partkey, (p_size * p_size)::BIGINT AS sq, floor(sqrt(p_partkey))::BIGINT AS root FROM part")
+same("fn_date_parts", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(month(o_orderdate) AS INT) AS m, CAST(day(o_orderdate) AS INT) AS d FROM orders")
+same("fn_time_parts", "SELECT event_id, CAST(hour(ts) AS INT) AS h, CAST(minute(ts) AS INT) AS mi, CAST(second(ts) AS INT) AS s FROM events")
+same("fn_extract", "SELECT event_id, CAST(EXTRACT(YEAR FROM ts) AS INT) AS y, CAST(EXTRACT(SECOND FROM ts) AS INT) AS s FROM events")
+same("fn_date_add", "SELECT o_orderkey, DATE_ADD(o_orderdate, INTERVAL 1 MONTH) AS m, DATE_SUB(o_orderdate, INTERVAL 3 DAY) AS d FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL 1 MONTH AS m, o_orderdate - INTERVAL 3 DAY AS d FROM orders")
+pair("fn_now", lambda t: t("region").select("r_regionkey", (F.current_timestamp() >= F.lit("2024-01-01").cast("timestamp")).alias("later"), (F.date_trunc("day", F.current_timestamp()) <= F.current_timestamp()).alias("today")), "SELECT r_regionkey, true AS later, true AS today FROM region")
+
+# --- JSON ---
+same("json_get_text", "SELECT event_id, props->>'k' AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+same("json_get", "SELECT event_id, props->'k' AS k FROM events WHERE props->>'k' = '7'", "SELECT event_id, json_extract(props, '$.k')::VARCHAR AS k FROM events WHERE json_extract_string(props, '$.k') = '7'")
+same("json_path", "SELECT event_id, concat('{\"a\": ', props, '}') #>> '{a,k}' AS k FROM events", "SELECT event_id, json_extract_string(concat('{\"a\": ', props, '}'), '$.a.k') AS k FROM events")
+pair("json_has_key", lambda t: t("events").select("event_id", json.has_key(F.col("props"), "k").alias("h"), json.has_key(F.col("props"), "x").alias("n")), "SELECT event_id, list_contains(json_keys(props), 'k') AS h, list_contains(json_keys(props), 'x') AS n FROM events")
+pair("json_any_all", lambda t: t("events").select("event_id", json.has_any(F.col("props"), ["x", "k"]).alias("some"), json.has_all(F.col("props"), ["x", "k"]).alias("every")), "SELECT event_id, list_has_any(json_keys(props), ['x', 'k']) AS some, list_has_all(json_keys(props), ['x', 'k']) AS every FROM events")
+pair("json_contains", lambda t: t("events").where(json.contains(F.col("props"), F.lit('{"k": 7}'))).select("event_id"), "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7'")
+pair("json_valid", lambda t: t("events").select("event_id", json.is_valid(F.concat("props", F.expr("CASE WHEN event_id % 2 = 0 THEN '' ELSE '}' END"))).alias("v")), "SELECT event_id, event_id % 2 = 0 AS v FROM events")
+
+
+# --- text search ---
+def _stem_sql(w: str) -> str:
+    out = f"CASE WHEN length({w}) > 3 AND right({w}, 1) = 's' AND right({w}, 2) <> 'ss' THEN left({w}, length({w}) - 1) ELSE {w} END"
+    for s in reversed(text_search.SUFFIXES):
+        n = len(s)
+        out = f"CASE WHEN length({w}) > {n + 2} AND right({w}, {n}) = '{s}' THEN left({w}, length({w}) - {n}) ELSE {out} END"
+    return out
+
+
+def _stems_sql(text: str) -> str:
+    words = f"list_transform(string_split_regex(trim(regexp_replace(lower({text}), '\\s+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g'))"
+    return f"list_transform(list_filter({words}, lambda w: length(w) > 1), lambda w: {_stem_sql('w')})"
+
+
+pair("fts_match", lambda t: t("part").where(text_search.match(F.col("p_name"), F.lit("red rings"))).select("p_partkey", "p_name"), f"SELECT p_partkey, p_name FROM part WHERE list_has_any({_stems_sql('p_name')}, ['red', 'ring', 'r'])")
+pair("fts_match_docs", lambda t: t("documents").where(text_search.match(F.col("text"), F.lit("whether herself"))).select("doc_id"), f"SELECT doc_id FROM documents WHERE list_has_any({_stems_sql('text')}, ['wheth', 'herself'])")
+pair(
+    "fts_rank",
+    lambda t: t("documents").select("doc_id", F.round(text_search.rank(F.col("text"), F.lit("oner eating")), 8).alias("r")),
+    f"SELECT doc_id, CASE WHEN len(s) = 0 THEN 0.0 ELSE round((len(list_filter(s, lambda x: x = 'oner')) + len(list_filter(s, lambda x: x = 'eat'))) / len(s)::DOUBLE, 8) END AS r FROM (SELECT doc_id, {_stems_sql('text')} AS s FROM documents)",
+)
+pair("fts_tsvector", lambda t: t("part").select("p_partkey", text_search.to_tsvector(F.col("p_name")).alias("v")), None)
+pair("fts_tsquery", lambda t: t("part").select("p_partkey", text_search.to_tsquery(F.concat_ws(" & ", F.split("p_name", " "))).alias("q"), text_search.to_tsquery(F.col("p_name"), True).alias("plain")), None)
+pair("fts_headline", lambda t: t("documents").select("doc_id", text_search.headline(F.col("text"), F.lit("the oner")).alias("h")), None)
+pair("fts_normalize", lambda t: t("documents").select("doc_id", F.md5(text_search.normalize_text(F.col("text"))).alias("m")), None)
+
+
+def _index(t) -> Index:
+    return Index.build(t("part"), "p_partkey", "p_name")
+
+
+pair("fts_boolean", lambda t: _index(t).retrieve("+red -widget"), "SELECT p_partkey AS doc_id FROM part WHERE list_contains(string_split(p_name, ' '), 'red') AND NOT list_contains(string_split(p_name, ' '), 'widget')")
+pair("fts_prefix", lambda t: _index(t).retrieve("wid*"), "SELECT p_partkey AS doc_id FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda w: w LIKE 'wid%')) > 0")
+pair("fts_fuzzy", lambda t: _index(t).retrieve("rad~"), "SELECT p_partkey AS doc_id FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda w: levenshtein(w, 'rad') <= 2)) > 0")
+pair("fts_phrase", lambda t: _index(t).retrieve('"red widget"'), "SELECT p_partkey AS doc_id FROM part WHERE p_name LIKE 'red widget%' OR p_name LIKE '% red widget%'")
+pair("fts_bm25", lambda t: _index(t).search("small ring"), None)
+pair("fts_stats", lambda t: _index(t).stats().select("docs", "terms"), None)
+
+# --- changes of tables: the rows after the change ---
+pair(
+    "insert_select_defaults",
+    lambda t: dml.insert(t("nation"), t("region").select((F.col("r_regionkey") + 100).alias("n_nationkey"), F.col("r_name").alias("n_name")), {"n_regionkey": 0}),
+    "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT r_regionkey + 100, r_name, 0 FROM region",
+)
+pair(
+    "insert_auto_increment",
+    lambda t: dml.insert(t("nation"), t("region").select(F.col("r_name").alias("n_name"), F.col("r_regionkey").alias("n_regionkey")), auto="n_nationkey", order=["n_regionkey"]),
+    "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT ((SELECT max(n_nationkey) FROM nation) + row_number() OVER (ORDER BY r_regionkey))::INT, r_name, r_regionkey FROM region",
+)
+_NEW = "SELECT c_custkey + 700 AS c_custkey, concat('new ', c_name) AS c_name, c_nationkey, 1.5 AS c_acctbal, c_mktsegment FROM customer"
+pair(
+    "upsert_nothing",
+    lambda t: dml.upsert(t("customer"), t("customer").selectExpr("c_custkey + 700 c_custkey", "concat('new ', c_name) c_name", "c_nationkey", "1.5D c_acctbal", "c_mktsegment"), ["c_custkey"]),
+    f"SELECT * FROM customer UNION ALL SELECT * FROM ({_NEW}) WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)",
+)
+pair(
+    "upsert_update",
+    lambda t: dml.upsert(t("customer"), t("customer").selectExpr("c_custkey + 700 c_custkey", "concat('new ', c_name) c_name", "c_nationkey", "1.5D c_acctbal", "c_mktsegment"), ["c_custkey"], {"c_name": F.col("excluded.c_name"), "c_acctbal": F.col("t.c_acctbal") + F.col("excluded.c_acctbal")}),
+    f"SELECT c.c_custkey, coalesce(n.c_name, c.c_name) AS c_name, c.c_nationkey, c.c_acctbal + coalesce(n.c_acctbal, 0)::DOUBLE AS c_acctbal, c.c_mktsegment FROM customer c LEFT JOIN ({_NEW}) n ON n.c_custkey = c.c_custkey UNION ALL SELECT * FROM ({_NEW}) WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)",
+)
+pair("update_where", lambda t: dml.update(t("orders"), {"o_totalprice": F.lit(0.0)}, F.col("o_orderstatus") == "F").select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders")
+pair(
+    "update_from",
+    lambda t: dml.update_from(t("orders"), t("customer"), F.col("t.o_custkey") == F.col("s.c_custkey"), {"o_orderpriority": F.col("s.c_mktsegment")}, ["o_orderkey"], [F.col("s.c_custkey")]).select("o_orderkey", "o_orderpriority"),
+    "SELECT o_orderkey, coalesce(c_mktsegment, o_orderpriority) AS o_orderpriority FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+)
+pair("delete_where", lambda t: dml.delete(t("orders"), F.expr("nullif(o_orderstatus, 'P') = 'F'")).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
+pair("delete_using", lambda t: dml.delete_using(t("orders"), t("customer").where("c_acctbal < 0"), F.col("t.o_custkey") == F.col("s.c_custkey")).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)")
+pair(
+    "merge_full",
+    lambda t: dml.merge(
+        t("supplier").select("s_suppkey", "s_name", "s_acctbal"),
+        t("customer").where("c_custkey % 2 = 0").select("c_custkey", "c_name", "c_acctbal"),
+        [("s_suppkey", "c_custkey")],
+        [
+            dml.When(True, "delete", condition=F.col("s.c_acctbal") < 0),
+            dml.When(True, "update", {"s_acctbal": F.col("t.s_acctbal") + F.col("s.c_acctbal")}),
+            dml.When(False, "insert", {"s_suppkey": F.col("s.c_custkey"), "s_name": F.col("s.c_name"), "s_acctbal": F.col("s.c_acctbal")}, F.col("s.c_acctbal") > 5000),
+        ],
+        ["c_custkey"],
+    ).withColumn("s_acctbal", F.round("s_acctbal", 4)),
+    "SELECT s_suppkey, s_name, round(CASE WHEN c_custkey IS NULL THEN s_acctbal ELSE s_acctbal + c_acctbal END, 4) AS s_acctbal FROM supplier LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) c ON s_suppkey = c_custkey WHERE c_custkey IS NULL OR c_acctbal >= 0 UNION ALL SELECT c_custkey, c_name, round(c_acctbal, 4) FROM customer WHERE c_custkey % 2 = 0 AND c_acctbal > 5000 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
+)
+pair("truncate", lambda t: dml.delete(t("region")), "SELECT * FROM region WHERE false")
+pair("check_violations", lambda t: dml.check_violations(t("customer"), F.expr("nullif(c_nationkey, 3) < 20")).select("c_custkey"), "SELECT c_custkey FROM customer WHERE NOT coalesce(nullif(c_nationkey, 3) < 20, false)")
+pair("not_null_violations", lambda t: dml.not_null_violations(t("customer").withColumn("n", F.expr("nullif(c_nationkey, 3)")), ["n", "c_name"]).select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_nationkey = 3")
+pair("unique_violations", lambda t: dml.unique_violations(t("lineitem"), ["l_orderkey", "l_linenumber"]), "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+pair("fk_violations", lambda t: dml.fk_violations(t("orders"), t("customer").where("c_nationkey <> 3"), [("o_custkey", "c_custkey")]).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)")
+
+# --- partitioning ---
+_RANGE = Partitioning("range", "o_custkey", bounds=[("p0", 100), ("p1", 500), ("p2", None)])
+_LIST = Partitioning("list", "c_mktsegment", lists=[("north", ["BUILDING", "MACHINERY"]), ("south", ["HOUSEHOLD"])])
+_HASH = Partitioning("hash", "c_name", buckets=4)
+pair("partition_range_route", lambda t: t("orders").select("o_orderkey", _RANGE.route().alias("p")), "SELECT o_orderkey, CASE WHEN o_custkey < 100 THEN 'p0' WHEN o_custkey < 500 THEN 'p1' ELSE 'p2' END AS p FROM orders")
+pair("partition_list_route", lambda t: t("customer").select("c_custkey", _LIST.route().alias("p")), "SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'north' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'south' END AS p FROM customer")
+pair(
+    "partition_hash_route",
+    lambda t: t("customer").select("c_custkey", _HASH.route().alias("p")),
+    "SELECT c_custkey, concat('p', (list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 4)::VARCHAR) AS p FROM customer",
+)
+pair("partition_prune", lambda t: t("orders").withColumn("_part", _RANGE.route()).where(F.col("_part").isin(_RANGE.prune(">=", 500))).where("o_custkey >= 500").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_custkey >= 500")
+pair("shard_scatter_gather", lambda t: t("orders").repartition(8, "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n")), "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+
+
+def _columns(t) -> DataFrame:
+    frames = {n: t(n) for n in ("region", "nation")}
+    return src.information_schema(frames["region"].sparkSession, frames)["columns"].select("table_name", "column_name", "ordinal_position")
+
+
+pair("information_schema_columns", _columns, "SELECT * FROM (VALUES ('region', 'r_regionkey', 1), ('region', 'r_name', 2), ('nation', 'n_nationkey', 1), ('nation', 'n_name', 2), ('nation', 'n_regionkey', 3)) AS v(table_name, column_name, ordinal_position)")
