@@ -86,13 +86,19 @@ def linked(inter, na, nb, percent: int):
 def _describe(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         sketch = np.zeros(SKETCH, np.int64)
+        done: set[int] = set()
         for pdf in batches:
             for lo, hi in T.groups(list(pdf["text"])):
                 sets = T.shingle_sets(texts_of(pdf, lo, hi), k)
                 sketch += np.bincount(_bucket(np.concatenate(sets)), minlength=SKETCH)
-                yield {"doc_id": pdf["doc_id"].iloc[lo:hi], "n": [len(s) for s in sets], "node": [_set_key(s) if len(s) else None for s in sets], "sketch": [None] * len(sets)}
+                nodes = [_set_key(s) if len(s) else None for s in sets]
+                bits = []
+                for node, s in zip(nodes, sets, strict=True):
+                    bits.append(None if node is None or node in done else bitmap(s, bitmap_bits(len(s))).tobytes())
+                    done.add(node)
+                yield {"doc_id": pdf["doc_id"].iloc[lo:hi], "n": [len(s) for s in sets], "node": nodes, "bits": bits, "sketch": [None] * len(sets)}
         if sketch.any():
-            yield {"doc_id": [None], "n": [-1], "node": [None], "sketch": [zlib.compress(sketch.astype("<i8").tobytes(), 1)]}
+            yield {"doc_id": [None], "n": [-1], "node": [None], "bits": [None], "sketch": [zlib.compress(sketch.astype("<i8").tobytes(), 1)]}
 
     return run
 
@@ -207,35 +213,63 @@ def _sets(k: int):
         for pdf in batches:
             for lo, hi in T.groups(list(pdf["text"])):
                 sets = [s for s in T.shingle_sets(texts_of(pdf, lo, hi), k) if len(s)]
-                yield {"node": [_set_key(s) for s in sets], "n": [len(s) for s in sets], "bits": [bitmap(s, bitmap_bits(len(s))).tobytes() for s in sets], "items": [s.tobytes() for s in sets]}
+                yield {"node": [_set_key(s) for s in sets], "items": [s.tobytes() for s in sets]}
 
     return run
 
 
-def _verify(percent: int):
+def _bounded(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
             good = np.zeros(len(pdf), bool)
-            for i, (na, nb, ba, bb, ia, ib) in enumerate(zip(pdf["na"], pdf["nb"], pdf["bits_a"], pdf["bits_b"], pdf["items_a"], pdf["items_b"], strict=True)):
-                x, y = np.frombuffer(ba, np.uint64), np.frombuffer(bb, np.uint64)
+            for i, (na, nb, a, b) in enumerate(zip(pdf["na"], pdf["nb"], pdf["bits_a"], pdf["bits_b"], strict=True)):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 bits = 64 * min(len(x), len(y))
-                if not linked(overlap_bound(fold(x, bits), na, fold(y, bits), nb), na, nb, percent):
-                    continue
-                a, b = np.frombuffer(ia, np.uint64), np.frombuffer(ib, np.uint64)
+                good[i] = linked(overlap_bound(fold(x, bits), na, fold(y, bits), nb), na, nb, percent)
+            yield {"a": pdf["a"].to_numpy()[good], "b": pdf["b"].to_numpy()[good]}
+
+    return run
+
+
+def _exact(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        for pdf in batches:
+            good = np.zeros(len(pdf), bool)
+            for i, (x, y) in enumerate(zip(pdf["items_a"], pdf["items_b"], strict=True)):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 at = np.searchsorted(b, a)
                 inter = int((b[np.minimum(at, len(b) - 1)] == a).sum())
-                good[i] = linked(inter, na, nb, percent)
+                good[i] = linked(inter, len(a), len(b), percent)
             yield {"a": pdf["a"].to_numpy()[good], "b": pdf["b"].to_numpy()[good]}
 
     return run
 
 
-def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the node pairs (a, b), those that are linked."""
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits_{s}"), F.col("items").alias(f"items_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def _both_ends(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Pairs (a, b) with columns of each end's node: a column c named in ``columns`` as x becomes xa, xb."""
+    side = lambda s: table.select(F.col("node").alias(s), *(F.col(c).alias(x + s) for c, x in columns.items()))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _bound(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Of the node pairs (a, b), those that sizes and bitmaps leave."""
+    both = _both_ends(pairs, bits, {"n": "n", "bits": "bits_"})
     fits = (F.least("na", "nb") * 100) >= (F.greatest("na", "nb") * percent)
-    return batch_map(both.where(fits), _verify(percent), "a long, b long")
+    return batch_map(both.where(fits), _bounded(percent), "a long, b long")
+
+
+def _intersect(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the node pairs (a, b), those that are linked; the sets come from the texts of one document of each node."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = materialize(wanted.join(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").select("doc_id").where("doc_id is not null").distinct())
+    few = ids.count() <= BROADCAST_IDS
+    chosen = docs.where("text is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    chosen = chosen.unionByName(docs.where("text is not null and doc_id is null")).select("text")
+    sets = materialize(batch_map(chosen, _sets(k), "node long, items binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    out = materialize(batch_map(_both_ends(pairs, sets, {"items": "items_"}), _exact(percent), "a long, b long"))
+    remove(docs.sparkSession, sets)
+    remove(docs.sparkSession, ids)
+    return out
 
 
 def _cross(percent: int):
@@ -266,10 +300,9 @@ def _cross(percent: int):
     return run
 
 
-def _grid(tiles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _grid(tiles: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Tile members (tile, node, root, members) against each other in square blocks."""
-    rows = tiles.join(sets.select("node", "n", "bits"), "node")
-    rows = rows.withColumn("width", F.octet_length("bits"))
+    rows = tiles.join(bits, "node")
     rows = rows.withColumn("side", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("side")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, side - 1)")))
     rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
@@ -290,7 +323,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
-    described = materialize(batch_map(docs, _describe(k), "doc_id long, n long, node long, sketch binary"))
+    described = materialize(batch_map(docs, _describe(k), "doc_id long, n long, node long, bits binary, sketch binary"))
     rows = described.where("n >= 0").select("doc_id", "n", "node")
     counts = spark.sparkContext.broadcast(_frequent(described))
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -299,24 +332,20 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     tiles = batch_map(posted.repartition(parts, "token", "block"), _tiles(percent), "tile long, node long, n long, leader long, members long")
     tiles = materialize(tiles.dropDuplicates(["tile", "node"]))
     first = tiles.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    wanted = tiles.select("node").distinct()
-    ids = materialize(wanted.join(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").select("doc_id").where("doc_id is not null").distinct())
-    few = ids.count() <= BROADCAST_IDS
-    chosen = docs.where("text is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    chosen = chosen.unionByName(docs.where("text is not null and doc_id is null")).select("text")
-    sets = materialize(batch_map(chosen, _sets(k), "node long, n long, bits binary, items binary").dropDuplicates(["node"]))
-    stars = materialize(_check(first, sets, percent))
+    bits = described.where("bits is not null").select("node", "n", "bits").join(tiles.select("node").distinct(), "node", "left_semi")
+    bits = materialize(bits.dropDuplicates(["node"]))
+    stars = _intersect(materialize(_bound(first, bits, percent)), docs, rows, k, percent)
     roots = components(stars)
     named = tiles.where("members > 2").join(roots, "node", "left").select("tile", "node", "members", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tile")
-    pairs = _grid(named.join(mixed, "tile"), sets, percent).distinct()
-    more = materialize(_check(pairs, sets, percent))
-    roots = components(stars.unionByName(more)) if more.head(1) else roots
+    pairs = materialize(_grid(named.join(mixed, "tile"), bits, percent).distinct())
+    if pairs.head(1):
+        roots = components(stars.unionByName(_intersect(pairs, docs, rows, k, percent)))
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named = named.select("node", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     out = rows.join(named, "node", "left")
-    for t in (tiles, sets, ids):
+    for t in (tiles, bits, pairs):
         remove(spark, t)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node")
 
