@@ -177,7 +177,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     """Mark documents that hold test items.
 
     Returns all columns of ``docs`` (with a text column) and coverage (of the
-    most covered item), n_tiles (its tiles), item_ids (items covered by
+    most covered item; 0 where shared seeds cannot cover enough of any), n_tiles
+    (its tiles), item_ids (items covered by
     ``coverage`` or more, sorted) and contaminated. Null texts and texts of fewer
     than ``least`` words have no tiles, nor have such items; repeated rows are
     marked alike; an empty benchmark marks nothing; an empty table gives no rows.

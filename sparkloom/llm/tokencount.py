@@ -44,7 +44,7 @@ def stitch(summaries: DataFrame) -> DataFrame:
     are a document only if there are any) and doc_id (null where not told).
     """
     rows = summaries.withColumn("span", F.floor(F.col("block") / SPAN))
-    small = rows.select("stream", "span", "block", "tokens", F.size("ends").cast("long").alias("n"), F.element_at("ends", -1).alias("last"))
+    small = rows.select("stream", "span", "block", "tokens", F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     own = Window.partitionBy("stream", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("stream", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     inner = small.withColumn("at", F.coalesce(F.sum("tokens").over(own), F.lit(0))).withColumn("nth", F.coalesce(F.sum("n").over(own), F.lit(0)))
