@@ -93,7 +93,7 @@ def headline(text: Column, query: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    return F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))
+    return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
 def search(df: DataFrame, column: str, query: str) -> DataFrame:
