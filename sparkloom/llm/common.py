@@ -71,10 +71,38 @@ def crc_mod(col: str, m: int):
     return F.crc32(F.col(col).cast("string").cast("binary")) % F.lit(m)
 
 
+#: Edges that one task joins by itself (16 MB); more go through rounds over the cluster.
+LOCAL_EDGES = 1_000_000
+
+
+def _union(batches):
+    """Components of a bounded edge list by union-find: (node, root)."""
+    import numpy as np
+
+    got = [(b["u"].to_numpy(np.int64), b["v"].to_numpy(np.int64)) for b in batches if len(b)]
+    if not got:
+        return
+    u, v = (np.concatenate(c) for c in zip(*got, strict=True))
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    up = list(range(len(nodes)))
+
+    def find(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for a, b in zip(at[: len(u)].tolist(), at[len(u) :].tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    yield {"node": nodes, "root": nodes[[find(i) for i in range(len(nodes))]]}
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list (a, b) of longs.
 
-    Alternates large-star and small-star rounds (Kiveris et al., 2014), each a
+    Up to LOCAL_EDGES distinct edges are joined in one task. Beyond, alternates large-star and small-star rounds (Kiveris et al., 2014), each a
     map-side combined minimum and a join that AQE may split, until every node
     points at the least id of its component. Every round is written to the
     shared folder. Returns (node, root) for each node that has an edge; self
@@ -87,6 +115,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
+    if cur.count() <= LOCAL_EDGES:
+        return materialize(batch_map(cur.coalesce(1), _union, "node long, root long"))
     loops = cur.where("u = v").select(F.col("u").alias("node"))
     cur_edges = cur.where("u <> v")
 
@@ -142,3 +172,37 @@ def batch_map(df: DataFrame, fn, ddl: str) -> DataFrame:
 def texts_of(pdf, lo: int = 0, hi: int | None = None) -> list[bytes]:
     """UTF-8 of the texts of a batch; null is empty."""
     return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"].iloc[lo:hi]]
+
+
+def grouped_map(df: DataFrame, keys: list[str], fn, ddl: str, parts: int) -> DataFrame:
+    """Rows dealt and sorted by long columns ``keys``; ``fn`` takes (batch, starts, ends) of whole groups.
+
+    Groups are handed over many at a time, which spares the cost of a call for
+    each; a group that spans batches is put together first.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        rest: list = []
+
+        def whole(frame):
+            k = frame[keys].to_numpy(np.int64)
+            cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+            return frame, np.concatenate(([0], cut)), np.concatenate((cut, [len(frame)]))
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            k = pdf[keys].to_numpy(np.int64)
+            other = np.flatnonzero((k != k[-1]).any(axis=1))
+            if rest and (rest[-1][keys].iloc[-1].to_numpy(np.int64) != k[-1]).any() or len(other):
+                cut = int(other[-1]) + 1 if len(other) else 0
+                yield from fn(*whole(pd.concat([*rest, pdf.iloc[:cut]], ignore_index=True)))
+                rest = [pdf.iloc[cut:]]
+            else:
+                rest.append(pdf)
+        if rest:
+            yield from fn(*whole(pd.concat(rest, ignore_index=True)))
+
+    return batch_map(df.repartition(parts, *keys).sortWithinPartitions(*keys), run, ddl)

@@ -5,11 +5,13 @@
    share one of their first n - ceil(t n) + 1 shingles in that order.
 2. Documents that share such a shingle and lie in one size band or the next form
    a tile. Documents of equal sets are one node throughout.
-3. Every tile compares its members with its leader; then tiles that still hold
-   several components compare members of different ones in square blocks, where
-   the bit counts of hashed bitmaps bound each overlap from above. What is left
-   is intersected exactly on sorted arrays.
-No step emits all pairs of a tile, and no link between different sets is lost.
+3. In a tile, members of different components meet in square blocks, where sizes
+   and the bit counts of hashed bitmaps bound each overlap from above. At first a
+   member passes on only its most promising partner; these are intersected
+   exactly on sorted arrays and components grow. Tiles that held back pairs and
+   still hold several components come again, in the end with all such pairs.
+No link between different sets is lost: of a pair that shares a tile, either it
+was intersected, or a bound excludes it, or both ends were joined before.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import batch_map, components, materialize, remove, ship, texts_of
+from .common import batch_map, components, grouped_map, materialize, remove, ship, shuffle_parts, texts_of
 
 #: Counters of the sketch; what is collected and broadcast is bounded by them (2**17 longs: 1 MB).
 SKETCH = 1 << 17
@@ -34,6 +36,8 @@ HOT_ROWS = 400_000
 TASK_ROWS = 600_000
 #: Rows of a square block of a tile.
 BLOCK = 1024
+#: Times that tiles are gone through at most; the last time, no pair is held back.
+ROUNDS = 3
 #: Candidate documents whose ids may be broadcast (64 MB); beyond, Spark shuffles.
 BROADCAST_IDS = 4_000_000
 
@@ -55,8 +59,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap_bits(n: int) -> int:
-    """Width of a set's bitmap: a power of two, 4 to 8 bits a shingle, from 256 bits to 32768."""
-    return min(1 << 15, max(256, 1 << (4 * n - 1).bit_length()))
+    """Width of a set's bitmap: a power of two, 2 to 4 bits a shingle, from 128 bits to 32768."""
+    return min(1 << 15, max(128, 1 << (2 * n - 1).bit_length()))
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -196,10 +200,12 @@ def _tiles(percent: int):
                 inside = (band == b) | (band == b + 1)
                 if inside.sum() < 2 or (b - 1 in band and not (band == b + 1).any()):
                     continue
-                m = own[inside]
+                m, size_in = own[inside], size[inside]
+                if len(m) == 2 and 100 * size_in.min() < percent * size_in.max():
+                    continue
                 tiles.append(np.full(len(m), T.mix(T.mix(m.view(np.uint64)).sum(dtype=np.uint64, keepdims=True) + np.uint64(b)).view(np.int64)[0]))
                 members.append(m)
-                sizes.append(size[inside])
+                sizes.append(size_in)
                 leaders.append(np.full(len(m), m[0]))
                 counts.append(np.full(len(m), len(m)))
         if tiles:
@@ -272,41 +278,85 @@ def _intersect(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, perce
     return out
 
 
-def _cross(percent: int):
-    """Pairs of one square block of a tile, of different components, that the bitmaps leave."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["bi"].iat[0], pdf["bj"].iat[0]
-        rows, cols = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
-        width = 64 * min(len(b) // 8 for b in pdf["bits"])
-        pack = lambda d: np.stack([fold(np.frombuffer(b, np.uint64), width) for b in d["bits"]])
-        x, y = pack(rows), pack(cols)
-        nx, ny = rows["n"].to_numpy(), cols["n"].to_numpy()
-        cx, cy = rows["root"].to_numpy(), cols["root"].to_numpy()
-        kx, ky = rows["node"].to_numpy(), cols["node"].to_numpy()
-        left, right = [], []
-        for r in range(len(rows)):
-            ok = (cy != cx[r]) & (100 * np.minimum(ny, nx[r]) >= percent * np.maximum(ny, nx[r]))
-            at = np.flatnonzero(ok if i != j else ok & (ky > kx[r]))
-            if len(at):
-                at = at[linked(overlap_bound(x[r], nx[r], y[at], ny[at]), nx[r], ny[at], percent)]
-                left += [np.full(len(at), kx[r])]
-                right += [ky[at]]
-        if not left:
-            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+def _cross(percent: int, everything: bool):
+    """Pairs of square blocks of tiles, of different components, that sizes and bitmaps leave.
+
+    Unless ``everything`` is asked for, each member passes on its best pair only, and
+    a tile that holds others back is named (a row without a pair).
+    """
+
+    def run(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> Iterator[dict]:
+        tile, node, n, root, own, bi, bj = (pdf[c].to_numpy(np.int64) for c in ("tile", "node", "n", "root", "own", "bi", "bj"))
+        bits = [np.frombuffer(b, np.uint64) for b in pdf["bits"]]
+        width = np.fromiter(map(len, bits), np.int64, len(bits))
+        left, right, again = [], [], []
+        for s, e in zip(starts, ends, strict=True):
+            rows = np.arange(s, e)
+            x, y = (rows, rows) if bi[s] == bj[s] else (rows[own[s:e] == bi[s]], rows[own[s:e] == bj[s]])
+            if not len(x) or not len(y):
+                continue
+            ok = (root[x][:, None] != root[y]) & (100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y]))
+            if x is y:
+                ok = np.triu(ok, 1)
+            i, j = np.nonzero(ok)
+            if not len(i):
+                continue
+            narrow = int(width[s:e].min())
+            flat = np.stack([fold(bits[r], 64 * narrow) for r in rows])
+            most = np.concatenate([overlap_bound(flat[x[i[k : k + 32768]] - s], n[x[i[k : k + 32768]]], flat[y[j[k : k + 32768]] - s], n[y[j[k : k + 32768]]]) for k in range(0, len(i), 32768)])
+            a, b = x[i], y[j]
+            good = linked(most, n[a], n[b], percent)
+            a, b, most = a[good], b[good], most[good]
+            if len(a) > 1 and not everything:
+                share = most / (n[a] + n[b] - most)
+                ends_ = np.concatenate((a, b))
+                order = np.lexsort((-np.tile(share, 2), ends_))
+                first = order[np.concatenate(([True], ends_[order][1:] != ends_[order][:-1]))]
+                pick = np.unique(first % len(a))
+                if len(pick) < len(a):
+                    again.append(tile[s])
+                a, b = a[pick], b[pick]
+            left.append(node[a])
+            right.append(node[b])
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+            yield {"a": pairs[0], "b": pairs[1], "tile": [None] * pairs.shape[1]}
+        if again:
+            yield {"a": [None] * len(again), "b": [None] * len(again), "tile": again}
 
     return run
 
 
-def _grid(tiles: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """Tile members (tile, node, root, members) against each other in square blocks."""
+def _grid(tiles: DataFrame, bits: DataFrame, percent: int, everything: bool) -> DataFrame:
+    """Tile members (tile, node, root, members) against each other in square blocks: a, b, tile."""
     rows = tiles.join(bits, "node")
     rows = rows.withColumn("side", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("side")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, side - 1)")))
     rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
-    return rows.groupBy("tile", "bi", "bj").applyInPandas(_cross(percent), "a long, b long")
+    rows = rows.select("tile", "bi", "bj", "own", "node", "n", "root", "bits")
+    return grouped_map(rows, ["tile", "bi", "bj"], _cross(percent, everything), "a long, b long, tile long", 2 * shuffle_parts(tiles.sparkSession))
+
+
+def _link(tiles: DataFrame, bits: DataFrame, intersect, percent: int) -> DataFrame:
+    """Components (node, root) of the nodes of tiles."""
+    pairs = tiles.where("members = 2 and node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    links = intersect(materialize(_bound(pairs, bits, percent)))
+    roots = components(links)
+    open_ = tiles.where("members > 2").select("tile", "node", "members")
+    for round_ in range(ROUNDS):
+        named = open_.join(roots, "node", "left").select("tile", "node", "members", F.coalesce("root", "node").alias("root"))
+        mixed = named.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tile")
+        found = materialize(_grid(named.join(mixed, "tile"), bits, percent, round_ == ROUNDS - 1))
+        pairs = found.where("a is not null").select("a", "b").distinct()
+        if not pairs.head(1):
+            break
+        links = materialize(links.unionByName(intersect(pairs)))
+        roots = components(links)
+        open_ = open_.join(found.where("a is null").select("tile").distinct(), "tile", "left_semi")
+        if not open_.head(1):
+            break
+    return roots
 
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -331,21 +381,14 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     posted = batch_map(docs.where("text is not null").select("text"), _postings(k, percent, counts), "token long, node long, n int, block int")
     tiles = batch_map(posted.repartition(parts, "token", "block"), _tiles(percent), "tile long, node long, n long, leader long, members long")
     tiles = materialize(tiles.dropDuplicates(["tile", "node"]))
-    first = tiles.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     bits = described.where("bits is not null").select("node", "n", "bits").join(tiles.select("node").distinct(), "node", "left_semi")
     bits = materialize(bits.dropDuplicates(["node"]))
-    stars = _intersect(materialize(_bound(first, bits, percent)), docs, rows, k, percent)
-    roots = components(stars)
-    named = tiles.where("members > 2").join(roots, "node", "left").select("tile", "node", "members", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tile")
-    pairs = materialize(_grid(named.join(mixed, "tile"), bits, percent).distinct())
-    if pairs.head(1):
-        roots = components(stars.unionByName(_intersect(pairs, docs, rows, k, percent)))
+    roots = _link(tiles, bits, lambda pairs: _intersect(pairs, docs, rows, k, percent), percent)
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named = named.select("node", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     out = rows.join(named, "node", "left")
-    for t in (tiles, bits, pairs):
+    for t in (tiles, bits):
         remove(spark, t)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node")
 

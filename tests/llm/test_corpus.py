@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontam, jaccard, langid, licenses, neardup, packing, pii, quality, sharding, textscan, tokencount
+from sparkloom.llm import common, decontam, jaccard, langid, licenses, neardup, packing, pii, quality, sharding, textscan, tokencount
 from sparkloom.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, piece string, node long, n int"
@@ -56,7 +56,9 @@ def test_shingle_sets_count_distinct_runs():
 # --- components ---
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_against_union_find(spark, monkeypatch, local):
+    monkeypatch.setattr(common, "LOCAL_EDGES", local)
     rng = random.Random(3)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
