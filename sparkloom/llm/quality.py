@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import batch_map, crc_mod, texts_of
+from .common import batch_map, crc_mod, materialize, texts_of
 
 #: Labelled documents that the fit may see, chosen by a hash of doc_id.
 SAMPLE = 8000
-#: Tasks of the fit; each sends one matrix of UNITS x DIM floats (3 MB) to the driver.
+#: Tasks of the fit at most; each sends one matrix of 2 x UNITS x DIM floats (6 MB) to the driver.
 FIT_TASKS = 8
 UNITS = 1 << 14
 DIM = 48
@@ -163,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict] | None:
     known = labels.where("doc_id is not null and quality in (0, 1)").where(crc_mod("doc_id", 5) != 0)
     known = known.select("doc_id", F.col("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE)
     chosen = spark.createDataFrame(known.collect(), "doc_id long, label int")
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(FIT_TASKS, "doc_id").sortWithinPartitions("doc_id", "label", "text")
+    # The sample is written, so that few tasks can read it; sums of whole numbers do not depend on their order.
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).coalesce(FIT_TASKS)
     total = np.zeros((2 * UNITS, DIM))
     for r in batch_map(sample, _contexts, "sums binary").collect():
         total += np.frombuffer(r["sums"], np.float32).reshape(2 * UNITS, DIM)
