@@ -36,8 +36,10 @@ HOT_ROWS = 400_000
 TASK_ROWS = 600_000
 #: Rows of a square block of a tile.
 BLOCK = 1024
-#: Times that tiles are gone through at most; the last time, no pair is held back.
-ROUNDS = 3
+#: Best pairs that each member of a tile passes on, time after time; at last no pair is held back.
+BEST = (1, 1)
+#: Bits a shingle of the bitmaps from the second time on, when few tiles are left; a tight bound leaves few pairs.
+WIDE = 16
 #: Candidate documents whose ids may be broadcast (64 MB); beyond, Spark shuffles.
 BROADCAST_IDS = 4_000_000
 
@@ -58,9 +60,9 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def bitmap_bits(n: int) -> int:
-    """Width of a set's bitmap: a power of two, 2 to 4 bits a shingle, from 128 bits to 32768."""
-    return min(1 << 15, max(128, 1 << (2 * n - 1).bit_length()))
+def bitmap_bits(n: int, each: int = 2) -> int:
+    """Width of a set's bitmap: a power of two, ``each`` to twice as many bits a shingle, from 128 bits to 131072."""
+    return min(1 << 17, max(128, 1 << (each * n - 1).bit_length()))
 
 
 def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
@@ -219,7 +221,7 @@ def _sets(k: int):
         for pdf in batches:
             for lo, hi in T.groups(list(pdf["text"])):
                 sets = [s for s in T.shingle_sets(texts_of(pdf, lo, hi), k) if len(s)]
-                yield {"node": [_set_key(s) for s in sets], "items": [s.tobytes() for s in sets]}
+                yield {"node": [_set_key(s) for s in sets], "n": [len(s) for s in sets], "bits": [bitmap(s, bitmap_bits(len(s), WIDE)).tobytes() for s in sets], "items": [s.tobytes() for s in sets]}
 
     return run
 
@@ -264,25 +266,32 @@ def _bound(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return batch_map(both.where(fits), _bounded(percent), "a long, b long")
 
 
-def _intersect(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the node pairs (a, b), those that are linked; the sets come from the texts of one document of each node."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _fetch(wanted: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """Sets (node, n, bits, items) of the nodes wanted, from the texts of one document of each."""
     ids = materialize(wanted.join(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").select("doc_id").where("doc_id is not null").distinct())
     few = ids.count() <= BROADCAST_IDS
     chosen = docs.where("text is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     chosen = chosen.unionByName(docs.where("text is not null and doc_id is null")).select("text")
-    sets = materialize(batch_map(chosen, _sets(k), "node long, items binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    sets = batch_map(chosen, _sets(k), "node long, n long, bits binary, items binary")
+    out = materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    remove(docs.sparkSession, ids)
+    return out
+
+
+def _intersect(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the node pairs (a, b), those that are linked."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _fetch(wanted, docs, rows, k)
     out = materialize(batch_map(_both_ends(pairs, sets, {"items": "items_"}), _exact(percent), "a long, b long"))
     remove(docs.sparkSession, sets)
-    remove(docs.sparkSession, ids)
     return out
 
 
-def _cross(percent: int, everything: bool):
+def _cross(percent: int, best: int | None):
     """Pairs of square blocks of tiles, of different components, that sizes and bitmaps leave.
 
-    Unless ``everything`` is asked for, each member passes on its best pair only, and
-    a tile that holds others back is named (a row without a pair).
+    Each member passes on its ``best`` most promising pairs (None: all), and a tile
+    that holds others back is named (a row without a pair).
     """
 
     def run(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> Iterator[dict]:
@@ -307,12 +316,14 @@ def _cross(percent: int, everything: bool):
             a, b = x[i], y[j]
             good = linked(most, n[a], n[b], percent)
             a, b, most = a[good], b[good], most[good]
-            if len(a) > 1 and not everything:
+            if best is not None and len(a) > best:
                 share = most / (n[a] + n[b] - most)
-                ends_ = np.concatenate((a, b))
-                order = np.lexsort((-np.tile(share, 2), ends_))
-                first = order[np.concatenate(([True], ends_[order][1:] != ends_[order][:-1]))]
-                pick = np.unique(first % len(a))
+                member = np.concatenate((a, b))
+                order = np.lexsort((-np.tile(share, 2), member))
+                member = member[order]
+                first = np.flatnonzero(np.concatenate(([True], member[1:] != member[:-1])))
+                place = np.arange(len(member)) - np.repeat(first, np.diff(np.append(first, len(member))))
+                pick = np.unique(order[place < best] % len(a))
                 if len(pick) < len(a):
                     again.append(tile[s])
                 a, b = a[pick], b[pick]
@@ -328,26 +339,31 @@ def _cross(percent: int, everything: bool):
     return run
 
 
-def _grid(tiles: DataFrame, bits: DataFrame, percent: int, everything: bool) -> DataFrame:
+def _grid(tiles: DataFrame, bits: DataFrame, percent: int, best: int | None) -> DataFrame:
     """Tile members (tile, node, root, members) against each other in square blocks: a, b, tile."""
-    rows = tiles.join(bits, "node")
+    rows = tiles.join(bits.select("node", "n", "bits"), "node")
     rows = rows.withColumn("side", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("side")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, side - 1)")))
     rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
     rows = rows.select("tile", "bi", "bj", "own", "node", "n", "root", "bits")
-    return grouped_map(rows, ["tile", "bi", "bj"], _cross(percent, everything), "a long, b long, tile long", 2 * shuffle_parts(tiles.sparkSession))
+    return grouped_map(rows, ["tile", "bi", "bj"], _cross(percent, best), "a long, b long, tile long", 2 * shuffle_parts(tiles.sparkSession))
 
 
-def _link(tiles: DataFrame, bits: DataFrame, intersect, percent: int) -> DataFrame:
+def _link(tiles: DataFrame, bits: DataFrame, intersect, fetch, percent: int) -> DataFrame:
     """Components (node, root) of the nodes of tiles."""
     pairs = tiles.where("members = 2 and node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = intersect(materialize(_bound(pairs, bits, percent)))
     roots = components(links)
     open_ = tiles.where("members > 2").select("tile", "node", "members")
-    for round_ in range(ROUNDS):
+    wide = None
+    for time, best in enumerate((*BEST, None)):
         named = open_.join(roots, "node", "left").select("tile", "node", "members", F.coalesce("root", "node").alias("root"))
         mixed = named.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tile")
-        found = materialize(_grid(named.join(mixed, "tile"), bits, percent, round_ == ROUNDS - 1))
+        rest = named.join(mixed, "tile")
+        if time == 1:
+            rest = materialize(rest)
+            wide = fetch(rest.select("node").distinct())
+        found = materialize(_grid(rest, bits if wide is None else wide, percent, best))
         pairs = found.where("a is not null").select("a", "b").distinct()
         if not pairs.head(1):
             break
@@ -383,7 +399,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     tiles = materialize(tiles.dropDuplicates(["tile", "node"]))
     bits = described.where("bits is not null").select("node", "n", "bits").join(tiles.select("node").distinct(), "node", "left_semi")
     bits = materialize(bits.dropDuplicates(["node"]))
-    roots = _link(tiles, bits, lambda pairs: _intersect(pairs, docs, rows, k, percent), percent)
+    roots = _link(tiles, bits, lambda pairs: _intersect(pairs, docs, rows, k, percent), lambda wanted: _fetch(wanted, docs, rows, k), percent)
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named = named.select("node", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
@@ -405,5 +421,6 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one doc_id that is kept, all stay; null doc_ids stay.
     """
     found = ngram_jaccard_join(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
