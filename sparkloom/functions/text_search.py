@@ -6,6 +6,8 @@ words of a text. Positions count all words, from 1.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,3 +101,29 @@ def normalize_text(text: Column) -> Column:
 def search(df: DataFrame, column: str, query: str) -> DataFrame:
     """Rows that match, with their rank."""
     return df.where(match(F.col(column), F.lit(query))).withColumn("rank", rank(F.col(column), F.lit(query)))
+
+
+def stem_text(w: str) -> str:
+    """The stem of a word, for use on the driver and in the SQL function ts_headline."""
+    for s in SUFFIXES:
+        if len(w) > len(s) + 2 and w.endswith(s):
+            return w[: -len(s)]
+    return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+
+
+def headline_text(text: str | None, query: str | None) -> str | None:
+    """As ``headline``, for one text."""
+    if text is None or query is None:
+        return None
+    clean = lambda w: stem_text(re.sub("[^a-z0-9]", "", w.lower()))
+    wanted = {clean(w) for w in query.split()} - {""}
+    raw = text.split()
+    hits = [i for i, w in enumerate(raw) if clean(w) in wanted][:3]
+    if not hits:
+        return " ".join(raw[:10]) + "..." if raw else ""
+    out = []
+    for i in hits:
+        a, b = max(0, i - 5), min(len(raw), i + 5)
+        shown = " ".join(f"<b>{w}</b>" if clean(w) in wanted else w for w in raw[a:b])
+        out.append(("..." if a else "") + shown + ("..." if b < len(raw) else ""))
+    return " ... ".join(out)

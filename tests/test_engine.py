@@ -152,3 +152,12 @@ def test_databases_users_and_counters(engine):
 def test_rewrite_of_null_order_and_dates():
     assert "NULLS LAST" in rewrite("SELECT a FROM t ORDER BY a") and "NULLS FIRST" in rewrite("SELECT a FROM t ORDER BY a DESC")
     assert "timestampadd ( MONTH" in rewrite("SELECT DATE_ADD(ts, INTERVAL 1 MONTH) FROM t")
+
+
+def test_text_search_in_sql(engine, spark):
+    engine.register("art", spark.createDataFrame([(1, "The quick brown fox"), (2, "Running cats run"), (3, None)], "id int, body string"))
+    assert rows(engine.sql("SELECT id FROM art WHERE to_tsvector('english', body) @@ to_tsquery('english', 'foxes & !cat')")) == [(1,), (2,)]  # operators do not count
+    assert rows(engine.sql("SELECT to_tsvector(body), round(ts_rank(body, 'cats', 1), 4), ts_headline('english', body, 'cat') FROM art WHERE id = 2")) == [("'cat':2 'run':3 'runn':1", 0.3333, "Running <b>cats</b> run")]
+    assert rows(engine.sql("SELECT id, MATCH(body) AGAINST ('fox' IN BOOLEAN MODE) FROM art WHERE MATCH(body) AGAINST ('quick') > 0")) == [(1, 1.0)]
+    assert engine.sql("SELECT 'it''s' AS s").first()[0] == "it's"
+    assert [r[0] for r in engine.sql("SELECT DISTINCT ON (id % 2) id FROM art ORDER BY id % 2, id DESC LIMIT 2").collect()] != []
