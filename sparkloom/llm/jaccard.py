@@ -10,8 +10,11 @@
    member passes on only its most promising partner; these are intersected
    exactly on sorted arrays and components grow. Tiles that held back pairs and
    still hold several components come again, in the end with all such pairs.
-No link between different sets is lost: of a pair that shares a tile, either it
-was intersected, or a bound excludes it, or both ends were joined before.
+   No component is lost: of a pair that shares a tile, either it was intersected,
+   or a bound excludes it, or both ends were joined before.
+4. Every link lies inside a component, so the links are counted there: all pairs
+   of a component's sets are intersected exactly, in square blocks, and only the
+   sums of each node leave a block.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,6 +40,10 @@ HOT_ROWS = 400_000
 TASK_ROWS = 600_000
 #: Rows of a square block of a tile.
 BLOCK = 1024
+#: Shingles that a square block of a component's sets holds on each side, on average (32 MB).
+BLOCK_SHINGLES = 1 << 22
+#: Columns of a dense piece of a block's incidence matrix; shingles of at most RARE sets are counted pair by pair.
+COLUMNS, RARE = 4096, 6
 #: Best pairs that each member of a tile passes on, time after time; at last no pair is held back.
 BEST = (1, 1)
 #: Bits a shingle of the bitmaps from the second time on, when few tiles are left; a tight bound leaves few pairs.
@@ -375,8 +383,74 @@ def _link(tiles: DataFrame, bits: DataFrame, intersect, fetch, percent: int) ->
     return roots
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """Components of documents linked by Jaccard >= percent/100 over k-word shingle sets.
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """|A & B| for each of the sets x and each of the sets y, exactly (x and y are equal or disjoint)."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    row, times_of = row[order], np.repeat(times, times)
+    inter = np.zeros((len(sets), len(sets)), np.float32)  # counts to 2**24 are exact
+    for d in range(2, RARE + 1):
+        own = row[times_of == d].reshape(-1, d)
+        for i, j in combinations(range(d), 2):
+            np.add.at(inter, (own[:, i], own[:, j]), 1)
+            np.add.at(inter, (own[:, j], own[:, i]), 1)
+    out = inter[np.ix_(x, y)]
+    dense = times_of > RARE
+    row, column = row[dense], np.repeat(np.arange((times > RARE).sum()), times[times > RARE])
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        out += part[x] @ part[y].T
+    return out.astype(np.int64)
+
+
+def _count_links(percent: int):
+    """Of each set of a square block, the documents of the others that it is linked with."""
+
+    def run(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> Iterator[dict]:
+        node, n, weight, own, bi, bj = (pdf[c].to_numpy(np.int64) for c in ("node", "n", "weight", "own", "bi", "bj"))
+        found = np.zeros(len(node), np.int64)
+        for s, e in zip(starts, ends, strict=True):
+            same = bi[s] == bj[s]
+            x = np.flatnonzero(own[s:e] == bi[s])
+            y = x if same else np.flatnonzero(own[s:e] == bj[s])
+            if not len(x) or not len(y) or same and len(x) < 2:
+                continue
+            inter = overlaps([np.frombuffer(b, np.uint64) for b in pdf["items"].iloc[s:e]], x, y)
+            good = linked(inter, n[s + x][:, None], n[s + y], percent)
+            if same:
+                np.fill_diagonal(good, False)
+            found[s + x] += good @ weight[s + y]
+            if not same:
+                found[s + y] += weight[s + x] @ good
+        some = found > 0
+        yield {"node": node[some], "found": found[some]}
+
+    return run
+
+
+def _links(roots: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, found): the documents of other nodes that are linked with each node, by all pairs of its component."""
+    spark = docs.sparkSession
+    weights = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.max("n").alias("size"))
+    info = materialize(roots.join(weights, "node"))
+    sides = info.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("side"))
+    sets = _fetch(info.select("node"), docs, rows, k)
+    grid = info.join(sides, "root").join(sets.select("node", "n", "items"), "node")
+    grid = grid.withColumn("own", F.pmod(F.xxhash64("node"), F.col("side")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, side - 1)")))
+    grid = grid.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
+    grid = grid.select("root", "bi", "bj", "own", "node", "n", "weight", "items")
+    out = grouped_map(grid, ["root", "bi", "bj"], _count_links(percent), "node long, found long", 2 * shuffle_parts(spark))
+    out = materialize(out.groupBy("node").agg(F.sum("found").alias("found")))
+    for t in (info, sets):
+        remove(spark, t)
+    return out
+
+
+def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, links: bool = True) -> DataFrame:
+    """Components and numbers of links of documents with Jaccard >= percent/100 over k-word shingle sets.
 
     Words are runs without x20, x09-x0D, A-Z lower-cased. A text of fewer than k
     words has its whole sequence as one shingle. Null and empty texts have no
@@ -384,7 +458,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     share the id (their components meet in it only through links); a null doc_id
     stays null and does not name a component unless all its members are null.
     Equal sets link. Other columns are ignored; an empty table gives no rows.
-    Returns doc_id, n_shingles, component_id, node (the set's key, null if empty).
+    Returns doc_id, n_shingles, component_id, node (the set's key, null if empty)
+    and, with ``links``, n_links: how many other documents the row is linked with,
+    copies counted each.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -404,14 +480,24 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFr
     named = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named = named.select("node", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     out = rows.join(named, "node", "left")
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node"]
+    if links:
+        copies = rows.where("node is not null").groupBy("node").agg((F.count("*") - 1).alias("copies"))
+        out = out.join(copies.join(_links(roots, docs, rows, k, percent), "node", "left"), "node", "left")
+        columns.append((F.coalesce("copies", F.lit(0)) + F.coalesce("found", F.lit(0))).alias("n_links"))
     for t in (tiles, bits):
         remove(spark, t)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    return out.select(*columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, five-word shingles, Jaccard of 0.75 or more."""
-    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    """Components of all documents, five-word shingles, Jaccard of 0.75 or more."""
+    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), links=False).select("doc_id", "n_shingles", "component_id")
+
+
+def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2, with every link verified and the number of each document's links."""
+    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -420,7 +506,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words are components of their own and stay. Of rows with
     one doc_id that is kept, all stay; null doc_ids stay.
     """
-    found = ngram_jaccard_join(docs)
+    found = ngram_jaccard_join(docs, links=False)
     gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)

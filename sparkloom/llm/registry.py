@@ -7,6 +7,7 @@ from . import decontam, jaccard, langid, licenses, neardup, packing, pii, qualit
 QUERIES = {
     "op1_reshard_min_cost_flow": sharding.op1,
     "op2_ngram_jaccard_join": jaccard.op2,
+    "op2_ngram_jaccard_links": jaccard.op2_links,
     "op3_greedy_string_tiling": decontam.op3,
     "op4_pii_surrogates": pii.op4,
     "op5_token_separator_scan": tokencount.op5,
@@ -34,6 +35,9 @@ WITH RECURSIVE w AS (
 SELECT doc_id, n AS n_shingles, component_id FROM n JOIN (SELECT doc_id, min(k) AS component_id FROM r GROUP BY doc_id) USING (doc_id)
 """
 
+#: The same with each document's links counted.
+_OP2_LINKS = _OP2.replace("SELECT doc_id, n AS n_shingles, component_id FROM n", "SELECT doc_id, n AS n_shingles, component_id, (SELECT count(*) FROM e WHERE e.a = n.doc_id) AS n_links FROM n")
+
 #: All pairs of a label, compared in double precision.
 _OP10 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
@@ -43,4 +47,4 @@ WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddi
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _OP2, "op10_rp_forest_near_dedup": _OP10}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": _OP2, "op2_ngram_jaccard_links": _OP2_LINKS, "op10_rp_forest_near_dedup": _OP10}

@@ -175,6 +175,35 @@ def test_jaccard_join_of_repeated_and_null_ids_and_nothing(spark):
     assert jaccard.ngram_jaccard_join(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("block", "rare"), [(1024, 6), (4, 1), (7, 50)])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, block, rare):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "RARE", rare)
+    rng = random.Random(17)
+    base = [f"v{i}" for i in range(80)]
+    group = [" ".join([*base[:p], f"x{p}", *base[p + 1 :]]) for p in rng.sample(range(80), 40)]
+    texts = [*near_copies(rng, 60), *group, group[0], group[0], *ODD, "one"]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in ((t or "").split() for t in texts)]
+    want = [sum(i != j and bool(x) and 100 * len(x & y) >= 75 * len(x | y) for j, y in enumerate(sets)) for i, x in enumerate(sets)]
+    assert sum(want) > 1000
+    ids = [i if i % 7 else None for i in range(len(texts))]
+    got = jaccard.ngram_jaccard_join(frame(spark, texts, ids)).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got if r["doc_id"] is not None} == {i: want[i] for i in ids if i is not None}
+    assert sorted(r["n_links"] for r in got) == sorted(want)
+
+
+def test_link_counts_against_sql(spark):
+    import duckdb
+
+    from sparkloom.llm import registry
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    got = registry.QUERIES["op2_ngram_jaccard_links"](spark, sf).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLES["op2_ngram_jaccard_links"]).fetchall())
+
+
 def test_bitmap_bound_is_never_below_the_overlap():
     rng = np.random.default_rng(7)
     for _ in range(200):
