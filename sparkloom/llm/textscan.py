@@ -52,6 +52,15 @@ def _long_word(word: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
 
 
+def _short_words(kept: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words of at most WINDOW bytes; a word's hash depends on its own bytes only."""
+    up, down = powers(len(kept) + 1)
+    sums = np.empty(len(kept) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(kept * up[: len(kept)], out=sums[1:], dtype=np.uint64)
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def _scan(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """starts, ends and hashes of the words of one window that ends in a separator."""
     kept = table[buf]
@@ -59,13 +68,16 @@ def _scan(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
         return starts, ends, np.empty(0, np.uint64)
-    if (ends - starts).max() > WINDOW:
-        return starts, ends, np.array([_long_word(kept[a:b]) for a, b in zip(starts, ends, strict=True)], dtype=np.uint64)
-    up, down = powers(len(buf) + 1)
-    sums = np.empty(len(buf) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(kept * up[: len(buf)], out=sums[1:], dtype=np.uint64)
-    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts])
+    hashes = np.empty(len(starts), np.uint64)
+    lo = 0
+    for i in [*np.flatnonzero(ends - starts > WINDOW).tolist(), len(starts)]:
+        if i > lo:
+            a, b = starts[lo], ends[i - 1]
+            hashes[lo:i] = _short_words(kept[a:b], starts[lo:i] - a, ends[lo:i] - a)
+        if i < len(starts):
+            hashes[i] = _long_word(kept[starts[i] : ends[i]])
+        lo = i + 1
+    return starts, ends, hashes
 
 
 def _pieces(texts: list[bytes], table: np.ndarray):

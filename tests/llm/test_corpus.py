@@ -42,6 +42,25 @@ def test_word_hashes_do_not_depend_on_windows(monkeypatch):
     assert [a[i] for i in keep] == [small[0].tolist()[i] for i in keep]  # all but the word beyond a window
 
 
+def test_words_beside_a_run_beyond_a_window_keep_their_hashes():
+    near = "one two three four five six"
+    run = "0f" * (textscan.WINDOW // 2 + 40)
+    plain, at = textscan.word_hashes([near.encode()])
+    for text in (f"{run} {near}", f"{near} {run} {near}", f"{run} {run[:-2]} {near}"):
+        got, _ = textscan.word_hashes([text.encode()])
+        assert got[-6:].tolist() == plain.tolist()
+    both, one = (textscan.shingle_sets([t.encode()])[0] for t in (f"{near} {run} {near}", near))
+    assert len(both) == 7 and np.isin(one, both).all()  # 9 runs, of which the last two repeat the first two
+
+
+def test_a_passage_behind_a_run_beyond_a_window_is_caught(spark):
+    rng = random.Random(18)
+    item = words(rng, 40, 5000)
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    docs = frame(spark, ["0f" * (textscan.WINDOW // 2 + 40) + " " + item, "0f" * 50])
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, bench).collect() if r["contaminated"]] == [0]
+
+
 def test_shingle_sets_count_distinct_runs():
     rng = random.Random(2)
     texts = [words(rng, n, 5) for n in (0, 1, 4, 5, 6, 50)]
