@@ -10,6 +10,8 @@ document that its first separator ends.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import batch_map, materialize
+from .common import batch_map, materialize, ship
 from .packing import token_path
 
 #: Tokens of a block.
@@ -26,6 +28,8 @@ BLOCK = 1 << 16
 #: Blocks of a stream that are scanned together before their own totals are.
 SPAN = 1024
 EOD = 50256
+#: A flat file of more bytes is read in ranges, of RANGE bytes at least, by records of RECORD tokens at most.
+WHOLE, RANGE, RECORD = 1 << 26, 1 << 25, 1 << 20
 
 SUMMARY = "stream long, block long, tokens long, ends array<long>, docs array<long>"
 
@@ -38,7 +42,7 @@ def summarise(stream: int, block: int, ids: np.ndarray, eod: int, docs: list | N
 def stitch(summaries: DataFrame) -> DataFrame:
     """Lengths of documents from block summaries (stream, block, tokens, ends, docs).
 
-    Blocks of a stream are numbered from 0 without gaps. Returns stream, ordinal
+    Blocks of a stream are numbered in order; gaps do not matter. Returns stream, ordinal
     (of the document in its stream, from 0), start (absolute), n_tokens (without
     the separator), closed (false for tokens behind the last separator, which
     are a document only if there are any) and doc_id (null where not told).
@@ -64,10 +68,51 @@ def stitch(summaries: DataFrame) -> DataFrame:
     return closed.unionByName(tail)
 
 
+def _cells(tokens: int, dtype: str, eod: int, block: int, stream: int):
+    """Blocks of a run of records (index, bytes) of ``tokens`` tokens each, cut where ``block`` divides the place in the file.
+
+    Numbers grow along the file: of a block that two runs share, each has its own.
+    """
+
+    def run(records) -> Iterator[tuple]:
+        waiting, held, at = [], 0, None
+
+        def finish(size: int):
+            nonlocal waiting, held, at
+            ids = np.concatenate(waiting)
+            row = (stream, 2 * (at // block) + (at % block > 0), size, (np.flatnonzero(ids[:size] == eod) + 1).tolist(), None)
+            waiting, held, at = [ids[size:]], len(ids) - size, at + size
+            return row
+
+        for index, data in records:
+            at = index * tokens if at is None else at
+            waiting.append(np.frombuffer(bytes(data), np.dtype(dtype)))
+            held += tokens
+            while held >= block - at % block:
+                yield finish(block - at % block)
+        if held:
+            yield finish(held)
+
+    return run
+
+
+def _ranges(spark: SparkSession, path: str, length: int, stream: int, dtype: str, eod: int, block: int) -> DataFrame:
+    """Block summaries of one file, read by Spark in ranges of whole records; the largest divisor of its tokens is a record."""
+    ship(spark)
+    width = np.dtype(dtype).itemsize
+    tokens = length // width
+    record = max(d for k in range(1, min(math.isqrt(tokens), RECORD) + 1) if tokens % k == 0 for d in (k, tokens // k) if d <= RECORD)
+    conf = {"org.apache.spark.input.FixedLengthBinaryInputFormat.recordLength": str(record * width), "mapreduce.input.fileinputformat.split.minsize": str(max(RANGE, (block + record) * width))}
+    name = re.sub(r"[\\,*?\[\]{}]", lambda m: r"{\,}" if m[0] == "," else f"\\{m[0]}", path)  # Hadoop splits at bare commas
+    records = spark.sparkContext.newAPIHadoopFile(name, "org.apache.spark.input.FixedLengthBinaryInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf=conf)
+    return spark.createDataFrame(records.mapPartitions(_cells(record, dtype, eod, block, stream)), SUMMARY, verifySchema=False)
+
+
 def scan_files(spark: SparkSession, path: str, dtype: str = "<u4", eod: int = EOD, block: int = BLOCK) -> DataFrame:
-    """Documents of flat token files (one stream each, a name's hash), read whole: a file is at most 1 GB.
+    """Documents of flat token files (one stream each, a name's hash), of any size.
 
-    Bytes behind the last whole token of a file are an error.
+    Files of up to WHOLE bytes are read whole, larger ones in ranges. Bytes behind
+    the last whole token of a file are an error.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
@@ -77,8 +122,15 @@ def scan_files(spark: SparkSession, path: str, dtype: str = "<u4", eod: int = EO
                 for b in range(0, len(ids), block):
                     yield summarise(stream, b // block, ids[b : b + block], eod)
 
-    files = spark.read.format("binaryFile").load(path).where("length <= 1073741824").select(F.xxhash64("path").alias("stream"), "content")
-    return stitch(materialize(batch_map(files, run, SUMMARY)))
+    files = spark.read.format("binaryFile").load(path)
+    named = F.xxhash64("path").alias("stream")
+    large = files.where(F.col("length") > WHOLE).select("path", "length", named).collect()  # names only
+    if odd := [f["path"] for f in large if f["length"] % np.dtype(dtype).itemsize]:
+        raise ValueError(f"bytes behind the last whole token: {odd[0]}")
+    summaries = batch_map(files.where(F.col("length") <= WHOLE).select(named, "content"), run, SUMMARY)
+    for f in large:
+        summaries = summaries.unionByName(_ranges(spark, f["path"], f["length"], f["stream"], dtype, eod, block))
+    return stitch(materialize(summaries))
 
 
 def _streams(path: str, eod: int, block: int):

@@ -375,6 +375,40 @@ def test_flat_files_with_and_without_a_last_separator(spark, tmp_path):
     assert sorted(got.values()) == sorted(want.values())
 
 
+def test_flat_file_beyond_a_gigabyte_is_scanned_whole(spark, tmp_path):
+    n, ends = (1 << 28) + 96, [5, 6, 65536, 40_000_000, (1 << 28) + 90]
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(4 * n)  # tokens 0
+        for e in ends:
+            f.seek(4 * e)
+            f.write(np.array([9], "<u4").tobytes())
+    (tmp_path / "small.bin").write_bytes(np.array([1, 9, 2, 9], "<u4").tobytes())
+    got = defaultdict(list)
+    for r in tokencount.scan_files(spark, str(tmp_path), eod=9).orderBy("stream", "ordinal").collect():
+        got[r["stream"]].append(r["n_tokens"])
+    assert sorted(got.values()) == sorted([[b - a - 1 for a, b in itertools.pairwise([-1, *ends, n])], [1, 1]])
+
+
+@pytest.mark.parametrize(("n", "record"), [(4096, 64), (4099, 64), (6000, 7)])
+def test_ranges_of_flat_files_against_a_plain_scan(spark, tmp_path, monkeypatch, n, record):
+    monkeypatch.setattr(tokencount, "WHOLE", 100)
+    monkeypatch.setattr(tokencount, "RANGE", 400)
+    monkeypatch.setattr(tokencount, "RECORD", record)
+    monkeypatch.setattr(tokencount, "SPAN", 4)
+    ids = np.random.default_rng(n).integers(0, 30, n).astype("<u4")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.local.block.size", "1000")
+    try:
+        (tmp_path / "a,{b}.bin").write_bytes(ids.tobytes())
+        got = [(r["start"], r["n_tokens"]) for r in tokencount.scan_files(spark, str(tmp_path), eod=0, block=50).orderBy("ordinal").collect()]
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("fs.local.block.size")
+    cut = [-1, *np.flatnonzero(ids == 0).tolist(), *([n] if ids[-1] else [])]
+    assert got == [(a + 1, b - a - 1) for a, b in itertools.pairwise(cut)]
+    (tmp_path / "a,{b}.bin").write_bytes(ids.tobytes() + b"x")
+    with pytest.raises(ValueError, match="last whole token"):
+        tokencount.scan_files(spark, str(tmp_path), eod=0, block=50)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_plan_uses_every_length_once_and_packs_tightly(seed):
     rng = random.Random(seed)
