@@ -163,6 +163,9 @@ same("win_over_group", "SELECT o_custkey, count(*) AS n, rank() OVER (ORDER BY c
 # --- sort, limit, set operations ---
 same("order_nulls", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY nullif(o_orderstatus, 'F'), o_orderkey LIMIT 4000", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY nullif(o_orderstatus, 'F') NULLS LAST, o_orderkey LIMIT 4000")
 same("order_nulls_desc", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC, o_orderkey LIMIT 4000", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey LIMIT 4000")
+# The places of all rows, past the border between NULL and the rest.
+same("order_nulls_place", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F'), o_orderkey) AS place FROM orders", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') NULLS LAST, o_orderkey) AS place FROM orders")
+same("order_nulls_desc_place", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') DESC, o_orderkey) AS place FROM orders", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey) AS place FROM orders")
 same("limit_offset", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 30")
 same("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 pair("limit_subquery", lambda t: rel.limit_subquery(t("orders").select("o_orderkey").orderBy("o_orderkey"), t("region").agg(F.count("*"))), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT (SELECT count(*) FROM region)")
