@@ -187,13 +187,23 @@ def reshard(docs: DataFrame, old_shard: Column, old_count: int, capacities: list
 def rewrite_affected(spark: SparkSession, docs: DataFrame, layout: DataFrame, out_dir: str) -> list[int]:
     """Write the shards that gain or lose rows as ``out_dir/shard=N`` (parquet).
 
-    ``docs`` has the columns of ``layout``'s keys (doc_id, text) and old_shard;
-    doc_id must be unique here. Shards of which all rows stay and none come are
-    not touched; their numbers are not in the returned list.
+    ``docs`` are the rows that ``layout`` was made of, with old_shard. Every row
+    of a shard that is written is written once, null and repeated doc_ids too:
+    rows equal in doc_id and text take the places of the layout's equal rows in
+    the order of their old shards. Shards of which all rows stay and none come
+    are not touched; their numbers are not in the returned list.
     """
     moved = layout.where("old_shard <> shard")
     touched = sorted({r[0] for r in moved.select(F.explode(F.array("old_shard", "shard"))).distinct().collect()})
-    rows = docs.join(layout.select("doc_id", "shard", "slot"), "doc_id").where(F.col("shard").isin(touched))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keys = ["_id", "_crc", "_size"]
+    nth = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("_nth")
+    have = docs.select("*", F.col("doc_id").alias("_id"), F.crc32(text.cast("binary")).alias("_crc"), (F.octet_length(text) + 1).cast("long").alias("_size"))
+    have = have.select("*", nth(F.coalesce("old_shard", F.lit(0))))
+    place = layout.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "old_shard", "shard", "slot")
+    place = place.select(*(F.col(c).alias(f"{c}_to") for c in keys), "shard", "slot", nth("old_shard", "shard", "slot").alias("_nth_to"))
+    match = [F.col(c).eqNullSafe(F.col(f"{c}_to")) for c in (*keys, "_nth")]
+    rows = have.join(place, match).select(*docs.columns, "shard", "slot").where(F.col("shard").isin(touched))
     rows.repartition("shard", F.floor(F.col("slot") / 100_000)).write.mode("append").partitionBy("shard").parquet(out_dir)
     return touched
 

@@ -146,6 +146,24 @@ def test_rewrite_touches_affected_shards_only(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "b")).count() == 16
 
 
+def test_rewrite_writes_null_and_repeated_ids_once(spark, tmp_path):
+    ids = [None, None, None, 3, 3, 3, 4, 4, *range(10, 40)]
+    texts = ["a", "a", None, "b", "b", "other", "", None, *("x" * (i % 5) for i in range(30))]
+    docs = spark.createDataFrame([(i, t, [0, 2, None][k % 3], k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, old_shard int, row int")
+    layout = sharding.reshard(docs, F.col("old_shard"), 3, shards=4)
+    assert sharding.rewrite_affected(spark, docs, layout, str(tmp_path / "a")) == [0, 1, 2, 3]
+    got = spark.read.parquet(str(tmp_path / "a")).collect()
+    assert sorted(r["row"] for r in got) == list(range(len(ids)))
+    assert all((r["doc_id"], r["text"]) == (ids[r["row"]], texts[r["row"]]) for r in got)
+    places = sorted((r["shard"], r["slot"]) for r in layout.collect())
+    assert sorted((r["shard"], r["slot"]) for r in got) == places
+    stays = spark.createDataFrame([(None, "same", i % 3, i) for i in range(12)], "doc_id long, text string, old_shard int, row int")
+    layout = sharding.reshard(stays, F.col("old_shard"), 3, capacities=[30, 10, 20])
+    touched = sharding.rewrite_affected(spark, stays, layout, str(tmp_path / "b"))
+    got = spark.read.parquet(str(tmp_path / "b")).collect()
+    assert sorted(r["row"] for r in got) == [i for i in range(12) if i % 3 in touched]
+
+
 # --- 2 n-gram Jaccard join ---
 
 
