@@ -17,11 +17,13 @@ from array import array
 
 import numpy as np
 
-from .textscan import mix, powers
+from .textscan import span_hashes
 
 LIMIT = 0x250
 #: Pieces kept by a worker before the cache starts anew.
 CACHE = 400_000
+#: Characters of a piece that is kept.
+LONGEST = 256
 #: Characters that are split at once.
 CHARS = 1 << 20
 _L, _N, _S, _O, _BAD = 1, 2, 3, 4, 0
@@ -65,9 +67,9 @@ class Encoder:
         special = {t["content"] for t in spec.get("added_tokens", [])}
         chars = _byte_chars()
         ranks = {bytes(chars[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
-        # Pieces come ready split, so the pattern is never used.
-        self.pieces = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.cache: dict[int, bytes] = {}
+        # Pieces come ready split, so the pattern takes each whole.
+        self.pieces = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and the offsets of each text (one more than texts)."""
@@ -104,11 +106,17 @@ class Encoder:
             for i in group:
                 parts[i] = np.empty(0, np.uint32)
             return
-        ids, count = self._split(joined, chars, kind, at[:-1][np.diff(at) > 0], at)
+        got = self._split(joined, chars, kind, at[:-1][np.diff(at) > 0], at)
+        if got is None:
+            for i in group:
+                parts[i] = np.array(self.exact.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            return
+        ids, count = got
         for g, i in enumerate(group):
             parts[i] = ids[count[g] : count[g + 1]]
 
-    def _split(self, joined: str, chars: np.ndarray, kind: np.ndarray, heads: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _split(self, joined: str, chars: np.ndarray, kind: np.ndarray, heads: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of all texts and their offsets; None if two pieces cannot be told apart by their hashes."""
         n = len(chars)
         head = np.zeros(n + 1, bool)
         head[heads] = True
@@ -124,22 +132,25 @@ class Encoder:
         start |= head[:n]
         begin = np.flatnonzero(start)
         end = np.append(begin[1:], n)
-        if (end - begin).max() > CHARS:
-            keys = np.array([hash(joined[a:b]) & (1 << 64) - 1 for a, b in zip(begin, end, strict=True)], np.uint64)
-        else:
-            up, down = powers(n + 1)
-            sums = np.empty(n + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:], dtype=np.uint64)
-            keys = mix((sums[end] - sums[begin]) * down[begin])
-        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        # Every character is below 2**16. Pieces of up to four have hashes of their own by construction;
+        # longer ones must agree in a second hash, or nothing is taken from the table.
+        data, size = chars.astype("<u2").view(np.uint8), end - begin
+        keys, second = span_hashes(data, 2 * begin, 2 * end), size.astype(np.uint64)
+        longer = np.flatnonzero(size > 4)
+        second[longer] += span_hashes(data, 2 * begin[longer], 2 * end[longer], seed=1)
+        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        if (second != second[first][inverse]).any():
+            return None
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache, own = self.cache, []
-        for key, f in zip(unique.tolist(), first.tolist(), strict=True):
-            ids = cache.get(key)
+        for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True):
+            piece = joined[a:b]
+            ids = cache.get(piece)
             if ids is None:
-                ids = cache[key] = array("I", self.pieces(joined[begin[f] : end[f]])).tobytes()
+                ids = array("I", self.pieces(piece)).tobytes()
+                if len(piece) <= LONGEST:
+                    cache[piece] = ids
             own.append(ids)
         lengths = np.fromiter(map(len, own), np.int64, len(own)) // 4
         flat = np.frombuffer(b"".join(own), np.uint32)

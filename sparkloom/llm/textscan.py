@@ -1,8 +1,8 @@
 """Vectorised word scanning of whole UTF-8 texts with numpy.
 
 A byte table says what every byte is: 0 a separator, else the byte it counts
-as. Word hashes come from one running polynomial sum over the bytes of many
-texts at once; a text longer than a window is cut at separators only.
+as. Words are hashed many at a time, eight bytes in each step; a text longer
+than a window is cut at separators only.
 """
 
 from __future__ import annotations
@@ -48,36 +48,52 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[size]
 
 
-def _long_word(word: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8).digest(), "little")
-
-
-def _short_words(kept: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of words of at most WINDOW bytes; a word's hash depends on its own bytes only."""
-    up, down = powers(len(kept) + 1)
-    sums = np.empty(len(kept) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(kept * up[: len(kept)], out=sums[1:], dtype=np.uint64)
-    return mix((sums[ends] - sums[starts]) * down[starts])
-
+_C = [np.uint64(c) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25)]
 
-def _scan(buf: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """starts, ends and hashes of the words of one window that ends in a separator."""
-    kept = table[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], kept != 0, [False])).view(np.int8)))
-    starts, ends = edge[0::2], edge[1::2]
-    if not len(starts):
-        return starts, ends, np.empty(0, np.uint64)
-    hashes = np.empty(len(starts), np.uint64)
-    lo = 0
-    for i in [*np.flatnonzero(ends - starts > WINDOW).tolist(), len(starts)]:
-        if i > lo:
-            a, b = starts[lo], ends[i - 1]
-            hashes[lo:i] = _short_words(kept[a:b], starts[lo:i] - a, ends[lo:i] - a)
-        if i < len(starts):
-            hashes[i] = _long_word(kept[starts[i] : ends[i]])
-        lo = i + 1
-    return starts, ends, hashes
+#: Bytes from which a word is hashed by blake2b; up to them its 8-byte chunks are chained.
+LONG = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_CHAIN = np.uint64(0xD1342543DE82EF95)
+
+
+def _chunk(words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ``size`` bytes (8 at most) from place ``at`` on, as whole numbers; ``words`` are the bytes in aligned eights."""
+    cell = at >> 3
+    shift = (at & 7).astype(np.uint64) << np.uint64(3)
+    # The upper part is shifted in two steps, since a shift by 64 is none.
+    return (words[cell] >> shift | (words[cell + 1] << np.uint64(1)) << (np.uint64(63) - shift)) & _MASKS[size]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of a byte array. A span's hash depends on its own bytes only.
+
+    Every chunk goes through a one-to-one mix before the next is added, so that spans of one
+    length up to 8 never collide and longer ones have no collisions by their form.
+    """
+    words = np.zeros(len(data) // 8 + 2, np.uint64)
+    words.view(np.uint8)[: len(data)] = data
+    size = ends - starts
+    start = (seed * int(_C[1]) + int(_CHAIN)) & (1 << 64) - 1
+    out = mix(_chunk(words, starts, np.minimum(size, 8)) + np.uint64(start))
+    more = np.flatnonzero(size > 8)
+    at = 8
+    while len(more) and at < LONG:
+        out[more] = mix(out[more] * _CHAIN + _chunk(words, starts[more] + at, np.minimum(size[more] - at, 8)))
+        at += 8
+        more = more[size[more] > at]
+    for i in more.tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return mix(out + size.astype(np.uint64) * _C[2])
+
+
+def _scan(kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """starts and ends of the words of one window that ends in a separator."""
+    inside = np.empty(len(kept) + 1, bool)
+    inside[0] = False
+    np.not_equal(kept, 0, out=inside[1:])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    return edge[0::2], edge[1::2]
 
 
 def _pieces(texts: list[bytes], table: np.ndarray):
@@ -101,15 +117,22 @@ def _pieces(texts: list[bytes], table: np.ndarray):
 
 def windows(texts: list[bytes], table: np.ndarray = PLAIN):
     """Windows over many texts: (bytes, word starts, word ends, word hashes, text number of each word)."""
+    for raw, kept, starts, ends, owner in _spans(texts, table):
+        yield kept, starts, ends, span_hashes(kept, starts, ends), owner
+
+
+def _spans(texts: list[bytes], table: np.ndarray):
+    """(bytes, bytes as the table counts them, word starts, word ends, text number of each word) of each window."""
     group: list[bytes] = []
     owner: list[int] = []
     size = 0
 
     def scan():
-        buf = np.frombuffer(b"\n".join(group) + b"\n", np.uint8)
-        starts, ends, hashes = _scan(buf, table)
+        raw = np.frombuffer(b"\n".join(group) + b"\n", np.uint8)
+        kept = table[raw]
+        starts, ends = _scan(kept)
         bounds = np.cumsum([0] + [len(g) + 1 for g in group])
-        return table[buf], starts, ends, hashes, np.repeat(np.asarray(owner), np.diff(np.searchsorted(starts, bounds)))
+        return raw, kept, starts, ends, np.repeat(np.asarray(owner), np.diff(np.searchsorted(starts, bounds)))
 
     for i, piece in _pieces(texts, table):
         if group and size + len(piece) > WINDOW:
@@ -122,17 +145,22 @@ def windows(texts: list[bytes], table: np.ndarray = PLAIN):
         yield scan()
 
 
-def word_hashes(texts: list[bytes], table: np.ndarray = PLAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and offsets of each text (one more than texts)."""
-    parts: list[np.ndarray] = []
+def word_hashes(texts: list[bytes], table: np.ndarray = PLAIN, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of all texts in order, and offsets of each text (one more than texts).
+
+    Further tables, which separate at the same bytes, give further arrays of hashes
+    of the same words; the offsets stand last.
+    """
+    parts: list[list[np.ndarray]] = [[] for _ in range(1 + len(others))]
     at = np.zeros(len(texts) + 1, np.int64)
-    for _, _, _, hashes, owner in windows(texts, table):
-        parts.append(hashes)
+    for raw, kept, starts, ends, owner in _spans(texts, table):
+        parts[0].append(span_hashes(kept, starts, ends))
+        for own, other in zip(parts[1:], others, strict=True):
+            own.append(span_hashes(other[raw], starts, ends))
         at[1:] += np.bincount(owner, minlength=len(texts))
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.cumsum(at)
+    return *(np.concatenate(p) if p else np.empty(0, np.uint64) for p in parts), np.cumsum(at)
 
 
-_C = [np.uint64(c) for c in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9FB21C651E98DF25)]
 
 
 def ngram_hashes(words: np.ndarray, k: int) -> np.ndarray:

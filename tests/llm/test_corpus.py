@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import common, decontam, jaccard, langid, licenses, neardup, packing, pii, quality, sharding, textscan, tokencount
+from sparkloom.llm import bpe, common, decontam, jaccard, langid, licenses, neardup, packing, pii, quality, sharding, textscan, tokencount
 from sparkloom.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, piece string, node long, n int"
@@ -37,9 +37,30 @@ def test_word_hashes_do_not_depend_on_windows(monkeypatch):
     monkeypatch.setattr(textscan, "WINDOW", 64)
     small = textscan.word_hashes(texts)
     assert whole[1].tolist() == small[1].tolist()
-    a = whole[0].tolist()
-    keep = [i for i in range(len(a)) if i != whole[1][5]]
-    assert [a[i] for i in keep] == [small[0].tolist()[i] for i in keep]  # all but the word beyond a window
+    assert whole[0].tolist() == small[0].tolist()
+
+
+MORSE = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+OTHER_MORSE = MORSE.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [8, 64, 128, 256, 512, 1024])
+def test_words_that_cancel_in_polynomial_sums_have_hashes_of_their_own(size):
+    """Thue-Morse words and their complements collide in every sum over powers modulo 2**64."""
+    for seed in (0, 1):
+        data = np.frombuffer(f"{MORSE[:size]} {OTHER_MORSE[:size]} {MORSE[:size]}".encode(), np.uint8)
+        starts = np.array([0, size + 1, 2 * size + 2])
+        one, two, again = textscan.span_hashes(data, starts, starts + size, seed).tolist()
+        assert one == again != two
+
+
+def test_word_hashes_against_the_words_themselves():
+    rng = random.Random(31)
+    texts = [" ".join("".join(rng.choice("abAB\0é") for _ in range(rng.choice((1, 2, 7, 8, 9, 16, 17, 255, 256, 257)))) for _ in range(60)) for _ in range(9)]
+    hashes, at = textscan.word_hashes([t.encode() for t in texts])
+    plain = [w for t in texts for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())]
+    assert len(plain) == len(hashes) == at[-1]
+    assert len(set(zip(plain, hashes.tolist(), strict=True))) == len(set(plain)) == len(set(hashes.tolist()))
 
 
 def test_words_beside_a_run_beyond_a_window_keep_their_hashes():
@@ -369,6 +390,22 @@ def test_fast_encoder_gives_the_tokenizers_ids(exact, monkeypatch):
         assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [exact(t) for t in texts]
 
 
+def test_fast_encoder_tells_pieces_apart_that_cancel_in_polynomial_sums(exact):
+    encoder = bpe.Encoder(packing.token_path())
+    for texts in ([MORSE, OTHER_MORSE], [f"{MORSE} {OTHER_MORSE}"], [OTHER_MORSE[:512], MORSE[:512]]):
+        ids, at = encoder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == [exact(t) for t in texts]
+
+
+def test_fast_encoder_without_trust_in_its_hashes(exact, monkeypatch):
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, ends, seed=0: ((starts if seed else ends) % 3).astype(np.uint64))
+    encoder = bpe.Encoder(packing.token_path())
+    texts = ["several longer words, several others", "and more of them"]
+    ids, at = encoder.encode(texts)
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(at)] == [exact(t) for t in texts]
+
+
+
 @pytest.mark.parametrize("block", [3, 1 << 16])
 def test_separator_scan_round_trip(spark, exact, monkeypatch, block):
     monkeypatch.setattr(tokencount, "SPAN", 4)
