@@ -169,9 +169,50 @@ def batch_map(df: DataFrame, fn, ddl: str) -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
+def filter_texts(df: DataFrame, keep) -> DataFrame:
+    """Rows of ``df`` for which ``keep``, given the texts of a batch, has True. No column is converted on the way."""
+    from pyspark.sql.types import StructType
+
+    ship(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column("text").to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, StructType(df.schema.fields))
+
+
+def replace_columns(df: DataFrame, fn, ddl: str = "") -> DataFrame:
+    """``df`` with columns made from the texts: ``fn`` takes a record batch and returns a dict of columns.
+
+    Columns that df has are replaced in place, others (of types ``ddl``) are added
+    behind; all else passes through as it is.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ship(df.sparkSession)
+    added = StructType.fromDDL(ddl).fields if ddl else []
+    schema = StructType([*(f for f in df.schema.fields if f.name not in {a.name for a in added}), *added])
+    types = to_arrow_schema(schema)
+
+    def run(batches):
+        for b in batches:
+            made = fn(b)
+            arrays = [pa.array(made[f.name], type=f.type) if f.name in made else b.column(f.name) for f in types]
+            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([pa.field(f.name, a.type) for f, a in zip(types, arrays, strict=True)]))
+
+    return df.mapInArrow(run, schema)
+
+
+def utf8(texts) -> list[bytes]:
+    """UTF-8 of texts; null is empty."""
+    return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+
+
 def texts_of(pdf, lo: int = 0, hi: int | None = None) -> list[bytes]:
     """UTF-8 of the texts of a batch; null is empty."""
-    return [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"].iloc[lo:hi]]
+    return utf8(pdf["text"].iloc[lo:hi])
 
 
 def grouped_map(df: DataFrame, keys: list[str], fn, ddl: str, parts: int) -> DataFrame:

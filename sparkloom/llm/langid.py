@@ -174,11 +174,11 @@ def identify(docs: DataFrame, train: DataFrame | None = None) -> DataFrame:
 
     Null texts and texts without a letter are ``und`` with score 0, as are all
     where nothing could be learned. Repeated rows get equal answers; a null doc_id
-    has held_out null; an empty table gives no rows; other columns are not read.
+    has held_out false; an empty table gives no rows; other columns are not read.
     Returns doc_id, held_out, lang_pred, score.
     """
     model = fit(docs if train is None else train)
-    held = (crc_mod("doc_id", 4) == 2).alias("held_out")
+    held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out")
     if model is None:
         return docs.select("doc_id", held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import batch_map, crc_mod, materialize, texts_of
+from .common import batch_map, crc_mod, filter_texts, materialize, texts_of, utf8
 
 #: Labelled documents that the fit may see, chosen by a hash of doc_id.
 SAMPLE = 8000
@@ -30,6 +30,10 @@ WINDOW = 2
 NONZERO = 6
 HIDDEN = 24
 THRESHOLD = 0.3
+#: Words whose contexts are added at once.
+CHUNK = 1 << 17
+#: Bytes (unless one text has more) and texts that are pooled together.
+GROUP_BYTES, GROUP_TEXTS = 1 << 18, 128
 
 #: Bytes as shapes: A-Z, a-z and bytes beyond ASCII, digits; others as they are.
 SHAPES = T.PLAIN.copy()
@@ -48,69 +52,103 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word units, shape units (from UNITS on) and the offsets of each text."""
-    words, at = T.word_hashes(texts)
-    shapes, _ = T.word_hashes(texts, SHAPES)
-    return (words >> np.uint64(30)).astype(np.int64) & (UNITS - 1), ((shapes >> np.uint64(30)).astype(np.int64) & (UNITS - 1)) + UNITS, at
+def units(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word units, shape units (from UNITS on), word hashes and the offsets of each text."""
+    words, shapes, at = T.word_hashes(texts, T.PLAIN, SHAPES)
+    one, two = ((h >> np.uint64(30)).astype(np.int64) & (UNITS - 1) for h in (words, shapes))
+    return one, two + UNITS, words, at
 
 
 def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    """Sums of the index vectors around each unit. They are whole numbers, added up for each place of the matrix."""
     index = index_vectors()
-    total = np.zeros((2 * UNITS, DIM), np.float32)
-
-    def add(target: np.ndarray, source: np.ndarray) -> None:
-        order = np.argsort(target, kind="stable")
-        t = target[order]
-        first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
-        total[t[first]] += np.add.reduceat(index[source[order]], first, axis=0)
-
+    total = np.zeros(2 * UNITS * DIM)
+    place = np.zeros((2 * UNITS, NONZERO), np.int64)
+    value = np.zeros((2 * UNITS, NONZERO))
+    row, column = np.nonzero(index)
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    place[row, nth], value[row, nth] = column, index[row, column]
     for pdf in batches:
-        for lo, hi in T.groups(list(pdf["text"]), 1 << 21):
-            words, shapes, at = units(texts_of(pdf, lo, hi))
+        for lo, hi in T.groups(list(pdf["text"]), 1 << 20):
+            words, shapes, _, at = units(texts_of(pdf, lo, hi))
             text = np.repeat(np.arange(hi - lo), np.diff(at))
-            for own in (words, shapes):
-                for step in range(1, WINDOW + 1):
-                    near = np.flatnonzero(text[step:] == text[:-step])
-                    if len(near):
-                        for around in (words, shapes):
-                            add(own[near], around[near + step])
-                            add(own[near + step], around[near])
-    yield {"sums": [total.tobytes()]}
-
-
-def _pool(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-    sums = np.concatenate((np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0, dtype=np.float64)))
-    return sums[at[1:]] - sums[at[:-1]]
-
-
-def features(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """One row for each text: pooled vectors and plain figures; texts without words are zeros but for the bias."""
+            for a in range(0, len(words), CHUNK):
+                own = np.arange(a, min(len(words), a + CHUNK))
+                for step in (*range(-WINDOW, 0), *range(1, WINDOW + 1)):
+                    here = own[(own + step >= 0) & (own + step < len(words))]
+                    here = here[text[here] == text[here + step]]
+                    for around in (words[here + step], shapes[here + step]):
+                        for target in (words[here], shapes[here]):
+                            total += np.bincount((target[:, None] * DIM + place[around]).ravel(), value[around].ravel(), len(total))
+    yield {"sums": [total.astype("<i4").tobytes()]}
+
+
+def _pool(table: np.ndarray, unit: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """For each of n texts the sum of its units' rows: a dense count matrix over the units that occur, times their rows."""
+    used = np.flatnonzero(np.bincount(unit, minlength=len(table)))
+    column = np.zeros(len(table), np.int64)
+    column[used] = np.arange(len(used))
+    counts = np.bincount(text * len(used) + column[unit], minlength=n * len(used)).astype(np.float32)
+    return counts.reshape(n, len(used)) @ table[used]
+
+
+def _distinct(hashes: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Number of distinct hashes of each text, by one sort of (text, 48 bits of the hash)."""
+    key = np.sort(text.astype(np.uint64) << np.uint64(48) | hashes >> np.uint64(16))
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    return np.bincount((key[fresh] >> np.uint64(48)).astype(np.int64), minlength=n)
+
+
+def pooling_table(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of word units, and of shape units with their squares beside them."""
+    shapes = vectors[UNITS:]
+    return np.ascontiguousarray(vectors[:UNITS]), np.hstack((shapes, shapes * shapes))
+
+
+def features(texts: list[bytes], tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """One row for each text: pooled vectors and plain figures; texts without words are zeros."""
     out = np.zeros((len(texts), 3 * DIM + 6))
-    for lo, hi in T.groups(texts, 1 << 20):
-        words, shapes, at = units(texts[lo:hi])
-        n = np.maximum(np.diff(at), 1)[:, None]
-        mean = _pool(vectors[words], at) / n
-        own = vectors[shapes]
-        flat = _pool(own, at) / n
-        spread = np.sqrt(np.maximum(_pool(own * own, at) / n - flat * flat, 0))
-        full, f_at = T.word_hashes(texts[lo:hi])
-        runs = T.ngram_hashes(full, 3)
-        plain = np.zeros((hi - lo, 6))
-        for i in range(hi - lo):
-            a, b = int(at[i]), int(at[i + 1])
-            t = texts[lo + i]
-            if b > a:
-                some = runs[a : max(a, b - 2)]
-                plain[i] = (np.log1p(b - a), len(np.unique(full[a:b])) / (b - a), len(np.unique(some)) / max(1, len(some)), len(t) / (b - a), t.count(b"\n") / (b - a), 1.0)
-        out[lo:hi] = np.hstack((mean, flat, spread, plain))
+    # Groups are small, so that what is held for a group is, and a count matrix stays in the cache.
+    for a, b in T.groups(texts, GROUP_BYTES):
+        for lo in range(a, b, GROUP_TEXTS):
+            hi = min(b, lo + GROUP_TEXTS)
+            words, shapes, full, at = units(texts[lo:hi])
+            n = np.diff(at)
+            some = np.flatnonzero(n)
+            if not len(some):
+                continue
+            text = np.repeat(np.arange(hi - lo), n)
+            each = np.maximum(n, 1)[:, None].astype(float)
+            mean = _pool(tables[0], words, text, hi - lo) / each
+            both = _pool(tables[1], shapes - UNITS, text, hi - lo) / each
+            flat, square = both[:, :DIM], both[:, DIM:]
+            runs = T.ngram_hashes(full, 3)
+            whole = text[: len(runs)] == text[2:]
+            size = np.fromiter(map(len, texts[lo:hi]), np.int64, hi - lo)
+            lines = np.fromiter((t.count(b"\n") for t in texts[lo:hi]), np.int64, hi - lo)
+            plain = np.stack(
+                (
+                    np.log1p(n),
+                    _distinct(full, text, hi - lo) / each[:, 0],
+                    _distinct(runs[whole], text[: len(runs)][whole], hi - lo) / np.maximum(n - 2, 1),
+                    size / each[:, 0],
+                    lines / each[:, 0],
+                    np.ones(hi - lo),
+                ),
+                axis=1,
+            )
+            rows = np.hstack((mean, flat, np.sqrt(np.maximum(square - flat * flat, 0)), plain))
+            out[lo + some] = rows[some]
     return out
 
 
-def _features(vectors):
+def _features(tables):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
-            yield {"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [r.astype("<f8").tobytes() for r in features(texts_of(pdf), vectors.value)]}
+            for lo, hi in T.groups(list(pdf["text"])):
+                part = pdf.iloc[lo:hi]
+                yield {"doc_id": part["doc_id"], "label": part["label"], "x": [r.astype("<f8").tobytes() for r in features(texts_of(part), tables.value)]}
 
     return run
 
@@ -154,8 +192,8 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_logits(model, x) / model["temperature"], -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict] | None:
-    """Vectors and network from a bounded sample of labelled documents outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], dict] | None:
+    """Pooling tables and network from a bounded sample of labelled documents outside the held-out fold.
 
     None where fewer than two classes are labelled.
     """
@@ -167,21 +205,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict] | None:
     sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).coalesce(FIT_TASKS)
     total = np.zeros((2 * UNITS, DIM))
     for r in batch_map(sample, _contexts, "sums binary").collect():
-        total += np.frombuffer(r["sums"], np.float32).reshape(2 * UNITS, DIM)
+        total += np.frombuffer(r["sums"], "<i4").reshape(2 * UNITS, DIM)
     vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    shared = spark.sparkContext.broadcast(vectors)
+    tables = pooling_table(vectors)
+    shared = spark.sparkContext.broadcast(tables)
     rows = sorted(batch_map(sample, _features(shared), "doc_id long, label int, x binary").collect(), key=lambda r: (r["doc_id"], r["label"], r["x"]))
     if len({r["label"] for r in rows}) < 2:
         return None
     x = np.stack([np.frombuffer(r["x"], "<f8") for r in rows])
-    return vectors, train(x, np.array([r["label"] for r in rows], float))
+    return tables, train(x, np.array([r["label"] for r in rows], float))
+
+
+def _scored(net: dict, tables, texts: list[bytes]) -> np.ndarray:
+    """Scores of many texts; features are held for one group of them at a time."""
+    parts = [score(net, features(texts[lo:hi], tables)) for lo, hi in T.groups(texts)]
+    return np.concatenate(parts) if parts else np.empty(0)
 
 
 def _scores(model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        vectors, net = model.value
+        tables, net = model.value
         for pdf in batches:
-            yield {"doc_id": pdf["doc_id"], "score": score(net, features(texts_of(pdf), vectors))}
+            yield {"doc_id": pdf["doc_id"], "score": _scored(net, tables, texts_of(pdf))}
 
     return run
 
@@ -190,13 +235,13 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every document (doc_id, text) for quality.
 
     Null texts score as empty ones; repeated rows score alike; a null doc_id is
-    held out of nothing (held_out null); an empty table gives no rows. Where
+    held out of nothing (held_out false); an empty table gives no rows. Where
     labels of both classes are missing, every score is 1. Other columns are not
     read. Returns doc_id, held_out, score, predicted (1 from THRESHOLD on).
     """
     spark = docs.sparkSession
     model = fit(docs, labels)
-    held = (crc_mod("doc_id", 5) == 0).alias("held_out")
+    held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     if model is None:
         return docs.select("doc_id", held, F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
     out = batch_map(docs.select("doc_id", "text"), _scores(spark.sparkContext.broadcast(model)), "doc_id long, score double")
@@ -207,20 +252,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def _kept(model, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        vectors, net = model.value
-        for pdf in batches:
-            good = score(net, features(texts_of(pdf), vectors)) >= THRESHOLD
-            yield {n: pdf[n][good] for n in names}
-
-    return run
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier does not reject."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model is None:
         return docs
     shared = spark.sparkContext.broadcast(model)
-    return batch_map(docs, _kept(shared, docs.columns), ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+
+    def good(texts: list[str | None]) -> np.ndarray:
+        tables, net = shared.value
+        return _scored(net, tables, utf8(texts)) >= THRESHOLD
+
+    return filter_texts(docs, good)
