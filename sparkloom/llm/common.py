@@ -33,12 +33,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every machine sees: spark.checkpoint.dir, or our own where it is unset."""
+    """The folder every machine sees: spark.checkpoint.dir, or our own where it is unset and there is one machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="loom-checkpoints-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -62,6 +64,24 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def kept_bytes(spark: SparkSession, name: str, make) -> bytes:
+    """Bytes under ``name`` in the shared folder; where there are none, ``make`` gives them, and the first writer's stay."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    fs = path.getFileSystem(conf)
+    if not fs.exists(path):
+        fs.mkdirs(path.getParent())
+        try:
+            out = fs.create(path, False)
+        except Exception:  # another writer was first
+            if not fs.exists(path):
+                raise
+        else:
+            out.write(bytearray(make()))
+            out.close()
+    return bytes(spark.read.format("binaryFile").load(path.toString()).select("content").first()[0])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,6 +14,7 @@ block meets all documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import batch_map, materialize
+from .common import batch_map, materialize, replace_columns
 
 #: Words of the shortest tile.
 MATCH = 5
@@ -114,12 +115,17 @@ def cover(index: dict, doc: np.ndarray, runs: np.ndarray, coverage: float, least
     hit = np.flatnonzero(hi > lo)
     if not len(hit):
         return []
-    rows = np.unique(np.concatenate([np.arange(lo[h], hi[h]) for h in hit]))
+    size = hi[hit] - lo[hit]
+    rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[hit], size)
+    owner = index["owner"][rows]
+    order = np.argsort(owner, kind="stable")
+    rows, owner = rows[order], owner[order]
     out = []
-    for k in np.unique(index["owner"][rows]):
+    for part in np.split(rows, np.flatnonzero(owner[1:] != owner[:-1]) + 1):
+        k = index["owner"][part[0]]
         item = index["words"][index["at"][k] : index["at"][k + 1]]
         could = np.zeros(len(item) + 1, np.int64)
-        places = index["place"][rows[index["owner"][rows] == k]]
+        places = index["place"][part]
         np.add.at(could, places, 1)
         np.add.at(could, np.minimum(places + least, len(item)), -1)
         if (np.cumsum(could)[:-1] > 0).sum() < coverage * len(item):
@@ -129,32 +135,28 @@ def cover(index: dict, doc: np.ndarray, runs: np.ndarray, coverage: float, least
     return out
 
 
-FOUND = "coverage double, n_tiles int, item_ids array<long>"
+def _scan(shared, coverage: float, least: int):
+    """Of texts: coverage of the most covered item, its tiles, and the items that are covered enough."""
 
-
-def _scan(shared, coverage: float, least: int, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    def run(texts: list[str | None]) -> tuple[list[float], list[int], list[list[int]]]:
         index = shared.value
         seeds = index["seeds"]
         table = np.zeros(1 << 20, bool)
         table[(seeds >> np.uint64(44)).astype(np.int64)] = True
-        for pdf in batches:
-            texts = list(pdf["text"])
-            for lo, hi in T.groups(texts, 1 << 22):
-                words, at = words_of(texts[lo:hi])
-                runs = T.ngram_hashes(words, least)
-                maybe = np.flatnonzero(table[(runs >> np.uint64(44)).astype(np.int64)])
-                maybe = maybe[np.isin(runs[maybe], seeds)] if len(maybe) else maybe
-                hit = np.unique(np.searchsorted(at, maybe, "right") - 1)
-                best = {}
-                for i in hit:
-                    a, b = int(at[i]), int(at[i + 1])
-                    own = np.unique(runs[a : max(a, b - least + 1)])
-                    best[int(i)] = cover(index, words[a:b], own, coverage, least)
-                got = [best.get(i, []) for i in range(hi - lo)]
-                top = [max(g, key=lambda x: x[1], default=(0, 0.0, 0)) for g in got]
-                part = pdf.iloc[lo:hi]
-                yield {n: part[n] for n in names} | {"coverage": [t[1] for t in top], "n_tiles": [t[2] for t in top], "item_ids": [sorted(index["ids"][k] for k, c, _ in g if c >= coverage) for g in got]}
+        top: list[tuple] = []
+        ids: list[list[int]] = []
+        for lo, hi in T.groups(texts, 1 << 22):
+            words, at = words_of(texts[lo:hi])
+            runs = T.ngram_hashes(words, least)
+            maybe = np.flatnonzero(table[(runs >> np.uint64(44)).astype(np.int64)])
+            maybe = maybe[np.isin(runs[maybe], seeds)] if len(maybe) else maybe
+            got: list[list[tuple]] = [[] for _ in range(hi - lo)]
+            for i in np.unique(np.searchsorted(at, maybe, "right") - 1):
+                a, b = int(at[i]), int(at[i + 1])
+                got[i] = cover(index, words[a:b], np.unique(runs[a : max(a, b - least + 1)]), coverage, least)
+            top += [max(g, key=lambda x: x[1], default=(0, 0.0, 0)) for g in got]
+            ids += [sorted(index["ids"][k] for k, c, _ in g if c >= coverage) for g in got]
+        return [t[1] for t in top], [t[2] for t in top], ids
 
     return run
 
@@ -173,38 +175,66 @@ def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
         yield block
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MATCH) -> DataFrame:
+#: Names of the columns that are added.
+NEW = ("coverage", "n_tiles", "item_ids", "contaminated")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, least: int = MATCH, names: tuple[str, ...] = NEW) -> DataFrame:
     """Mark documents that hold test items.
 
     Returns all columns of ``docs`` (with a text column) and coverage (of the
     most covered item; 0 where shared seeds cannot cover enough of any), n_tiles
-    (its tiles), item_ids (items covered by
-    ``coverage`` or more, sorted) and contaminated. Null texts and texts of fewer
-    than ``least`` words have no tiles, nor have such items; repeated rows are
-    marked alike; an empty benchmark marks nothing; an empty table gives no rows.
-    Columns of docs named as those added are replaced.
+    (its tiles), item_ids (items covered by ``coverage`` or more, sorted) and
+    contaminated, under ``names``. Null texts and texts of fewer than ``least``
+    words have no tiles, nor have such items; repeated rows are marked alike; an
+    empty benchmark marks nothing; an empty table gives no rows. Columns of docs
+    named as those added are replaced; no other column is converted.
+
+    A benchmark of one block is scanned for in one pass without a shuffle. Of more
+    blocks, each pass gives only what it has found (by two hashes of the text);
+    what all passes found is joined to the documents once.
     """
     spark = docs.sparkSession
-    new = ("coverage", "n_tiles", "item_ids", "contaminated")
-    docs = docs.drop(*new)
-    names = docs.columns
-    ddl = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", " + FOUND
-    out = None
-    for k, block in enumerate(benchmark_blocks(benchmark)):
+    one, two, three, flag = names
+    docs = docs.drop(*names)
+    found = f"`{one}` double, `{two}` int, `{three}` array<long>"
+    blocks = benchmark_blocks(benchmark)
+    block, following = next(blocks, None), next(blocks, None)
+    if block is None:
+        out = docs.select("*", F.lit(0.0).alias(one), F.lit(0).alias(two), F.array().cast("array<long>").alias(three))
+    elif following is None:
+        scan = _scan(spark.sparkContext.broadcast(index_block(block, least)), coverage, least)
+        out = replace_columns(docs, lambda batch: dict(zip(names, scan(batch.column("text").to_pylist()), strict=False)), found)
+    else:
+        out = _by_blocks(docs, chain((block, following), blocks), coverage, least, names)
+    return out.withColumn(flag, F.size(three) > 0)
+
+
+def _by_blocks(docs: DataFrame, blocks, coverage: float, least: int, names: tuple[str, ...]) -> DataFrame:
+    spark = docs.sparkSession
+    keys = [F.xxhash64("text"), F.xxhash64("text", F.lit(1))]
+    texts = docs.where("text is not null").select(keys[0].alias("k1"), keys[1].alias("k2"), "text")
+    passes = []
+    for block in blocks:
         shared = spark.sparkContext.broadcast(index_block(block, least))
-        if out is None:
-            out = batch_map(docs, _scan(shared, coverage, least, names), ddl)
-            continue
-        # Later blocks add to what earlier ones found; each pass is written so that one index is held at a time.
-        old = [F.struct(F.col("coverage").alias("c"), F.col("n_tiles").alias("t")), F.col("item_ids")]
-        out = materialize(out).select(*names, old[0].alias("_top"), old[1].alias("_ids"))
-        next_ddl = ", ".join(f"`{n}` {t}" for n, t in out.dtypes) + ", " + FOUND
-        out = batch_map(out, _scan(shared, coverage, least, out.columns), next_ddl)
-        top = F.greatest("_top", F.struct(F.col("coverage").alias("c"), F.col("n_tiles").alias("t")))
-        out = out.select(*names, top["c"].alias("coverage"), top["t"].alias("n_tiles"), F.array_sort(F.array_union("_ids", "item_ids")).alias("item_ids"))
-    if out is None:
-        out = docs.select(*names, F.lit(0.0).alias("coverage"), F.lit(0).alias("n_tiles"), F.array().cast("array<long>").alias("item_ids"))
-    return out.withColumn("contaminated", F.size("item_ids") > 0)
+
+        def hits(batches: Iterator[pd.DataFrame], scan=_scan(shared, coverage, least)) -> Iterator[dict]:
+            for pdf in batches:
+                c, n, ids = scan(list(pdf["text"]))
+                some = [i for i, v in enumerate(c) if v > 0]
+                yield {"k1": pdf["k1"].iloc[some], "k2": pdf["k2"].iloc[some], "c": [c[i] for i in some], "n": [n[i] for i in some], "ids": [ids[i] for i in some]}
+
+        passes.append(materialize(batch_map(texts, hits, "k1 long, k2 long, c double, n int, ids array<long>").dropDuplicates(["k1", "k2"])))
+        shared.unpersist()
+    every = passes[0]
+    for p in passes[1:]:
+        every = every.unionByName(p)
+    # A text has one row for each pass at most.
+    every = every.groupBy("k1", "k2").agg(F.max(F.struct("c", "n")).alias("top"), F.flatten(F.collect_list("ids")).alias("ids"))
+    marks = every.select(F.col("k1").alias("_mark_1"), F.col("k2").alias("_mark_2"), "top", F.array_sort(F.array_distinct("ids")).alias("ids"))
+    one, two, three, _ = names
+    joined = docs.select(F.struct("*").alias("row"), keys[0].alias("k1"), keys[1].alias("k2")).join(marks, [F.col("k1") == F.col("_mark_1"), F.col("k2") == F.col("_mark_2")], "left")
+    return joined.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.coalesce("top.c", F.lit(0.0)).alias(one), F.coalesce("top.n", F.lit(0)).alias(two), F.coalesce("ids", F.array().cast("array<long>")).alias(three))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,6 +243,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold no test item."""
-    marked = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return marked.where(~F.col("contaminated")).select(docs.columns)
+    """Pipeline stage: documents that hold no test item. Columns stay as they are, whatever their names."""
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    marked = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), names=tuple(mark + n for n in NEW))
+    return marked.where(~F.col(f"{mark}contaminated")).select(docs.columns)
