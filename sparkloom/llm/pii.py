@@ -5,24 +5,29 @@ letter, octet or list entry that may change; all else is kept), and a keyed
 permutation of that domain gives its surrogate. The permutation P^-1(P(x) + 1)
 has no fixed point, so nothing is replaced by itself, and being one to one it
 keeps distinct entities distinct and equal ones equal over the whole corpus
-without exchanging any of them between machines. Each worker also checks every
-new surrogate against those it has given out; ``collisions`` checks a table.
+without exchanging any of them between machines. Where a form leaves no other
+choice (one single member, or none but itself), a keyed word takes its place:
+no entity is ever returned unchanged. Each worker also checks every new surrogate
+against those it has given out; ``collisions`` checks a table.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import secrets
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_map
+from .common import batch_map, kept_bytes, replace_columns
 
-#: Key of the pipeline's own runs; a real corpus gets a secret one.
-KEY = b"surrogates of the test corpus"
+#: Setting that holds the key; without it a random key is kept in the shared folder.
+KEY_SETTING = "spark.sparkloom.surrogates.key"
 #: Entities whose surrogates a worker keeps.
 CACHE = 200_000
 
@@ -38,8 +43,10 @@ NAMES = {
     ("m", "cyrillic"): ["Иван", "Пётр", "Алексей", "Сергей", "Дмитрий", "Николай", "Андрей", "Михаил"],
     ("f", "cyrillic"): ["Анна", "Мария", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина", "Светлана"],
 }
+#: Names of vowels in names of letters; ranges of code points whose letters are taken together.
+VOWELS = {"A", "E", "I", "O", "U", "AE", "OE", "ALPHA", "EPSILON", "ETA", "IOTA", "OMICRON", "UPSILON", "OMEGA", "IE", "YERU", "YU", "YA", "IO"}
+RANGES = [(0x00, 0x80), (0x80, 0x180), (0x370, 0x400), (0x430, 0x450), (0x400, 0x460), (0x530, 0x590), (0x3400, 0x4DC0), (0x4E00, 0xA000), (0xAC00, 0xD7A4)]
 ENDINGS = ["ская", "ский", "ова", "ева", "ина", "ов", "ев", "ин", "ez", "son", "mann"]
-LETTERS = {"latin": ("aeiou", "bcdfghjklmnpqrstvwxyz"), "cyrillic": ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ")}
 PUBLIC_OCTETS = [o for o in range(1, 224) if o not in (10, 127, 169, 172, 192)]
 
 
@@ -103,7 +110,12 @@ def _place(c: str, alphabets: tuple[str, ...]) -> tuple[str, int, int]:
         i = a.find(c)
         if i >= 0:
             return a, -1, i
-    return c, 0, 0
+    return (c, 0, 0) if c.isascii() else _letter(c)
+
+
+def _letter(c: str) -> tuple[str, int, int]:
+    a = alphabet(c)
+    return (a, -1, a.index(c)) if len(a) > 1 else (c, 0, 0)
 
 
 DIGITS = "0123456789"
@@ -151,15 +163,46 @@ def _email(key: bytes, s: str) -> str:
     return _text(key, "email", f"{local}@{body}", (SMALL, DIGITS)) + "." + top
 
 
+_PLACES = {n: "".join(map(chr, range(n))) for n in (1000, 10_000)}
+_EXCHANGES = _PLACES[1000].replace(chr(555), "")
+
+
 def _phone(key: bytes, s: str) -> str:
-    """s: digits, the last ten the number itself; the exchange 555 is kept."""
+    """s: digits, the last ten the number itself; the exchange 555 is kept, and no other number gets it."""
     head, own = s[:-10], s[-10:]
-    if own[3:6] == "555":
-        return head + _text(key, "phone", own, (DIGITS,), (3, 4, 5))
-    while True:
-        own = _text(key, "phone", own, (DIGITS,))
-        if own[3:6] != "555":
-            return head + own
+    area, exchange, line = int(own[:3]), int(own[3:6]), int(own[6:])
+    middle = (chr(555), 0, 0) if exchange == 555 else (_EXCHANGES, -1, _EXCHANGES.index(chr(exchange)))
+    made = mapped(key, "phone", [(_PLACES[1000], -1, area), middle, (_PLACES[10_000], -1, line)])
+    return head + "".join(f"{ord(c):0{n}}" for c, n in zip(made, (3, 3, 4), strict=True))
+
+
+@functools.cache
+def _base(c: str) -> tuple[str, bool, bool] | None:
+    """(script, is a vowel, is plain) of a small letter that has a capital of its own, or of a letter without case."""
+    name = unicodedata.name(c, "")
+    kind = unicodedata.category(c)
+    if kind not in ("Ll", "Lo") or kind == "Ll" and not (len(c.upper()) == 1 and c.upper().lower() == c != c.upper()):
+        return None
+    if kind == "Lo":
+        return name.split(" ")[0], False, True
+    m = re.match(r"(\w+)(?: SMALL)? LETTER (?:SHORT )?([\w ]+?)( WITH .*)?\Z", name)
+    if not m:
+        return name.split(" ")[0], False, False
+    return m[1], m[2] in VOWELS, not m[3]
+
+
+@functools.cache
+def alphabet(c: str) -> str:
+    """The letters that may stand for c: of its script, vowel for vowel, accented for accented. c alone if there are none."""
+    own = _base(c)
+    if own is None:
+        return c
+    lo, hi = _range(c)
+    return "".join(d for d in map(chr, range(lo, hi)) if _base(d) == own and _range(d) == (lo, hi)) or c
+
+
+def _range(c: str) -> tuple[int, int]:
+    return next(((a, b) for a, b in RANGES if a <= ord(c) < b), (ord(c) & ~0xFF, (ord(c) & ~0xFF) + 256))
 
 
 def script_of(word: str) -> str:
@@ -175,9 +218,11 @@ def _listed(s: str) -> tuple[str, str, list[str]] | None:
 
 
 def _given(key: bytes, s: str) -> str:
+    """A listed name for a listed one of its gender and script; else other letters. Its last letter, which
+    tells the gender of many names, stays if it is a vowel."""
     known = _listed(s)
     if known is None:
-        return _family(key, s)
+        return _name(key, "given", s, s[-1] if len(s) > 2 and (_base(s[-1]) or ("", False))[1] else "")
     g, script, low = known
     return low[ord(mapped(key, f"given-{g}-{script}", [("".join(map(chr, range(len(low)))), -1, low.index(s))])[0])]
 
@@ -187,16 +232,28 @@ def _ending(s: str) -> str:
 
 
 def _family(key: bytes, s: str) -> str:
-    """Vowels for vowels and consonants for consonants; walks on until the result is of s's own class
-    (its ending, not a listed name), so that classes do not meet."""
-    ending, script = _ending(s), script_of(s)
+    return _name(key, "family", s, _ending(s))
+
+
+def _name(key: bytes, kind: str, s: str, ending: str) -> str:
+    """Vowels for vowels and consonants for consonants, before the ending; walks on until the result is of s's own
+    class (its ending, not a listed name), so that classes do not meet."""
     made = s
     while True:
-        made = _text(key, f"name-{ending}", made[: len(made) - len(ending)], LETTERS[script]) + ending
-        if _ending(made) == ending and (_listed(made) is None or _listed(s) is not None or made == s):
+        head = made[: len(made) - len(ending)]
+        made = "".join(mapped(key, f"{kind}-{ending}", [_letter(c) for c in head])) + ending
+        if made == s:
+            return ""  # no other name has this form
+        if (kind != "family" or _ending(made) == ending) and _listed(made) is None:
             return made
 
 
+def _word(key: bytes, kind: str, s: str) -> str:
+    """A keyed word of sixteen letters, for what has no other member of its form."""
+    n = int.from_bytes(hashlib.blake2b(f"{kind}\0{s}".encode("utf-8", "surrogatepass"), key=key[:64], digest_size=16).digest(), "big")
+    return "".join(SMALL[n // 26**i % 26] for i in range(16))
+
+
 MAKERS = {
     "email": _email,
     "phone": _phone,
@@ -225,6 +282,10 @@ _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), k
 _WORD = r"[^\W\d_]+(?:[-’'][^\W\d_]+)?"
 PERSON = re.compile(rf"(?<!\w)(?P<title>{_TITLE})(?P<gap>\.? )(?P<one>{_WORD})(?: (?P<two>{_WORD}))?")
 
+#: A listed given name and a word with a capital behind it, without a title.
+_NAMES = "|".join(sorted({re.escape(n) for names in NAMES.values() for n in names}, key=len, reverse=True))
+KNOWN = re.compile(rf"(?<!\w)(?P<one>{_NAMES})[ ](?P<two>[^\W\d_a-z]{_WORD})")
+
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities of a text, in order, not overlapping."""
@@ -252,7 +313,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     else:
         spans += [(*m.span(2), "secret", m[2]) for m in SECRET.finditer(text)]
     people: dict[str, str] = {}
-    for m in PERSON.finditer(text):
+    for m in [*PERSON.finditer(text), *KNOWN.finditer(text)]:
         if not m["one"][0].isupper():
             continue
         two = m["two"] if m["two"] and m["two"][0].isupper() else None
@@ -277,7 +338,7 @@ def dressed(kind: str, seen: str, made: str) -> str:
         return "".join(next(digits) if c.isdigit() else c for c in seen)
     if kind in ("given", "family"):
         return made.upper() if seen.isupper() and len(seen) > 1 else "-".join(p.capitalize() for p in made.split("-"))
-    if kind in ("email", "hex"):
+    if kind in ("email", "hex") and len(seen) == len(made):
         if seen.upper() == seen and seen.lower() != seen:
             return made.upper()
         return "".join(b.upper() if a.isupper() else b for a, b in zip(seen, made, strict=True))
@@ -294,6 +355,8 @@ class Surrogates:
         made = self.given.get((kind, s))
         if made is None:
             made = MAKERS[kind](self.key, s)
+            if made in ("", s):
+                made = _word(self.key, kind, s)
             if len(self.given) > CACHE:
                 self.given.clear()
                 self.owner.clear()
@@ -323,8 +386,16 @@ def _clean(key: bytes):
     return run
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """Replace personal data in every text (doc_id, text).
+def run_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING, or else a random one that the first run leaves in the shared folder."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named:
+        return hashlib.blake2b(named.encode(), digest_size=32).digest()
+    return kept_bytes(spark, "surrogates.key", lambda: secrets.token_bytes(32))
+
+
+def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
+    """Replace personal data in every text (doc_id, text); ``key`` decides by what.
 
     Null texts stay null; texts without entities are unchanged; repeated rows get
     equal results; null doc_ids stay; other columns are not read; an empty table
@@ -341,22 +412,19 @@ def collisions(given: DataFrame) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return surrogates(spark.read.parquet(f"{sf_dir}/documents.parquet"), run_key(spark))
 
 
-def _stage(key: bytes, names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        make = Surrogates(key)
-        for pdf in batches:
-            cols = {n: pdf[n] for n in names}
-            cols["text"] = [make.clean(t)[0] if isinstance(t, str) else None for t in pdf["text"]]
-            if "n_chars" in cols:
-                cols["n_chars"] = [n if t is None else len(t) for n, t in zip(pdf["n_chars"], cols["text"], strict=True)]
-            yield cols
-
-    return run
+def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: all documents, personal data replaced; n_chars, where it is a column of numbers, is that of the new text."""
+    key, counted = run_key(spark), dict(docs.dtypes).get("n_chars") in ("int", "bigint")
 
+    def clean(batch) -> dict:
+        make = Surrogates(key)
+        texts = [make.clean(t)[0] if isinstance(t, str) else None for t in batch.column("text").to_pylist()]
+        out = {"text": texts}
+        if counted:
+            out["n_chars"] = [n if t is None else len(t) for n, t in zip(batch.column("n_chars").to_pylist(), texts, strict=True)]
+        return out
 
-def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents, personal data replaced."""
-    return batch_map(docs, _stage(KEY, docs.columns), ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    return replace_columns(docs, clean)

@@ -356,15 +356,66 @@ def test_distinct_entities_stay_distinct(spark):
     ents += [("given", n.lower()) for names in pii.NAMES.values() for n in names] + [("card", f"{rng.randrange(10**15, 10**16)}") for _ in range(500)]
     rows = spark.createDataFrame([(k, s, m.of(k, s)) for k, s in set(ents)], "kind string, entity string, surrogate string")
     assert pii.collisions(rows).count() == 0
-    assert rows.where("entity = surrogate and kind <> 'family'").count() == 0
+    assert rows.where("entity = surrogate").count() == 0
+
+
+def test_alphabets_are_classes_of_letters():
+    for c in "aekéñłαώβяжйёآ한漢ąß":
+        own = pii.alphabet(c)
+        assert c in own and all(pii.alphabet(d) == own for d in own[:300:7])
+    assert set(pii.alphabet("a")) == set("aeiou") and "é" in pii.alphabet("à") and "ł" in pii.alphabet("ñ") and pii.alphabet("ß") == "ß"
+
+
+def test_names_of_any_script_change(spark):
+    m = pii.Surrogates(b"another key")
+    names = ["Παπαδόπουλος", "Łé", "Ééé", "Иванова", "Ёж", "Մինասյան", "Ñandú", "Ą", "O", "Bo", "Schröder-Müller", "ΣΣ", "Ǆ"]
+    for n in names:
+        new, found = m.clean(f"Then Mr {n} spoke.")
+        assert [k for k, *_ in found] == ["family"] and n.lower() not in new.lower().split("mr ")[1].split(), n
+        assert new == m.clean(f"Then Mr {n} spoke.")[0]
+    assert not {*"Παπαδόπουλο"} & {*m.clean("Mr Παπαδόπουλος")[0][3:]} - {*"αεηιουωάέήίόύώβγδζθκλμνξπρστφχψ"}
+    made = {m.of("family", n.lower()) for n in names}
+    assert len(made) == len({n.lower() for n in names}) and not made & {n.lower() for n in names}
+
+
+def test_known_names_without_a_title_and_the_ending_that_tells_the_gender(spark):
+    m = pii.Surrogates(b"key")
+    new, found = m.clean("Yesterday Sarah Miller met Zoria and Mrs Zoria Quendel. Sarah left.")
+    assert Counter(k for k, *_ in found) == {"given": 4, "family": 2}
+    given = {text: s for text, s in (("Yesterday Sarah Miller met Zoria and Mrs Zoria Quendel. Sarah left."[a:b], s) for k, a, b, s in found if k == "given")}
+    assert pii.gender_of(given["Sarah"]) == "f" and given["Zoria"].endswith("a") and new.count(given["Sarah"]) == 2 and new.count(given["Zoria"]) == 2
+
+
+def test_no_entity_of_many_survives_its_own_surrogate():
+    rng = random.Random(21)
+    m = pii.Surrogates(b"k2")
+    for _ in range(400):
+        own = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))).capitalize() for _ in range(2)]
+        mail = f"{own[0].lower()}.{rng.randrange(99)}@{own[1].lower().replace('é', 'e')}x.org"
+        phone = f"({rng.randrange(200, 999)}) {rng.choice((555, rng.randrange(200, 999)))}-{rng.randrange(10**4):04}"
+        number = f"{rng.randrange(10**3):03}-{rng.randrange(100):02}-{rng.randrange(10**4):04}"
+        text = f"Frau {own[0]} {own[1]}: {mail}, {phone}; {number}, password = 'éé{rng.randrange(10**9)}ñ'"
+        new, found = m.clean(text)
+        assert len(found) >= 6 and all(e not in new for e in (mail, phone, number)), text
+        assert all(text[a:b] != s and text[a:b].lower() != s.lower() for _, a, b, s in found), (text, new)
+
+
+def test_the_key_is_kept_in_the_shared_folder(spark):
+    one = pii.run_key(spark)
+    assert one == pii.run_key(spark) and len(one) == 32
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    try:
+        assert pii.run_key(spark) != one
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
 
 
 def test_surrogates_of_odd_rows(spark):
     docs = frame(spark, [*ODD, "a@b.co", "a@b.co", "no @ here", "1.2.3.4.5 and 2024-01-02 and 12345"])
-    rows = sorted(pii.surrogates(docs).collect(), key=lambda r: r["doc_id"])
+    rows = sorted(pii.surrogates(docs, b"key").collect(), key=lambda r: r["doc_id"])
     assert [r["text"] for r in rows[: len(ODD)]] == ODD and rows[len(ODD)]["text"] == rows[len(ODD) + 1]["text"] != "a@b.co"
     assert [r["n_entities"] for r in rows] == [0] * len(ODD) + [1, 1, 0, 0]
-    assert pii.surrogates(docs.limit(0)).count() == 0
+    assert pii.surrogates(docs.limit(0), b"key").count() == 0
 
 
 # --- 5 and 8 tokens ---
