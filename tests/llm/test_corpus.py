@@ -566,17 +566,58 @@ def test_packing_round_trip(spark, exact):
 # --- 6 licences ---
 
 
-def test_license_rules():
-    s = licenses.SENTENCES
-    mit = f"Copyright 2020 X\n\n{s['mit-grant']}\n\n{s['mit-notice']}\n\n{s['as-is']}"
-    assert licenses.match(licenses.identify(mit))[0][0] == "MIT" and len(licenses.match(licenses.identify(mit))) == 1
-    text = f"Some words here\n{s['gpl3-work']}\nmore words. LICENSED UNDER THE APACHE LICENSE, VERSION 2.0.!! and more"
-    assert [m[0] for m in licenses.match(licenses.identify(text))] == ["GPL-3.0-only", "Apache-2.0"]
-    assert licenses.identify("We licensed the song. A permission slip.") == []
+def licences_of(text):
+    return [m[0] for m in licenses.match(licenses.identify(text))]
+
+
+def test_license_texts_in_any_layout():
+    for name, _, text in licenses.TEXTS:
+        lines = text.split(" ")
+        wrapped = "\n".join(" * " + " ".join(lines[i : i + 9]) for i in range(0, len(lines), 9))
+        for t in (text, text.upper(), f"Copyright 2020 X\n\n{text}\n\nSome other words.", wrapped):
+            assert set(licences_of(t)) == {name} and len(licences_of(t)) == 1, (name, t)
     for name, seq in licenses.RULES:
         assert licenses.match([(i, i + 1, k) for i, k in enumerate(seq)])[0][0] == name
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Some words here\nThis work is licensed under the GNU General Public License, version 3.\nmore words. LICENSED UNDER THE APACHE LICENSE, VERSION 2.0.!! and more", ["GPL-3.0-only", "Apache-2.0"]),
+        ("This code is licensed under the MIT license.", ["MIT"]),
+        ("Released under GPLv3.", ["GPL-3.0-only"]),
+        ("Distributed under the terms of the Mozilla Public Licence, version 2.0", ["MPL-2.0"]),
+        ("This project is dual licensed under the MIT License or the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+        ("# SPDX-License-Identifier: GPL-2.0+\nimport os", ["GPL-2.0-or-later"]),
+        ("// SPDX-License-Identifier: (ISC OR Apache-2.0)\n", ["ISC", "Apache-2.0"]),
+        ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note", ["GPL-2.0-only"]),
+        ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+        ("We licensed the song. A permission slip. The book is available under the counter.", []),
+        ("Released under the MIT License" + " " * 5000 + ".", ["MIT"]),
+    ],
+)
+def test_license_notices(text, want):
+    assert licences_of(text) == want
+
+
+def test_license_match_against_every_rule_at_every_place():
+    """The first of all rules, longest first, that fits at a place; then on behind it."""
+    rng = random.Random(41)
+    ids = sorted(set(licenses.KNOWN.values()) | {k for _, seq in licenses.RULES for k in seq})
+    for _ in range(300):
+        seq: list = []
+        while len(seq) < 12:
+            seq += rng.choice(licenses.RULES)[1] if rng.random() < 0.7 else [rng.choice(ids)]
+        want, i = [], 0
+        while i < len(seq):
+            fits = [(len(r), name) for name, r in licenses.RULES if seq[i : i + len(r)] == r]
+            best = max((n for n, _ in fits), default=0)
+            if best:
+                want.append((next(name for n, name in fits if n == best), i, i + best))
+            i += best or 1
+        assert licenses.match([(k, k + 1, x) for k, x in enumerate(seq)]) == want
+
+
 def test_license_scan_of_odd_rows(spark):
     docs = frame(spark, [*ODD, "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC 4.0."])
     rows = sorted(licenses.scan(docs).collect(), key=lambda r: r["doc_id"])
