@@ -1,15 +1,19 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact intersection.
 
-1. A count sketch of all shingles (fixed size, over every document) finds the
-   frequent ones. Shingles are ordered rare first; two sets with Jaccard >= t
-   share one of their first n - ceil(t n) + 1 shingles in that order.
-2. Documents that share such a shingle and lie in one size band or the next form
-   a tile. Documents of equal sets are one node throughout.
+1. A count sketch of all shingles (fixed size, over every document) orders them
+   rare first; two sets with Jaccard >= t share one of their first
+   n - ceil(t n) + 1 shingles in that order.
+2. Documents that share such a shingle and lie in one size band or the next are
+   candidates. Those that have their least member in common form one tile, so the
+   many shingles of one passage or of one group of copies make few tiles.
+   Documents of equal sets are one node throughout.
 3. In a tile, members of different components meet in square blocks, where sizes
-   and the bit counts of hashed bitmaps bound each overlap from above. At first a
-   member passes on only its most promising partner; these are intersected
-   exactly on sorted arrays and components grow. Tiles that held back pairs and
-   still hold several components come again, in the end with all such pairs.
+   and the bit counts of hashed bitmaps bound each overlap from above. Members of
+   the tile's largest component need not meet one another: they are dealt once to
+   each block of the others. At first only the members of one block meet all, and
+   each passes on only its most promising partner; these are intersected exactly
+   on sorted arrays and components grow. Tiles that held back pairs and still hold
+   several components come again, in the end with all such pairs.
    No component is lost: of a pair that shares a tile, either it was intersected,
    or a bound excludes it, or both ends were joined before.
 4. Every link lies inside a component, so the links are counted there: all pairs
@@ -32,10 +36,13 @@ from pyspark.sql import functions as F
 from . import textscan as T
 from .common import batch_map, components, grouped_map, materialize, remove, ship, shuffle_parts, texts_of
 
-#: Counters of the sketch; what is collected and broadcast is bounded by them (2**17 longs: 1 MB).
-SKETCH = 1 << 17
+#: Counters of the sketch; what is broadcast is bounded by them (2**20 longs: 8 MB), and so is what the driver gets.
+SKETCH = 1 << 20
+SKETCH_TASKS = 8
 #: A shingle that occurs in more documents than this, as far as the sketch tells, is dealt out in blocks.
 HOT_ROWS = 400_000
+#: Postings of one shingle that are looked at pair by pair.
+SMALL = 8
 #: Postings that one task sorts, on average.
 TASK_ROWS = 600_000
 #: Rows of a square block of a tile.
@@ -44,18 +51,38 @@ BLOCK = 1024
 BLOCK_SHINGLES = 1 << 22
 #: Columns of a dense piece of a block's incidence matrix; shingles of at most RARE sets are counted pair by pair.
 COLUMNS, RARE = 4096, 6
-#: Best pairs that each member of a tile passes on, time after time; at last no pair is held back.
-BEST = (1, 1)
+#: Time after time: best pairs that each member of a tile passes on (None: all), and whether all blocks meet.
+#: At last nothing is held back.
+TIMES = ((1, False), (1, True), (None, True))
 #: Bits a shingle of the bitmaps from the second time on, when few tiles are left; a tight bound leaves few pairs.
 WIDE = 16
 #: Candidate documents whose ids may be broadcast (64 MB); beyond, Spark shuffles.
 BROADCAST_IDS = 4_000_000
 
 
+def _signed(v: int) -> int:
+    v &= (1 << 64) - 1
+    return v - (1 << 64) if v >> 63 else v
+
+
 def _set_key(s: np.ndarray) -> int:
     """One 64-bit key for a set: equal sets have equal keys. The empty set has none."""
-    v = int(T.mix(s).sum(dtype=np.uint64)) ^ (len(s) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    return v - (1 << 64) if v >> 63 else v
+    return _signed(int(T.mix(s).sum(dtype=np.uint64)) ^ len(s) * 0x9E3779B97F4A7C15)
+
+
+def _check_key(s: np.ndarray) -> int:
+    """A second key, independent of the first: sets that agree in both are taken as equal."""
+    return _signed(int(T.mix(T.mix(s ^ np.uint64(0xD1342543DE82EF95)) + np.uint64(len(s))).sum(dtype=np.uint64)))
+
+
+def _node(s: np.ndarray, renamed: dict) -> int:
+    """The set's name: its key, unless another set has the same key and this one had to be renamed."""
+    key = _set_key(s)
+    return renamed[key].get(_check_key(s), key) if key in renamed else key
+
+
+def _new_name(key: int, check: int) -> int:
+    return _signed(int(T.mix(np.array([key & (1 << 64) - 1], np.uint64) ^ T.mix(np.array([check & (1 << 64) - 1], np.uint64)))[0]))
 
 
 def _bucket(s: np.ndarray) -> np.ndarray:
@@ -100,19 +127,20 @@ def linked(inter, na, nb, percent: int):
 def _describe(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         sketch = np.zeros(SKETCH, np.int64)
-        done: set[int] = set()
+        done: set[tuple] = set()
         for pdf in batches:
             for lo, hi in T.groups(list(pdf["text"])):
                 sets = T.shingle_sets(texts_of(pdf, lo, hi), k)
                 sketch += np.bincount(_bucket(np.concatenate(sets)), minlength=SKETCH)
                 nodes = [_set_key(s) if len(s) else None for s in sets]
+                checks = [_check_key(s) if len(s) else None for s in sets]
                 bits = []
-                for node, s in zip(nodes, sets, strict=True):
-                    bits.append(None if node is None or node in done else bitmap(s, bitmap_bits(len(s))).tobytes())
-                    done.add(node)
-                yield {"doc_id": pdf["doc_id"].iloc[lo:hi], "n": [len(s) for s in sets], "node": nodes, "bits": bits, "sketch": [None] * len(sets)}
+                for node, check, s in zip(nodes, checks, sets, strict=True):
+                    bits.append(None if node is None or (node, check) in done else bitmap(s, bitmap_bits(len(s))).tobytes())
+                    done.add((node, check))
+                yield {"doc_id": pdf["doc_id"].iloc[lo:hi], "n": [len(s) for s in sets], "node": nodes, "chk": checks, "bits": bits, "sketch": [None] * len(sets)}
         if sketch.any():
-            yield {"doc_id": [None], "n": [-1], "node": [None], "bits": [None], "sketch": [zlib.compress(sketch.astype("<i8").tobytes(), 1)]}
+            yield {"doc_id": [None], "n": [-1], "node": [None], "chk": [None], "bits": [None], "sketch": [zlib.compress(sketch.astype("<i8").tobytes(), 1)]}
 
     return run
 
@@ -122,58 +150,61 @@ def _sum_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
     for pdf in batches:
         for b in pdf["sketch"]:
             total += np.frombuffer(zlib.decompress(b), "<i8")
-    at = np.flatnonzero(total)
-    yield {"bucket": at, "cnt": total[at]}
+    if total.any():
+        yield {"sketch": [zlib.compress(total.astype("<i8").tobytes(), 1)]}
 
 
-def _frequent(described: DataFrame) -> np.ndarray:
-    """Counts of the buckets that stand out from the sketch's noise, 0 for all others."""
-    rows = batch_map(described.where("sketch is not null").select("sketch"), _sum_sketches, "bucket long, cnt long")
-    rows = rows.groupBy("bucket").agg(F.sum("cnt").alias("cnt"))
-    got = rows.toPandas()  # one row for each counter of the sketch at most
+def _frequencies(described: DataFrame) -> tuple[np.ndarray, int]:
+    """The sketch summed over all tasks, and the count up to which a counter may be mere noise.
+
+    The tasks' sketches are summed in two rounds, so that the driver gets SKETCH_TASKS of them.
+    """
+    rows = described.where("sketch is not null").select("sketch")
+    rows = materialize(batch_map(rows.coalesce(SKETCH_TASKS**2), _sum_sketches, "sketch binary"))
     out = np.zeros(SKETCH, np.int64)
-    if len(got):
-        out[got["bucket"].to_numpy()] = got["cnt"].to_numpy()
-        mean = out.sum() / SKETCH
-        out[out <= mean + 6 * math.sqrt(mean) + 8] = 0
-    return out
+    for r in batch_map(rows.coalesce(SKETCH_TASKS), _sum_sketches, "sketch binary").collect():
+        out += np.frombuffer(zlib.decompress(r["sketch"]), "<i8")
+    remove(described.sparkSession, rows)
+    mean = out.sum() / SKETCH
+    return out, int(mean + 6 * math.sqrt(mean) + 8)
 
 
-def _postings(k: int, percent: int, counts):
+def _postings(k: int, percent: int, counts, renamed: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        common = counts.value
+        common, noise = counts.value
         done: set[int] = set()
         for pdf in batches:
             for lo, hi in T.groups(list(pdf["text"])):
-                tokens, nodes, sizes = [], [], []
+                tokens, nodes, sizes, rests = [], [], [], []
                 for s in T.shingle_sets(texts_of(pdf, lo, hi), k):
                     n = len(s)
-                    if not n or (key := _set_key(s)) in done:
+                    if not n or (key := _node(s, renamed)) in done:
                         continue
                     done.add(key)
-                    level = common[_bucket(s)]
-                    first = s[np.argsort(level, kind="stable")] if level.any() else s
-                    first = first[: prefix_length(n, percent)]
+                    # Any order will do that is the same for all; the noise of small counts does no harm.
+                    first = s[np.argsort(common[_bucket(s)], kind="stable")[: prefix_length(n, percent)]]
                     tokens.append(first)
                     nodes.append(np.full(len(first), key, np.int64))
-                    sizes.append(np.full(len(first), n, np.int32))
+                    sizes.append(np.full(len(first), n, np.int64))
+                    rests.append(n - np.arange(len(first)))
                 if not tokens:
                     continue
-                token, node, size = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes)
-                parts = -(-common[_bucket(token)] // HOT_ROWS)
-                block = np.zeros(len(token), np.int32)
+                token, node, size, rest = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes), np.concatenate(rests)
+                # Size and the share of the set from this place on (rounded up to 255ths) go in one number.
+                size = size << 8 | -(-rest * 255 // size)
+                parts = -(-np.maximum(common[_bucket(token)] - noise, 0) // HOT_ROWS)
                 if (parts > 1).any():
                     # A hot shingle's documents are dealt to blocks; each pair of blocks meets once.
                     keep = parts <= 1
-                    more = [(token[keep], node[keep], size[keep], block[keep])]
+                    more = [(token[keep], node[keep], size[keep])]
                     for i in np.flatnonzero(~keep):
                         p = int(parts[i])
                         own = (int(node[i]) & (1 << 62) - 1) % p
                         other = np.arange(p)
-                        pair = np.minimum(own, other) * p + np.maximum(own, other)
-                        more.append((np.full(p, token[i]), np.full(p, node[i]), np.full(p, size[i], np.int32), pair.astype(np.int32)))
-                    token, node, size, block = (np.concatenate(c) for c in zip(*more, strict=True))
-                yield {"token": token.view(np.int64), "node": node, "n": size, "block": block}
+                        pair = np.minimum(own, other) * p + np.maximum(own, other) + 1
+                        more.append((T.mix(token[i] + pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.full(p, node[i]), np.full(p, size[i])))
+                    token, node, size = (np.concatenate(c) for c in zip(*more, strict=True))
+                yield {"token": token.view(np.int64), "node": node, "size": size}
 
     return run
 
@@ -183,53 +214,93 @@ def size_band(n: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(n) / math.log(100 / percent) + 1e-9).astype(np.int64)
 
 
+def viable(key: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a posting has a partner under the same (sorted) key with which this can be the first common shingle.
+
+    Of sets of n and m shingles that are linked, percent / (100 + percent) of n + m are
+    common, all of them in what is left of both sets from the first common one on.
+    Groups of up to SMALL postings are looked at pair by pair; larger ones stay as they are.
+    """
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[: len(key)]
+    count = np.diff(np.append(starts, len(key)))
+    out = np.repeat(count > SMALL, count)
+    left = np.repeat(starts + count, count)
+    small = ~out
+    for step in range(1, SMALL):
+        a = np.flatnonzero(small[: len(key) - step])
+        a = a[a + step < left[a]]
+        b = a + step
+        need = percent * (n[a] + n[b])
+        fits = ((100 + percent) * np.minimum(rest[a], rest[b]) >= need) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+        out[a[fits]] = out[b[fits]] = True
+    return out
+
+
 def _tiles(percent: int):
+    """Members of tiles from the postings of whole shingles.
+
+    The documents of a shingle in bands b and b + 1 are candidates of one another;
+    with the least of them, and b, they name the tile that they go to.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        kept = [[b[c].to_numpy() for c in ("token", "node", "n", "block")] for b in batches if len(b)]
+        kept = [[b[c].to_numpy() for c in ("token", "node", "size")] for b in batches if len(b)]
         if not kept:
             return
-        token, node, n, block = (np.concatenate(c) for c in zip(*kept, strict=True))
-        key = T.mix(token.view(np.uint64) + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        key, node, n = (np.concatenate(c) for c in zip(*kept, strict=True))
+        del kept
+        # Most shingles have one document; they are put aside before anything is sorted by more than the key.
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        same = key[1:] == key[:-1]
+        several = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        key, order = key[several], order[several]
+        node, n = node[order], n[order]
         order = np.lexsort((node, key))
         key, node, n = key[order], node[order], n[order]
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))[: len(key)]
         key, node, n = key[fresh], node[fresh], n[fresh]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        lengths = np.diff(np.append(starts, len(key)))
-        starts, lengths = starts[lengths > 1], lengths[lengths > 1]
-        if not len(starts):
+        n, rest = n >> 8, (n & 255) * (n >> 8) / 255
+        good = viable(key, n, rest, percent)
+        key, node, n = key[good], node[good], n[good]
+        if not len(key):
             return
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(T.mix(node.view(np.uint64)), dtype=np.uint64)))
-        sums = T.mix(sums[starts + lengths] - sums[starts])
-        _, one = np.unique(sums, return_index=True)  # tokens of equal members make one tile
-        tiles, members, sizes, leaders, counts = [], [], [], [], []
-        for i in np.sort(one):
-            own, size = node[starts[i] : starts[i] + lengths[i]], n[starts[i] : starts[i] + lengths[i]]
-            band = size_band(size, percent)
-            for b in np.unique(band):
-                inside = (band == b) | (band == b + 1)
-                if inside.sum() < 2 or (b - 1 in band and not (band == b + 1).any()):
-                    continue
-                m, size_in = own[inside], size[inside]
-                if len(m) == 2 and 100 * size_in.min() < percent * size_in.max():
-                    continue
-                tiles.append(np.full(len(m), T.mix(T.mix(m.view(np.uint64)).sum(dtype=np.uint64, keepdims=True) + np.uint64(b)).view(np.int64)[0]))
-                members.append(m)
-                sizes.append(size_in)
-                leaders.append(np.full(len(m), m[0]))
-                counts.append(np.full(len(m), len(m)))
-        if tiles:
-            yield {"tile": np.concatenate(tiles), "node": np.concatenate(members), "n": np.concatenate(sizes), "leader": np.concatenate(leaders), "members": np.concatenate(counts)}
+        run_of = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+        band = size_band(n, percent)
+        # A document of band v is in the tile of v, and in that of v - 1 as the larger one.
+        run_of, band, low = np.tile(run_of, 2), np.concatenate((band, band - 1)), np.repeat((1, 0), len(band))
+        node, n = np.tile(node, 2), np.tile(n, 2)
+        order = np.lexsort((node, band, run_of))
+        run_of, band, low, node, n = run_of[order], band[order], low[order], node[order], n[order]
+        starts = np.flatnonzero(np.concatenate(([True], (run_of[1:] != run_of[:-1]) | (band[1:] != band[:-1]))))
+        count = np.diff(np.append(starts, len(node)))
+        lows = np.add.reduceat(low, starts)
+        # The group before is that of the next smaller band, if the shingle has it.
+        covered = np.concatenate(([False], (run_of[starts[1:]] == run_of[starts[:-1]]) & (band[starts[1:]] == band[starts[:-1]] + 1) & (lows[:-1] > 0)))
+        good = (count > 1) & (lows > 0) & ~((lows == count) & covered)
+        two = np.flatnonzero(good & (count == 2))
+        one, other = n[starts[two]], n[starts[two] + 1]
+        good[two[100 * np.minimum(one, other) < percent * np.maximum(one, other)]] = False
+        leader = np.repeat(node[starts], count)
+        tile = T.mix(T.mix(leader.view(np.uint64)) + band.astype(np.uint64)).view(np.int64)
+        inside = np.repeat(good, count)
+        tile, node, n, leader = tile[inside], node[inside], n[inside], leader[inside]
+        order = np.lexsort((node, tile))
+        tile, node, n, leader = tile[order], node[order], n[order], leader[order]
+        fresh = np.concatenate(([True], (tile[1:] != tile[:-1]) | (node[1:] != node[:-1])))[: len(tile)]
+        if len(tile):
+            yield {"tile": tile[fresh], "node": node[fresh], "n": n[fresh], "leader": leader[fresh]}
 
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, renamed: dict, wide: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         for pdf in batches:
             for lo, hi in T.groups(list(pdf["text"])):
                 sets = [s for s in T.shingle_sets(texts_of(pdf, lo, hi), k) if len(s)]
-                yield {"node": [_set_key(s) for s in sets], "n": [len(s) for s in sets], "bits": [bitmap(s, bitmap_bits(len(s), WIDE)).tobytes() for s in sets], "items": [s.tobytes() for s in sets]}
+                data = [(bitmap(s, bitmap_bits(len(s), WIDE)) if wide else s).tobytes() for s in sets]
+                yield {"node": [_node(s, renamed) for s in sets], "n": [len(s) for s in sets], "bits" if wide else "items": data}
 
     return run
 
@@ -274,24 +345,23 @@ def _bound(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     return batch_map(both.where(fits), _bounded(percent), "a long, b long")
 
 
-def _fetch(wanted: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Sets (node, n, bits, items) of the nodes wanted, from the texts of one document of each."""
-    ids = materialize(wanted.join(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").select("doc_id").where("doc_id is not null").distinct())
+def _fetch(wanted: DataFrame, wide: bool, docs: DataFrame, nodes: DataFrame, k: int, renamed: dict) -> DataFrame:
+    """Sets (node, n, items), or their wide bitmaps (node, n, bits), of the nodes wanted, from the texts of one document of each."""
+    ids = materialize(wanted.join(nodes, "node").select("least").where("least is not null").distinct().withColumnRenamed("least", "doc_id"))
     few = ids.count() <= BROADCAST_IDS
     chosen = docs.where("text is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
     chosen = chosen.unionByName(docs.where("text is not null and doc_id is null")).select("text")
-    sets = batch_map(chosen, _sets(k), "node long, n long, bits binary, items binary")
+    sets = batch_map(chosen, _sets(k, renamed, wide), f"node long, n long, {'bits' if wide else 'items'} binary")
     out = materialize(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
     remove(docs.sparkSession, ids)
     return out
 
 
-def _intersect(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+def _intersect(pairs: DataFrame, fetch, percent: int) -> DataFrame:
     """Of the node pairs (a, b), those that are linked."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = _fetch(wanted, docs, rows, k)
+    sets = fetch(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), False)
     out = materialize(batch_map(_both_ends(pairs, sets, {"items": "items_"}), _exact(percent), "a long, b long"))
-    remove(docs.sparkSession, sets)
+    remove(pairs.sparkSession, sets)
     return out
 
 
@@ -299,16 +369,19 @@ def _cross(percent: int, best: int | None):
     """Pairs of square blocks of tiles, of different components, that sizes and bitmaps leave.
 
     Each member passes on its ``best`` most promising pairs (None: all), and a tile
-    that holds others back is named (a row without a pair).
+    that holds others back, here or in blocks that do not meet yet (``more``), is
+    named (a row without a pair).
     """
 
     def run(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> Iterator[dict]:
-        tile, node, n, root, own, bi, bj = (pdf[c].to_numpy(np.int64) for c in ("tile", "node", "n", "root", "own", "bi", "bj"))
+        tile, node, n, root, own, bi, bj, more = (pdf[c].to_numpy(np.int64) for c in ("tile", "node", "n", "root", "own", "bi", "bj", "more"))
         bits = [np.frombuffer(b, np.uint64) for b in pdf["bits"]]
         width = np.fromiter(map(len, bits), np.int64, len(bits))
         left, right, again = [], [], []
         for s, e in zip(starts, ends, strict=True):
             rows = np.arange(s, e)
+            if more[s]:
+                again.append(tile[s])
             x, y = (rows, rows) if bi[s] == bj[s] else (rows[own[s:e] == bi[s]], rows[own[s:e] == bj[s]])
             if not len(x) or not len(y):
                 continue
@@ -347,39 +420,58 @@ def _cross(percent: int, best: int | None):
     return run
 
 
-def _grid(tiles: DataFrame, bits: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Tile members (tile, node, root, members) against each other in square blocks: a, b, tile."""
-    rows = tiles.join(bits.select("node", "n", "bits"), "node")
-    rows = rows.withColumn("side", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("side")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, side - 1)")))
-    rows = rows.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
-    rows = rows.select("tile", "bi", "bj", "own", "node", "n", "root", "bits")
+def _grid(tiles: DataFrame, bits: DataFrame, percent: int, best: int | None, full: bool) -> DataFrame:
+    """Members (tile, node, root) of tiles of several components against each other in square blocks: a, b, tile.
+
+    Blocks of the largest component come behind those of the others, and meet
+    those only. Unless ``full``, only the first block meets all.
+    """
+    kinds = tiles.groupBy("tile", "root").agg(F.count("*").alias("cnt"))
+    kinds = kinds.groupBy("tile").agg(F.sum("cnt").alias("members"), F.max("cnt").alias("most"), F.max_by("root", F.struct("cnt", "root")).alias("main"))
+    rows = tiles.join(kinds, "tile").join(bits.select("node", "n", "bits"), "node")
+    rows = rows.withColumn("first", F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int")).withColumn("last", F.ceil(F.col("most") / BLOCK).cast("int"))
+    main, hashed = F.col("root") == F.col("main"), F.xxhash64("node")
+    rows = rows.withColumn("own", F.when(main, F.col("first") + F.pmod(hashed, F.col("last"))).otherwise(F.pmod(hashed, F.col("first"))).cast("int"))
+    everything = F.sequence(F.lit(0), F.col("first") + F.col("last") - 1)
+    if full:
+        others = F.when(main, F.sequence(F.lit(0), F.col("first") - 1)).otherwise(everything)
+    else:
+        others = F.when(F.col("own") == 0, everything).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumn("other", F.explode(others)).withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
+    rows = rows.select("tile", "bi", "bj", "own", "node", "n", "root", "bits", (F.lit(not full) & (F.col("first") > 1)).cast("int").alias("more"))
     return grouped_map(rows, ["tile", "bi", "bj"], _cross(percent, best), "a long, b long, tile long", 2 * shuffle_parts(tiles.sparkSession))
 
 
-def _link(tiles: DataFrame, bits: DataFrame, intersect, fetch, percent: int) -> DataFrame:
-    """Components (node, root) of the nodes of tiles."""
+def _link(tiles: DataFrame, bits: DataFrame, fetch, percent: int) -> DataFrame:
+    """Components (node, root) of the nodes of tiles (tile, node, leader, members)."""
+    spark = tiles.sparkSession
     pairs = tiles.where("members = 2 and node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = intersect(materialize(_bound(pairs, bits, percent)))
+    pairs = materialize(_bound(pairs, bits, percent))
+    used = [pairs]
+    links = _intersect(pairs, fetch, percent)
     roots = components(links)
-    open_ = tiles.where("members > 2").select("tile", "node", "members")
+    open_ = tiles.where("members > 2").select("tile", "node")
     wide = None
-    for time, best in enumerate((*BEST, None)):
-        named = open_.join(roots, "node", "left").select("tile", "node", "members", F.coalesce("root", "node").alias("root"))
+    for time, (best, full) in enumerate(TIMES):
+        named = open_.join(roots, "node", "left").select("tile", "node", F.coalesce("root", "node").alias("root"))
         mixed = named.groupBy("tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("tile")
-        rest = named.join(mixed, "tile")
+        rest = materialize(named.join(mixed, "tile"))
+        used.append(rest)
         if time == 1:
-            rest = materialize(rest)
-            wide = fetch(rest.select("node").distinct())
-        found = materialize(_grid(rest, bits if wide is None else wide, percent, best))
+            wide = fetch(rest.select("node").distinct(), True)
+            used.append(wide)
+        found = materialize(_grid(rest, bits if wide is None else wide, percent, best, full))
+        used.append(found)
         pairs = found.where("a is not null").select("a", "b").distinct()
-        if not pairs.head(1):
-            break
-        links = materialize(links.unionByName(intersect(pairs)))
-        roots = components(links)
-        open_ = open_.join(found.where("a is null").select("tile").distinct(), "tile", "left_semi")
+        if pairs.head(1):
+            used.append(links)
+            links = materialize(links.unionByName(_intersect(pairs, fetch, percent)))
+            roots = components(links)
+        open_ = rest.select("tile", "node").join(found.where("a is null").select("tile").distinct(), "tile", "left_semi")
         if not open_.head(1):
             break
+    for t in [*used, links]:
+        remove(spark, t)
     return roots
 
 
@@ -431,13 +523,12 @@ def _count_links(percent: int):
     return run
 
 
-def _links(roots: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+def _links(roots: DataFrame, nodes: DataFrame, fetch, percent: int) -> DataFrame:
     """(node, found): the documents of other nodes that are linked with each node, by all pairs of its component."""
-    spark = docs.sparkSession
-    weights = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.max("n").alias("size"))
-    info = materialize(roots.join(weights, "node"))
+    spark = nodes.sparkSession
+    info = materialize(roots.join(nodes.select("node", "weight", "size"), "node"))
     sides = info.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("side"))
-    sets = _fetch(info.select("node"), docs, rows, k)
+    sets = fetch(info.select("node"), False)
     grid = info.join(sides, "root").join(sets.select("node", "n", "items"), "node")
     grid = grid.withColumn("own", F.pmod(F.xxhash64("node"), F.col("side")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, side - 1)")))
     grid = grid.withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other"))
@@ -465,29 +556,63 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, links: bo
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
-    described = materialize(batch_map(docs, _describe(k), "doc_id long, n long, node long, bits binary, sketch binary"))
-    rows = described.where("n >= 0").select("doc_id", "n", "node")
-    counts = spark.sparkContext.broadcast(_frequent(described))
+    described = materialize(batch_map(docs, _describe(k), "doc_id long, n long, node long, chk long, bits binary, sketch binary"))
+    rows, nodes, renamed = _names(described)
+    shared = described.where("bits is not null").select("node", "chk", "n", "bits")
+    counts = spark.sparkContext.broadcast(_frequencies(described))
     total = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total * (100 - percent) / 100 / TASK_ROWS))
-    posted = batch_map(docs.where("text is not null").select("text"), _postings(k, percent, counts), "token long, node long, n int, block int")
-    tiles = batch_map(posted.repartition(parts, "token", "block"), _tiles(percent), "tile long, node long, n long, leader long, members long")
+    posted = batch_map(docs.where("text is not null").select("text"), _postings(k, percent, counts, renamed), "token long, node long, size long")
+    tiles = batch_map(posted.repartition(parts, "token"), _tiles(percent), "tile long, node long, n long, leader long")
     tiles = materialize(tiles.dropDuplicates(["tile", "node"]))
-    bits = described.where("bits is not null").select("node", "n", "bits").join(tiles.select("node").distinct(), "node", "left_semi")
+    sizes = tiles.groupBy("tile").agg(F.count("*").alias("members"))
+    sized = tiles.join(sizes, "tile")
+    bits = _renamed(shared, renamed).select("node", "n", "bits").join(tiles.select("node").distinct(), "node", "left_semi")
     bits = materialize(bits.dropDuplicates(["node"]))
-    roots = _link(tiles, bits, lambda pairs: _intersect(pairs, docs, rows, k, percent), lambda wanted: _fetch(wanted, docs, rows, k), percent)
-    least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = least.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
+    fetch = lambda wanted, wide: _fetch(wanted, wide, docs, nodes, k, renamed)
+    roots = _link(sized, bits, fetch, percent)
+    named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     named = named.select("node", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     out = rows.join(named, "node", "left")
     columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node"]
     if links:
-        copies = rows.where("node is not null").groupBy("node").agg((F.count("*") - 1).alias("copies"))
-        out = out.join(copies.join(_links(roots, docs, rows, k, percent), "node", "left"), "node", "left")
-        columns.append((F.coalesce("copies", F.lit(0)) + F.coalesce("found", F.lit(0))).alias("n_links"))
-    for t in (tiles, bits):
+        found = _links(roots, nodes, fetch, percent)
+        out = out.join(nodes.join(found, "node", "left").select("node", (F.col("weight") - 1 + F.coalesce("found", F.lit(0))).alias("linked")), "node", "left")
+        columns.append(F.coalesce("linked", F.lit(0)).alias("n_links"))
+    out = materialize(out.select(*columns))
+    for t in (described, nodes, tiles, bits, roots):
         remove(spark, t)
-    return out.select(*columns)
+    return out
+
+
+def _names(described: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
+    """Rows (doc_id, n, node), nodes (node, least doc_id, weight, size) and the sets that had to be renamed.
+
+    Sets that share a key but not the second one are few (about n * n / 2**65 of n
+    sets); all but one of each key get another name, by {key: {second key: name}}.
+    """
+    spark = described.sparkSession
+    rows = described.where("n >= 0").select("doc_id", "n", "node", "chk")
+    of_node = lambda r: r.where("node is not null").groupBy("node")
+    least, weight, size = F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.max("n").alias("size")
+    nodes = materialize(of_node(rows).agg(least, weight, size, F.min("chk").alias("chk"), F.max("chk").alias("top")))
+    renamed: dict[int, dict[int, int]] = {}
+    clash = nodes.where("chk <> top").select("node", F.col("chk").alias("kept"))
+    if clash.head(1):
+        for r in rows.join(clash, "node").where("chk <> kept").select("node", "chk").distinct().collect():
+            renamed.setdefault(r["node"], {})[r["chk"]] = _new_name(r["node"], r["chk"])
+        remove(spark, nodes)
+        rows = _renamed(rows, renamed)
+        nodes = materialize(of_node(rows).agg(least, weight, size))
+    return rows.select("doc_id", "n", "node"), nodes.select("node", "least", "weight", "size"), renamed
+
+
+def _renamed(table: DataFrame, renamed: dict) -> DataFrame:
+    """``table`` (node, chk, ...) with the new names of renamed sets."""
+    if not renamed:
+        return table
+    few = table.sparkSession.createDataFrame([(n, c, new) for n, own in renamed.items() for c, new in own.items()], "node long, chk long, new long")
+    return table.join(F.broadcast(few), ["node", "chk"], "left").withColumn("node", F.coalesce("new", "node")).drop("new")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
