@@ -15,10 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import batch_map, crc_mod
+from .common import batch_map, crc_mod, materialize, remove
 
-#: Documents that the fit may see, chosen by a hash of doc_id.
-SAMPLE = 6000
+#: Documents of each language that the fit may see (about), chosen by a hash of doc_id, and languages, the most frequent ones.
+SAMPLE = 1500
+LANGS = 64
+#: Tasks of the fit at most.
+FIT_TASKS = 8
 #: Word forms kept, the most frequent of those seen LEAST times.
 WORDS = 200_000
 LEAST = 3
@@ -83,14 +86,19 @@ def _log_shares(counts: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame) -> dict | None:
-    """Word and n-gram tables from a bounded sample outside the held-out fold; None without any."""
+    """Word and n-gram tables from a bounded sample of each language outside the held-out fold; None without any."""
     spark = docs.sparkSession
-    known = docs.where("doc_id is not null and lang is not null and text is not null").where(crc_mod("doc_id", 4) != 2).select("doc_id", "lang")
-    chosen = spark.createDataFrame(known.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(SAMPLE).select("doc_id").distinct().collect(), "doc_id long")
-    sample = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi").select("text", "lang")
-    counts = batch_map(sample.repartition(8), _counts, "lang string, kind int, key long, cnt long").groupBy("lang", "kind", "key").agg(F.sum("cnt").alias("cnt"))
+    known = docs.where("doc_id is not null and lang is not null and text is not null").where(crc_mod("doc_id", 4) != 2)
+    # Every language gives as many documents, so that rare ones are learned as well.
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
+    shares = spark.createDataFrame([(r["lang"], min(1.0, SAMPLE / r["n"])) for r in sizes], "lang string, share double")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = known.select("text", F.col("lang").alias("lang"), place.alias("place")).join(F.broadcast(shares), "lang").where("place < share").select("text", "lang")
+    sample = materialize(sample)
+    counts = batch_map(sample.coalesce(FIT_TASKS), _counts, "lang string, kind int, key long, cnt long").groupBy("lang", "kind", "key").agg(F.sum("cnt").alias("cnt"))
     common = counts.where("kind = 0").groupBy("key").agg(F.sum("cnt").alias("n")).where(f"n >= {LEAST}").orderBy(F.desc("n"), "key").limit(WORDS).select("key")
     kept = counts.where("kind > 0").unionByName(counts.where("kind = 0").join(common, "key", "left_semi").select(counts.columns)).toPandas()
+    remove(spark, sample)
     if not len(kept):
         return None
     langs = sorted(kept["lang"].unique())
