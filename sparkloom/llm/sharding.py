@@ -2,26 +2,33 @@
 
 Old shards have sizes, new shards have capacities; a transport problem says how
 many bytes go from each old shard to each new one, at the least cost of moved
-bytes. Blocks (hash buckets of an old shard) are moved whole along that flow;
-only the blocks that a flow boundary cuts are dealt out by documents, largest
-first to the shard that lacks most.
+bytes. Blocks (hash buckets of an old shard) are moved whole along that flow.
+Blocks that a flow boundary cuts are cut into smaller ones, and those that it
+cuts again are dealt out by documents, largest first to the shard that lacks
+most. Shards that gain or lose rows are then written anew, all others stay.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, shared_dir, shuffle_parts
 
-#: Rows that a block holds on average; the driver sees one row for each block.
-BLOCK_ROWS = 20_000
+#: Rows that a block holds on average, and blocks at most (beyond, they grow); the driver sees one row for each block.
+BLOCK_ROWS, MAX_BLOCKS = 20_000, 200_000
 #: Blocks of an old shard at least, so that few rows lie in cut blocks.
 LEAST_BLOCKS = 64
+#: Rows of cut blocks that the driver deals out at most; of more, the blocks are cut into ones of SMALL_ROWS first.
+SINGLES, SMALL_ROWS = 50_000, 500
+#: Bytes of text that a written file holds, about.
+FILE_BYTES = 1 << 28
 #: Mean-sized rows that each flow keeps for dealing out one by one, so that shards end near their capacity.
 SPARE_ROWS = 48
 
@@ -126,6 +133,95 @@ def deal(rows: list[tuple], lack: dict[int, int]) -> list[int]:
     return out
 
 
+class Layout:
+    """Where every row of a table goes.
+
+    ``base`` holds the rows (doc: the row itself, row: its number, old, size, crc);
+    they were written once, so that numbers stay the same. ``placed`` says where
+    blocks go, ``singles`` where the rows of cut blocks go; both are bounded.
+    """
+
+    def __init__(self, base: DataFrame, old_count: int, capacities: list[int] | None, shards: int, costs: list[list[float]] | None):
+        spark = base.sparkSession
+        self.base = base
+        n = base.count()
+        per_old = max(LEAST_BLOCKS, math.ceil(min(MAX_BLOCKS, n / BLOCK_ROWS) / old_count))
+        self.per_old, self.small, self.cut_frame = per_old, 1, None
+        blocks = self._sizes(self._blocks())
+        supply = [0] * old_count
+        for old, _, size, _ in blocks:
+            supply[old] += size
+        capacities = capacities or even_capacities(sum(supply), shards)
+        self.shards = len(capacities)
+        flow = min_cost_flow(supply, capacities, costs or move_cost(old_count, self.shards))
+        whole, cut = plan_blocks(blocks, flow)
+        rows_of = {(o, b): rows for o, b, _, rows in blocks}
+        cut_rows = {(o, b): rows_of[o, b] for o, (bs, _) in cut.items() for b in bs}
+        if sum(cut_rows.values()) > SINGLES:
+            self.small = min(math.ceil(max(cut_rows.values()) / SMALL_ROWS), max(2, MAX_BLOCKS // len(cut_rows)))
+            pairs = [(o, b, per_old + i * self.small) for i, (o, b) in enumerate(sorted(cut_rows))]
+            self.cut_frame = spark.createDataFrame(pairs, "old int, block int, first int")
+            smaller = self._sizes(self._blocks().where(F.col("block") >= per_old))
+            left = [[cut[o][1].get(j, 0) if o in cut else 0 for j in range(self.shards)] for o in range(old_count)]
+            more, cut = plan_blocks(smaller, left)
+            whole |= more
+            rows_of |= {(o, b): rows for o, b, _, rows in smaller}
+        # Places: first the whole blocks of a shard, then its single rows.
+        taken = [0] * self.shards
+        placed, moves = [], set()
+        for (o, b), j in sorted(whole.items()):
+            placed.append((o, b, j, taken[j]))
+            taken[j] += rows_of[o, b]
+            moves.add((o, j))
+        pairs = [(o, b) for o, (bs, _) in sorted(cut.items()) for b in bs]
+        singles = []
+        if pairs:
+            some = self._blocks().join(F.broadcast(spark.createDataFrame(pairs, "old int, block int")), ["old", "block"])
+            by_old = defaultdict(list)
+            for r in some.select("old", "row", "size").collect():
+                by_old[r["old"]].append((r["row"], r["size"]))
+            for o, (_, lack) in sorted(cut.items()):
+                own = sorted(by_old[o], key=lambda r: (-r[1], r[0]))
+                for (row, _), j in zip(own, deal(own, lack), strict=True):
+                    singles.append((row, j, taken[j]))
+                    taken[j] += 1
+                    moves.add((o, j))
+        self.placed = spark.createDataFrame(placed, "old int, block int, to int, base long")
+        self.singles = spark.createDataFrame(singles, "row long, one int, place long")
+        self.touched = sorted({s for o, j in moves if o != j for s in (o, j)})
+        self.sizes = capacities
+
+    def _blocks(self) -> DataFrame:
+        """The rows with the block that each lies in."""
+        hashed = lambda seed, m: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(m)).cast("int")
+        rows = self.base.withColumn("block", hashed(0, self.per_old))
+        if self.cut_frame is None:
+            return rows
+        rows = rows.join(F.broadcast(self.cut_frame), ["old", "block"], "left")
+        return rows.withColumn("block", F.coalesce(F.col("first") + hashed(1, self.small), "block")).drop("first")
+
+    @staticmethod
+    def _sizes(rows: DataFrame) -> list[tuple[int, int, int, int]]:
+        got = rows.groupBy("old", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+        return [(r["old"], r["block"], r["bytes"], r["rows"]) for r in got]
+
+    def rows(self, files: int) -> DataFrame:
+        """The rows with shard and slot; rows that are written to one file of a shard lie in one partition."""
+        rows = self._blocks().join(F.broadcast(self.placed), ["old", "block"], "left").join(F.broadcast(self.singles), "row", "left")
+        rows = rows.withColumn("shard", F.coalesce("to", "one").cast("int")).withColumn("file", F.pmod(F.xxhash64("old", "block"), F.lit(files)))
+        order = Window.partitionBy("shard", "file", "old", "block").orderBy(F.desc("size"), "crc", "row")
+        slot = F.coalesce(F.col("base") + F.row_number().over(order) - 1, F.col("place")).cast("long")
+        return rows.repartition(max(shuffle_parts(self.base.sparkSession), self.shards * files), "shard", "file").withColumn("slot", slot)
+
+
+def _numbered(docs: DataFrame, old_shard: Column, old_count: int, whole: bool) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size, crc = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc")
+    old = F.pmod(F.coalesce(old_shard, F.lit(0)), F.lit(old_count)).cast("int").alias("old")
+    doc = F.struct("*") if whole else F.struct("doc_id")
+    return materialize(docs.select(doc.alias("doc"), F.monotonically_increasing_id().alias("row"), old, size, crc))
+
+
 def reshard(docs: DataFrame, old_shard: Column, old_count: int, capacities: list[int] | None = None, shards: int = 16, costs: list[list[float]] | None = None) -> DataFrame:
     """Assign each row of ``docs`` (doc_id, text, ...) to a new shard.
 
@@ -133,83 +229,47 @@ def reshard(docs: DataFrame, old_shard: Column, old_count: int, capacities: list
     ``capacities`` are bytes of each new shard (near-equal shares of the whole by
     default) and must sum to the data's size. Returns doc_id, size, text_crc32,
     old_shard, shard, slot. Size is the text's UTF-8 bytes (null: none) plus 1;
-    the CRC of a null text is that of no bytes, 0. Rows that are equal in all of
-    doc_id, text are interchangeable and each keeps a place; null doc_ids are
-    rows as any other; an empty table gives no rows. Further columns are ignored.
+    the CRC of a null text is that of no bytes, 0. Rows that are equal in all
+    columns are rows of their own and each gets a place; null doc_ids are rows as
+    any other; an empty table gives no rows. Further columns are ignored.
 
-    Sent to the driver: one row for each block (BLOCK_ROWS rows on average) and
-    the rows of the blocks that the flow cuts, at most one for each pair of an
-    old and a new shard with flow.
+    Sent to the driver: one row for each block (MAX_BLOCKS in all, or LEAST_BLOCKS
+    of each old shard) and those of the blocks that the flow cuts (about SINGLES).
     """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select(F.col("doc_id"), (F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.pmod(F.coalesce(old_shard, F.lit(0)), F.lit(old_count)).cast("int").alias("old_shard"))
-    rows = materialize(rows)
-    n = rows.count()
-    per_old = max(LEAST_BLOCKS, math.ceil(n / BLOCK_ROWS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(per_old)).cast("int"))
-    blocks = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
-    supply = [0] * old_count
-    for b in blocks:
-        supply[b["old_shard"]] += b["bytes"]
-    capacities = capacities or even_capacities(sum(supply), shards)
-    shards = len(capacities)
-    flow = min_cost_flow(supply, capacities, costs or move_cost(old_count, shards))
-    whole, cut = plan_blocks([(b["old_shard"], b["block"], b["bytes"], b["rows"]) for b in blocks], flow)
-    # Places: first the whole blocks of a shard, then its single rows.
-    taken = [0] * shards
-    placed = []
-    for b in sorted(blocks, key=lambda b: (b["old_shard"], b["block"])):
-        j = whole.get((b["old_shard"], b["block"]))
-        if j is not None:
-            placed.append((b["old_shard"], b["block"], j, taken[j]))
-            taken[j] += b["rows"]
-    order = Window.partitionBy("old_shard", "block").orderBy(F.desc("size"), "doc_id", "text_crc32")
-    rows = rows.withColumn("pos", F.row_number().over(order))
-    pairs = [(o, b) for o, (bs, _) in sorted(cut.items()) for b in bs]
-    singles = []
-    if pairs:
-        some = rows.join(F.broadcast(spark.createDataFrame(pairs, "old_shard int, block int")), ["old_shard", "block"])
-        by_old = defaultdict(list)
-        for r in some.select("old_shard", "block", "pos", "size").collect():
-            by_old[r["old_shard"]].append((r["block"], r["pos"], r["size"]))
-        for o, (_, lack) in sorted(cut.items()):
-            own = sorted(by_old[o], key=lambda r: (-r[2], r[0], r[1]))
-            for (block, pos, _), j in zip(own, deal(own, lack), strict=True):
-                singles.append((o, block, pos, j, taken[j]))
-                taken[j] += 1
-    blocks_df = spark.createDataFrame(placed, "old_shard int, block int, to int, base long")
-    singles_df = spark.createDataFrame(singles, "old_shard int, block int, pos int, one int, place long")
-    out = rows.join(blocks_df, ["old_shard", "block"], "left").join(singles_df, ["old_shard", "block", "pos"], "left")
-    return out.select("doc_id", "size", "text_crc32", "old_shard", F.coalesce("to", "one").cast("int").alias("shard"), F.coalesce(F.col("base") + F.col("pos") - 1, F.col("place")).cast("long").alias("slot"))
-
-
-def rewrite_affected(spark: SparkSession, docs: DataFrame, layout: DataFrame, out_dir: str) -> list[int]:
-    """Write the shards that gain or lose rows as ``out_dir/shard=N`` (parquet).
-
-    ``docs`` are the rows that ``layout`` was made of, with old_shard. Every row
-    of a shard that is written is written once, null and repeated doc_ids too:
-    rows equal in doc_id and text take the places of the layout's equal rows in
-    the order of their old shards. Shards of which all rows stay and none come
-    are not touched; their numbers are not in the returned list.
+    base = _numbered(docs, old_shard, old_count, False)
+    rows = Layout(base, old_count, capacities, shards, costs).rows(shuffle_parts(docs.sparkSession))
+    return rows.select("doc.doc_id", "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard", "slot")
+
+
+def rewrite(docs: DataFrame, old_shard: Column, old_count: int, out_dir: str, capacities: list[int] | None = None, shards: int = 16, costs: list[list[float]] | None = None) -> tuple[list[int], DataFrame]:
+    """Reshard ``docs`` and write the shards that gain or lose rows as ``out_dir/shard=N`` (parquet).
+
+    Every row of a shard that is written is written once, with all columns of docs
+    and its slot and old_shard (columns of docs of these names and shard are
+    replaced); a second run replaces the shards that it writes. Shards of which
+    all rows stay and none come are not touched. Returns the numbers of the
+    written shards, and the rows of the others (columns of docs, old_shard, slot,
+    shard). Sizes, nulls and repeats are as for ``reshard``.
     """
-    moved = layout.where("old_shard <> shard")
-    touched = sorted({r[0] for r in moved.select(F.explode(F.array("old_shard", "shard"))).distinct().collect()})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keys = ["_id", "_crc", "_size"]
-    nth = lambda *order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("_nth")
-    have = docs.select("*", F.col("doc_id").alias("_id"), F.crc32(text.cast("binary")).alias("_crc"), (F.octet_length(text) + 1).cast("long").alias("_size"))
-    have = have.select("*", nth(F.coalesce("old_shard", F.lit(0))))
-    place = layout.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "old_shard", "shard", "slot")
-    place = place.select(*(F.col(c).alias(f"{c}_to") for c in keys), "shard", "slot", nth("old_shard", "shard", "slot").alias("_nth_to"))
-    match = [F.col(c).eqNullSafe(F.col(f"{c}_to")) for c in (*keys, "_nth")]
-    rows = have.join(place, match).select(*docs.columns, "shard", "slot").where(F.col("shard").isin(touched))
-    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).write.mode("append").partitionBy("shard").parquet(out_dir)
-    return touched
+    layout = Layout(_numbered(docs, old_shard, old_count, True), old_count, capacities, shards, costs)
+    files = max(1, math.ceil(sum(layout.sizes) / FILE_BYTES / layout.shards))
+    names = [c for c in docs.columns if c not in ("old_shard", "slot", "shard")]
+    rows = layout.rows(files).select(*(F.col("doc").getField(c).alias(c) for c in names), F.col("old").alias("old_shard"), "slot", "shard")
+    moved = rows.where(F.col("shard").isin(layout.touched))
+    moved.write.option("partitionOverwriteMode", "dynamic").option("compression", "zstd").mode("overwrite").partitionBy("shard").parquet(out_dir)
+    return layout.touched, rows.where(~F.col("shard").isin(layout.touched))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents, laid out so far in 16 shards by source (uneven), dealt to 16 even shards."""
+    """documents, laid out so far in 16 shards by source (uneven), written anew as 16 even shards; told from the files."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = reshard(docs, F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(16)).cast("int"), 16)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    out_dir = f"{shared_dir(spark)}/loom-{uuid.uuid4().hex}"
+    now = F.pmod(F.crc32(F.coalesce(F.col("source"), F.lit("")).cast("binary")), F.lit(16)).cast("int")
+    touched, others = rewrite(docs, now, 16, out_dir)
+    schema = StructType([*(f for f in others.schema.fields if f.name != "shard"), StructField("shard", IntegerType())])
+    rows = others if not touched else spark.read.schema(schema).parquet(out_dir)
+    if touched and len(touched) < 16:
+        rows = rows.select(others.columns).unionByName(others)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size, crc = (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    return rows.select("doc_id", size, crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

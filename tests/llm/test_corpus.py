@@ -160,29 +160,61 @@ def test_reshard_places_every_row_once(spark):
 
 def test_rewrite_touches_affected_shards_only(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * 9, 0 if i < 10 else 1 if i < 16 else 2) for i in range(20)], "doc_id long, text string, old_shard int")
-    layout = sharding.reshard(docs, F.col("old_shard"), 3, capacities=[100, 60, 40])
-    assert sharding.rewrite_affected(spark, docs, layout, str(tmp_path / "a")) == []
-    layout = sharding.reshard(docs, F.col("old_shard"), 3, capacities=[80, 80, 40])
-    assert sharding.rewrite_affected(spark, docs, layout, str(tmp_path / "b")) == [0, 1]
-    assert spark.read.parquet(str(tmp_path / "b")).count() == 16
-
-
-def test_rewrite_writes_null_and_repeated_ids_once(spark, tmp_path):
+    touched, others = sharding.rewrite(docs, F.col("old_shard"), 3, str(tmp_path / "a"), capacities=[100, 60, 40])
+    assert touched == [] and others.count() == 20
+    for _ in range(2):  # again: the same shards are replaced, not added to
+        touched, others = sharding.rewrite(docs, F.col("old_shard"), 3, str(tmp_path / "b"), capacities=[80, 80, 40])
+        assert touched == [0, 1] and {r["shard"] for r in others.collect()} == {2}
+        assert spark.read.parquet(str(tmp_path / "b")).count() == 16
+
+
+@pytest.mark.parametrize("singles", [50_000, 5])
+def test_rewrite_writes_null_and_repeated_ids_once(spark, tmp_path, monkeypatch, singles):
+    monkeypatch.setattr(sharding, "SINGLES", singles)
+    monkeypatch.setattr(sharding, "SMALL_ROWS", 2)
+    monkeypatch.setattr(sharding, "LEAST_BLOCKS", 4)
     ids = [None, None, None, 3, 3, 3, 4, 4, *range(10, 40)]
     texts = ["a", "a", None, "b", "b", "other", "", None, *("x" * (i % 5) for i in range(30))]
-    docs = spark.createDataFrame([(i, t, [0, 2, None][k % 3], k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, old_shard int, row int")
-    layout = sharding.reshard(docs, F.col("old_shard"), 3, shards=4)
-    assert sharding.rewrite_affected(spark, docs, layout, str(tmp_path / "a")) == [0, 1, 2, 3]
+    docs = spark.createDataFrame([(i, t, [0, 2, None][k % 3], k) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, old_shard int, slot int").withColumn("row", F.col("slot"))
+    touched, others = sharding.rewrite(docs, F.col("old_shard"), 3, str(tmp_path / "a"), shards=4)
+    assert touched == [0, 1, 2, 3] and others.count() == 0
     got = spark.read.parquet(str(tmp_path / "a")).collect()
     assert sorted(r["row"] for r in got) == list(range(len(ids)))
     assert all((r["doc_id"], r["text"]) == (ids[r["row"]], texts[r["row"]]) for r in got)
-    places = sorted((r["shard"], r["slot"]) for r in layout.collect())
-    assert sorted((r["shard"], r["slot"]) for r in got) == places
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
+    sizes = [sum(len(r["text"] or "") + 1 for r in v) for v in by.values()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 6
     stays = spark.createDataFrame([(None, "same", i % 3, i) for i in range(12)], "doc_id long, text string, old_shard int, row int")
-    layout = sharding.reshard(stays, F.col("old_shard"), 3, capacities=[30, 10, 20])
-    touched = sharding.rewrite_affected(spark, stays, layout, str(tmp_path / "b"))
+    touched, others = sharding.rewrite(stays, F.col("old_shard"), 3, str(tmp_path / "b"), capacities=[30, 10, 20])
     got = spark.read.parquet(str(tmp_path / "b")).collect()
     assert sorted(r["row"] for r in got) == [i for i in range(12) if i % 3 in touched]
+    assert sorted(r["row"] for r in others.collect()) == [i for i in range(12) if i % 3 not in touched]
+
+
+def test_rows_that_are_all_equal_go_to_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SINGLES", 40)
+    monkeypatch.setattr(sharding, "SMALL_ROWS", 4)
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    rows = sharding.reshard(docs, F.lit(1), 2, shards=5).collect()
+    by = Counter(r["shard"] for r in rows)
+    assert sorted(by.values()) == [600] * 5 and len({(r["shard"], r["slot"]) for r in rows}) == 3000
+
+
+def test_op1_keeps_its_law(spark):
+    sf = "/root/testdata/sf0.001"
+    want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    rows = sharding.op1(spark, sf).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    by = defaultdict(list)
+    for r in rows:
+        by[r["shard"]].append(r)
+    sizes = [sum(r["size"] for r in v) for v in by.values()]
+    assert set(by) == set(range(16)) and max(sizes) - min(sizes) <= max(r["size"] for r in rows)
+    assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("bytes", None)}
 
 
 # --- 2 n-gram Jaccard join ---
@@ -699,6 +731,22 @@ def test_forest_against_all_pairs(spark, monkeypatch, block):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("kind", "labels"), [("string", ["a", "b", None]), ("double", [1.2, 1.9, 0.0]), ("int", [1, 2, 3])])
+def test_labels_of_any_type_null_ids_repeats_and_many_lengths(spark, kind, labels):
+    one = [1.0, 2.0, 3.0]
+    rows = [(1, one, labels[0]), (2, one, labels[1]), (None, one, labels[0]), (None, [1.0, 2.0, 3.01], labels[0]), (4, [1.0, 2.0, 3.02], labels[0])]
+    rows += [(5, [0.0, 1.0, 0.0], labels[0]), (5, [0.0, 0.0, 1.0], labels[0]), (6, [0.0, 0.01, 1.0], labels[0])]
+    rows += [(100 + 2 * n + i, [1.0] * n + [9.0 + i / 100], labels[1]) for n in range(3, 24) for i in (0, 1)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}")
+    got = neardup.near_duplicates(df).collect()
+    tell = lambda i: sorted((r["n_links"], r["component_id"], r["kept"]) for r in got if r["vec_id"] == i)
+    assert len(got) == len(rows)
+    assert tell(1) == [(3, 1, True)] and tell(4) == [(3, 1, False)] and tell(2) == [(0, 2, True)]
+    assert tell(None) == [(3, 1, False)] * 2
+    assert tell(5) == [(0, 5, True), (1, 5, True)] and tell(6) == [(1, 5, False)]
+    assert all(tell(100 + 2 * n) == [(1, 100 + 2 * n, True)] and tell(101 + 2 * n) == [(1, 100 + 2 * n, False)] for n in range(3, 24))
+
+
 # --- pipeline ---
 
 
