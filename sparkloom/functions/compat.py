@@ -23,14 +23,12 @@ def compat_not_in(value: Column, items: list) -> Column:
 
 def int_div(a: Column, b: Column) -> Column:
     """Whole-number division that truncates toward zero; an error for 0."""
-    a, b = a.cast("bigint"), b.cast("bigint")
-    return ((a - a % b) / b).cast("bigint")
+    return F.call_function("div", a.cast("bigint"), b.cast("bigint"))
 
 
 def avg_trunc(c) -> Column:
     """Grouped average as a whole number, truncated toward zero."""
-    s, n = F.sum(c).cast("bigint"), F.count(c)
-    return F.when(n > 0, ((s - s % n) / n).cast("bigint"))
+    return F.call_function("div", F.sum(c).cast("bigint"), F.nullif(F.count(c), F.lit(0)))
 
 
 def ntile_spread(n: int, w: WindowSpec, partition: list[str]) -> Column:
@@ -63,13 +61,21 @@ def substr_clamped(s: Column, start: int, size: int | None = None) -> Column:
 
 
 def int_pow(a: Column, b: Column) -> Column:
-    """Whole-number power; 1 for a negative exponent."""
-    return F.when(b < 0, F.lit(1)).otherwise(F.pow(a, b)).cast("bigint")
+    """Whole-number power; 1 for a negative exponent, an error beyond 64 bits."""
+    a, b = a.cast("bigint"), b.cast("bigint")
+    # Powers of -1, 0 and 1 need the exponent's parity only, all others overflow before the 64th factor.
+    factors = F.when(F.abs(a) < 2, F.when(b == 0, F.lit(0)).otherwise(F.lit(2) - b % 2)).otherwise(F.least(b, F.lit(64)))
+    product = F.aggregate(F.array_repeat(a.cast("decimal(38,0)"), F.greatest(factors, F.lit(0)).cast("int")), F.lit(1).cast("decimal(38,0)"), lambda x, y: (x * y).cast("decimal(38,0)"))
+    return F.when(a.isNotNull() & (b < 0), F.lit(1).cast("bigint")).when(b >= 0, product.cast("bigint"))
 
 
 def int_sqrt(a: Column) -> Column:
     """Floor of the square root; an error below 0."""
-    return F.when(a < 0, F.raise_error(F.lit("square root of a negative number")).cast("bigint")).otherwise(F.floor(F.sqrt(a)).cast("bigint"))
+    a = a.cast("bigint")
+    near = F.floor(F.sqrt(a)).cast("bigint")
+    square = lambda r: r.cast("decimal(20,0)") * r.cast("decimal(20,0)")
+    exact = F.when(square(near) > a, near - 1).when(square(near + 1) <= a, near + 1).otherwise(near)
+    return F.when(a < 0, F.raise_error(F.lit("square root of a negative number")).cast("bigint")).otherwise(exact)
 
 
 def trim_all(s: Column) -> Column:

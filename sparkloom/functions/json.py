@@ -1,4 +1,4 @@
-"""JSON operators as column expressions; containment alone needs Python."""
+"""JSON operators as column expressions. Only containment of a part that is itself a column needs Python."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from sparkloom.shipping import ship
+
 
 def path_of(*steps: str | int) -> str:
     return "$" + "".join(f"[{s}]" if isinstance(s, int) else f'["{s}"]' for s in steps)
@@ -45,13 +47,45 @@ def holds(a, b) -> bool:
     if isinstance(a, dict) and isinstance(b, dict):
         return all(k in a and holds(a[k], v) for k, v in b.items())
     if isinstance(a, list) and isinstance(b, list):
-        return all(any(type(x) is type(y) and x == y for x in a) for y in b)
+        return all(any(_plain(x) == _plain(y) for x in a) for y in b)
     return isinstance(a, bool) == isinstance(b, bool) and a == b
 
 
+def _plain(v) -> str:
+    """A value as text that is the same for equal values."""
+    return json.dumps(v if not isinstance(v, float) or v % 1 else int(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def contains_sql(doc: str, part: str) -> str:
+    """SQL of ``doc @> part`` for a part that is known: a test of each of its leaves, all in the JVM."""
+    tests: list[str] = []
+
+    def quoted(s: str) -> str:
+        return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def walk(path: str, v) -> None:
+        at = f"try_variant_get(_v, {quoted(path)}, 'variant')"
+        if isinstance(v, dict):
+            tests.append(f"schema_of_variant({at}) LIKE 'OBJECT<%'")
+            for k, w in v.items():
+                key = json.dumps(k, ensure_ascii=False)
+                walk(f"{path}[{key}]", w)
+        elif isinstance(v, list):
+            items = f"try_variant_get(_v, {quoted(path)}, 'array<variant>')"
+            tests.append(f"schema_of_variant({at}) LIKE 'ARRAY<%'")
+            tests.extend(f"exists({items}, _x -> to_json(_x) = {quoted(_plain(w))})" for w in v)
+        elif v is None:
+            tests.append(f"is_variant_null({at})")
+        else:
+            tests.append(f"coalesce(to_json({at}) = {quoted(_plain(v))}, false)")
+
+    walk("$", json.loads(part))
+    every = " AND ".join(f"coalesce({t}, false)" for t in tests)
+    return f"(CASE WHEN {doc} IS NOT NULL THEN element_at(transform(array(parse_json({doc})), _v -> {every}), 1) END)"
+
+
 @F.pandas_udf(BooleanType())
-def contains(doc: pd.Series, part: pd.Series) -> pd.Series:
-    """@>: does ``doc`` contain ``part``; NULL for NULL, an error for text that is no JSON."""
+def _contains(doc: pd.Series, part: pd.Series) -> pd.Series:
     known: dict[str, object] = {}
 
     def load(s):
@@ -64,17 +98,26 @@ def contains(doc: pd.Series, part: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else holds(load(a), load(b)) for a, b in zip(doc, part, strict=True)], dtype=object)
 
 
-@F.pandas_udf(BooleanType())
-def is_valid(doc: pd.Series) -> pd.Series:
-    """Is the text one whole JSON value; NULL for NULL. Spark's own parser would ignore what follows the value."""
-
-    def check(s):
-        if s is None:
-            return None
-        try:
-            json.loads(s)
-        except ValueError:
-            return False
-        return True
-
-    return doc.map(check).astype(object)
+def contains(doc: Column | str, part: Column | str) -> Column:
+    """@>: does ``doc`` contain ``part``; NULL for NULL, an error for text that is no JSON.
+
+    With a column's name and the part's own text it stays in the JVM.
+    """
+    if isinstance(part, str) and isinstance(doc, str):
+        return F.expr(contains_sql(f"`{doc}`", part))
+    ship()
+    return _contains(F.col(doc) if isinstance(doc, str) else doc, F.lit(part) if isinstance(part, str) else part)
+
+
+def is_valid(doc: Column) -> Column:
+    """Is the text one whole JSON value; NULL for NULL.
+
+    Spark's parser ignores what follows a value, so the text is parsed as an array's and as an
+    object's only value: whatever follows a value is wrong in one of them. Objects with a key
+    twice are not valid unless spark.sql.variant.allowDuplicateKeys is set.
+    """
+    one, two = F.concat(F.lit("["), doc, F.lit("]")), F.concat(F.lit('{"a":'), doc, F.lit("}"))
+    return F.when(doc.isNotNull(), F.try_parse_json(one).isNotNull() & F.try_parse_json(two).isNotNull())
+
+
+VALID_SQL = "(try_parse_json(concat('[', {0}, ']')) IS NOT NULL AND try_parse_json(concat('{{\"a\":', {0}, '}}')) IS NOT NULL)"

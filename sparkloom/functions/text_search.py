@@ -6,8 +6,6 @@ words of a text. Positions count all words, from 1.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,16 +42,31 @@ def query_stems(query: Column) -> Column:
     return F.transform(F.filter(words(query), lambda w: (F.length(w) > 0) & ~F.array_contains(stop, w)), stem)
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _is(word: Column, wanted: Column) -> Column:
+    """Is ``wanted`` the word's stem. A stem begins its word, so other words need none."""
+    return word.startswith(wanted) & (stem(word) == wanted)
+
+
 def match(text: Column, query: Column) -> Column:
     """True if any stem of the query that is no stop word is in the text; NULL for NULL."""
-    return F.arrays_overlap(stems(text), query_stems(query)) & (F.size(query_stems(query)) > 0)
+    long = F.filter(words(text), lambda w: F.length(w) > 1)
+    return _once(query_stems(query), lambda q: F.exists(long, lambda w: F.exists(q, lambda x: _is(w, x))) & (F.size(q) > 0))
 
 
 def rank(text: Column, query: Column) -> Column:
     """Sum over the query's terms of their share of the text's words."""
-    own = stems(text)
-    hits = F.aggregate(query_stems(query), F.lit(0).cast("bigint"), lambda acc, q: acc + F.size(F.filter(own, lambda w: w == q)))
-    return F.when(F.size(own) > 0, hits.cast("double") / F.size(own)).otherwise(F.lit(0.0))
+    long = F.filter(words(text), lambda w: F.length(w) > 1)
+
+    def share(own: Column) -> Column:
+        hits = F.aggregate(query_stems(query), F.lit(0).cast("bigint"), lambda n, q: n + F.size(F.filter(own, lambda w: _is(w, q))))
+        return F.when(F.size(own) > 0, hits.cast("double") / F.size(own)).otherwise(F.lit(0.0))
+
+    return _once(long, share)
 
 
 def to_tsvector(text: Column) -> Column:
@@ -101,29 +114,3 @@ def normalize_text(text: Column) -> Column:
 def search(df: DataFrame, column: str, query: str) -> DataFrame:
     """Rows that match, with their rank."""
     return df.where(match(F.col(column), F.lit(query))).withColumn("rank", rank(F.col(column), F.lit(query)))
-
-
-def stem_text(w: str) -> str:
-    """The stem of a word, for use on the driver and in the SQL function ts_headline."""
-    for s in SUFFIXES:
-        if len(w) > len(s) + 2 and w.endswith(s):
-            return w[: -len(s)]
-    return w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
-
-
-def headline_text(text: str | None, query: str | None) -> str | None:
-    """As ``headline``, for one text."""
-    if text is None or query is None:
-        return None
-    clean = lambda w: stem_text(re.sub("[^a-z0-9]", "", w.lower()))
-    wanted = {clean(w) for w in query.split()} - {""}
-    raw = text.split()
-    hits = [i for i, w in enumerate(raw) if clean(w) in wanted][:3]
-    if not hits:
-        return " ".join(raw[:10]) + "..." if raw else ""
-    out = []
-    for i in hits:
-        a, b = max(0, i - 5), min(len(raw), i + 5)
-        shown = " ".join(f"<b>{w}</b>" if clean(w) in wanted else w for w in raw[a:b])
-        out.append(("..." if a else "") + shown + ("..." if b < len(raw) else ""))
-    return " ... ".join(out)

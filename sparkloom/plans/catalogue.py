@@ -6,6 +6,7 @@ side); ``pair`` takes a DataFrame plan and the SQL that says the same.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,10 @@ from sparkloom.dialect import rewrite
 from sparkloom.functions import compat, json, text_search
 from sparkloom.fts.index import Index
 from sparkloom.operators import relational as rel
+from sparkloom.session import Engine
 from sparkloom.sources import tables as src
 from sparkloom.store import dml
+from sparkloom.store.files import shared_dir
 from sparkloom.store.partition import Partitioning
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,8 +164,6 @@ pair(
 same("win_over_group", "SELECT o_custkey, count(*) AS n, rank() OVER (ORDER BY count(*) DESC) AS r FROM orders GROUP BY o_custkey")
 
 # --- sort, limit, set operations ---
-same("order_nulls", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY nullif(o_orderstatus, 'F'), o_orderkey LIMIT 4000", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY nullif(o_orderstatus, 'F') NULLS LAST, o_orderkey LIMIT 4000")
-same("order_nulls_desc", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC, o_orderkey LIMIT 4000", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s FROM orders ORDER BY nullif(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey LIMIT 4000")
 # The places of all rows, past the border between NULL and the rest.
 same("order_nulls_place", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F'), o_orderkey) AS place FROM orders", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') NULLS LAST, o_orderkey) AS place FROM orders")
 same("order_nulls_desc_place", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') DESC, o_orderkey) AS place FROM orders", "SELECT o_orderkey, nullif(o_orderstatus, 'F') AS s, row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey) AS place FROM orders")
@@ -227,7 +228,7 @@ same("json_get", "SELECT event_id, props->'k' AS k FROM events WHERE props->>'k'
 same("json_path", "SELECT event_id, concat('{\"a\": ', props, '}') #>> '{a,k}' AS k FROM events", "SELECT event_id, json_extract_string(concat('{\"a\": ', props, '}'), '$.a.k') AS k FROM events")
 pair("json_has_key", lambda t: t("events").select("event_id", json.has_key(F.col("props"), "k").alias("h"), json.has_key(F.col("props"), "x").alias("n")), "SELECT event_id, list_contains(json_keys(props), 'k') AS h, list_contains(json_keys(props), 'x') AS n FROM events")
 pair("json_any_all", lambda t: t("events").select("event_id", json.has_any(F.col("props"), ["x", "k"]).alias("some"), json.has_all(F.col("props"), ["x", "k"]).alias("every")), "SELECT event_id, list_has_any(json_keys(props), ['x', 'k']) AS some, list_has_all(json_keys(props), ['x', 'k']) AS every FROM events")
-pair("json_contains", lambda t: t("events").where(json.contains(F.col("props"), F.lit('{"k": 7}'))).select("event_id"), "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7'")
+pair("json_contains", lambda t: t("events").where(json.contains("props", '{"k": 7}')).select("event_id"), "SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '7'")
 pair("json_valid", lambda t: t("events").select("event_id", json.is_valid(F.concat("props", F.expr("CASE WHEN event_id % 2 = 0 THEN '' ELSE '}' END"))).alias("v")), "SELECT event_id, event_id % 2 = 0 AS v FROM events")
 
 
@@ -252,10 +253,27 @@ pair(
     lambda t: t("documents").select("doc_id", F.round(text_search.rank(F.col("text"), F.lit("oner eating")), 8).alias("r")),
     f"SELECT doc_id, CASE WHEN len(s) = 0 THEN 0.0 ELSE round((len(list_filter(s, lambda x: x = 'oner')) + len(list_filter(s, lambda x: x = 'eat'))) / len(s)::DOUBLE, 8) END AS r FROM (SELECT doc_id, {_stems_sql('text')} AS s FROM documents)",
 )
-pair("fts_tsvector", lambda t: t("part").select("p_partkey", text_search.to_tsvector(F.col("p_name")).alias("v")), None)
-pair("fts_tsquery", lambda t: t("part").select("p_partkey", text_search.to_tsquery(F.concat_ws(" & ", F.split("p_name", " "))).alias("q"), text_search.to_tsquery(F.col("p_name"), True).alias("plain")), None)
-pair("fts_headline", lambda t: t("documents").select("doc_id", text_search.headline(F.col("text"), F.lit("the oner")).alias("h")), None)
-pair("fts_normalize", lambda t: t("documents").select("doc_id", F.md5(text_search.normalize_text(F.col("text"))).alias("m")), None)
+_WORDS = "list_transform(string_split_regex(trim(regexp_replace(lower({}), '\\s+', ' ', 'g')), ' '), lambda w: regexp_replace(w, '[^a-z0-9]', '', 'g'))"
+_STOP = "(" + ", ".join(f"'{w}'" for w in text_search.STOP_WORDS) + ")"
+pair(
+    "fts_tsvector",
+    lambda t: t("part").select("p_partkey", text_search.to_tsvector(F.concat_ws(" ", "p_name", F.lit("of the"), "p_name")).alias("v")),
+    f"WITH w AS (SELECT p_partkey, {_WORDS.format("p_name || ' of the ' || p_name")} AS ws FROM part), u AS (SELECT p_partkey, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM w), s AS (SELECT p_partkey, {_stem_sql('w')} AS s, i FROM u WHERE length(w) > 1 AND w NOT IN {_STOP}), g AS (SELECT p_partkey, s, string_agg(i::VARCHAR, ',' ORDER BY i) AS p FROM s GROUP BY ALL) SELECT p_partkey, string_agg('''' || s || ''':' || p, ' ' ORDER BY s) AS v FROM g GROUP BY p_partkey",
+)
+_QUOTED = f"'''' || {_stem_sql('w')} || ''''"
+pair(
+    "fts_tsquery",
+    lambda t: t("part").select("p_partkey", text_search.to_tsquery(F.concat(F.lit("the | "), F.concat_ws(" & ", F.split("p_name", " ")))).alias("q"), text_search.to_tsquery(F.concat(F.lit("The "), "p_name"), True).alias("plain")),
+    f"SELECT p_partkey, '| ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: {_QUOTED}), ' & ') AS q, array_to_string(list_transform(string_split(p_name, ' '), lambda w: {_QUOTED}), ' & ') AS plain FROM part",
+)
+_HIT = f"list_transform({_WORDS.format("array_to_string(ws, ' ')")}, lambda w: {_stem_sql('w')} IN ('the', 'oner'))"
+pair(
+    "fts_headline",
+    lambda t: t("documents").select("doc_id", text_search.headline(F.col("text"), F.lit("the oner")).alias("h")),
+    f"WITH w AS (SELECT doc_id, list_filter(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS ws FROM documents), h AS (SELECT doc_id, ws, len(ws) AS n, {_HIT} AS hit FROM w), p AS (SELECT *, list_filter(range(1, n + 1), lambda i: hit[i])[1:3] AS places FROM h) "
+    "SELECT doc_id, CASE WHEN n = 0 THEN '' WHEN len(places) = 0 THEN array_to_string(ws[1:10], ' ') || '...' ELSE array_to_string(list_transform(places, lambda i: CASE WHEN i > 6 THEN '...' ELSE '' END || array_to_string(list_transform(range(greatest(i - 5, 1), least(i + 4, n) + 1), lambda j: CASE WHEN hit[j] THEN '<b>' || ws[j] || '</b>' ELSE ws[j] END), ' ') || CASE WHEN i + 4 < n THEN '...' ELSE '' END), ' ... ') END AS h FROM p",
+)
+pair("fts_normalize", lambda t: t("documents").select("doc_id", F.md5(text_search.normalize_text(F.col("text"))).alias("m")), "SELECT doc_id, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS m FROM documents")
 
 
 def _index(t) -> Index:
@@ -266,8 +284,14 @@ pair("fts_boolean", lambda t: _index(t).retrieve("+red -widget"), "SELECT p_part
 pair("fts_prefix", lambda t: _index(t).retrieve("wid*"), "SELECT p_partkey AS doc_id FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda w: w LIKE 'wid%')) > 0")
 pair("fts_fuzzy", lambda t: _index(t).retrieve("rad~"), "SELECT p_partkey AS doc_id FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda w: levenshtein(w, 'rad') <= 2)) > 0")
 pair("fts_phrase", lambda t: _index(t).retrieve('"red widget"'), "SELECT p_partkey AS doc_id FROM part WHERE p_name LIKE 'red widget%' OR p_name LIKE '% red widget%'")
-pair("fts_bm25", lambda t: _index(t).search("small ring"), None)
-pair("fts_stats", lambda t: _index(t).stats().select("docs", "terms"), None)
+#: No two words of part names have one stem, so words stand for stems.
+_POSTINGS = "WITH u AS (SELECT p_partkey AS doc_id, unnest(string_split(p_name, ' ')) AS w FROM part), p AS (SELECT doc_id, w, count(*) AS tf FROM u GROUP BY ALL), d AS (SELECT doc_id, count(*) AS len FROM u GROUP BY doc_id), a AS (SELECT count(*) AS n, avg(len) AS avg_len FROM d)"
+pair(
+    "fts_bm25",
+    lambda t: _index(t).search("small ring").select("doc_id", F.round("score", 8).alias("score")),
+    _POSTINGS + ", f AS (SELECT w, count(*) AS df FROM p WHERE w IN ('small', 'ring') GROUP BY w) SELECT doc_id, round(sum(greatest(0, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 8) AS score FROM p JOIN f USING (w) JOIN d USING (doc_id) CROSS JOIN a GROUP BY doc_id",
+)
+pair("fts_stats", lambda t: _index(t).stats().select("docs", "terms", "postings", F.round("avg_len", 8).alias("avg_len")), _POSTINGS + " SELECT n AS docs, (SELECT count(DISTINCT w) FROM p) AS terms, (SELECT count(*) FROM p) AS postings, round(avg_len, 8) AS avg_len FROM a")
 
 # --- changes of tables: the rows after the change ---
 pair(
@@ -341,3 +365,144 @@ def _columns(t) -> DataFrame:
 
 
 pair("information_schema_columns", _columns, "SELECT * FROM (VALUES ('region', 'r_regionkey', 1), ('region', 'r_name', 2), ('nation', 'n_nationkey', 1), ('nation', 'n_name', 2), ('nation', 'n_regionkey', 3)) AS v(table_name, column_name, ordinal_position)")
+
+pair("json_contains_column", lambda t: t("events").where(json.contains(F.concat(F.lit('{"a": '), "props", F.lit("}")), F.concat(F.lit('{"a": '), "props", F.lit("}")))).select("event_id"), "SELECT event_id FROM events")
+
+# --- whole numbers beyond 2**53 ---
+_BIG = "SELECT o_orderkey, o_orderkey * 600000000000001 + 9007199254740993 AS big, o_custkey % 5 AS small FROM orders"
+pair(
+    "whole_number_rules",
+    lambda t: (
+        t("orders")
+        .selectExpr("o_orderkey", "o_orderkey * 600000000000001 + 9007199254740993 AS big", "o_custkey % 5 AS small")
+        .select("o_orderkey", compat.int_div(F.col("big"), F.col("small") - 7).alias("d"), compat.int_pow(F.col("small") - 2, F.lit(39)).alias("p"), compat.int_pow(F.lit(3), F.lit(39)).alias("q"), compat.int_sqrt(F.col("big")).alias("r"))
+    ),
+    f"SELECT o_orderkey, big // (small - 7) AS d, CASE small WHEN 0 THEN -549755813888 WHEN 1 THEN -1 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 549755813888 END AS p, 4052555153018976267 AS q, (SELECT max(x) FROM (SELECT unnest([sqrt(big)::BIGINT - 1, sqrt(big)::BIGINT, sqrt(big)::BIGINT + 1]) AS x) WHERE x::HUGEINT * x <= big) AS r FROM ({_BIG})",
+)
+pair("avg_trunc_big", lambda t: t("orders").selectExpr("o_custkey", "o_orderkey * 600000000000001 AS big").groupBy("o_custkey").agg(compat.avg_trunc("big").alias("a")), "SELECT o_custkey, (sum(o_orderkey * 600000000000001) // count(*))::BIGINT AS a FROM orders GROUP BY o_custkey")
+
+
+# --- statements of a session, in a warehouse of their own in the shared folder ---
+def engine(name: str, tables: str, statements: list[str], final: str, oracle: str, args: list | None = None) -> None:
+    """``statements`` change tables of a new warehouse; ``final`` tells the result. ``tables`` can be read by name."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        session = Engine(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}")
+        for t in tables.split():
+            session.register(t, src.table(spark, sf_dir, t))
+        for text in statements:
+            session.sql(text)
+        return session.sql(final, args)
+
+    QUERIES[name] = run
+    ORACLES[name] = oracle
+
+
+_CUST = "CREATE TABLE cust (id BIGINT PRIMARY KEY, name TEXT NOT NULL, bal DOUBLE CHECK (bal > -100000), seg TEXT DEFAULT 'NONE', nation INT)"
+_FILL = "INSERT INTO cust (id, name, bal, nation) SELECT c_custkey, c_name, c_acctbal, c_nationkey FROM customer"
+_ROWS = "SELECT c_custkey AS id, c_name AS name, c_acctbal AS bal, 'NONE' AS seg, c_nationkey AS nation FROM customer"
+engine("sql_create_insert_select", "customer", [_CUST, _FILL], "SELECT * FROM cust", _ROWS)
+engine("sql_insert_values", "", ["CREATE TABLE v (id INT, name TEXT, ok BOOL, at TIMESTAMP)", "INSERT INTO v VALUES (1, 'a', true, NULL), (2, 'it''s', false, NULL), (3, NULL, NULL, NULL)"], "SELECT id, name, ok FROM v", "SELECT * FROM (VALUES (1, 'a', true), (2, 'it''s', false), (3, NULL, NULL)) AS v(id, name, ok)")
+engine("sql_insert_auto_increment", "region", ["CREATE TABLE r (id INT AUTO_INCREMENT PRIMARY KEY, name TEXT)", "INSERT INTO r (id, name) VALUES (10, 'ten')", "INSERT INTO r (name) SELECT r_name FROM region ORDER BY r_regionkey"], "SELECT id, name FROM r", "SELECT 10 AS id, 'ten' AS name UNION ALL SELECT (10 + row_number() OVER (ORDER BY r_regionkey))::INT, r_name FROM region")
+engine("sql_upsert_nothing", "customer", [_CUST, _FILL, "INSERT INTO cust (id, name, bal, nation) SELECT c_custkey + 700, 'again', 0, 0 FROM customer ON CONFLICT (id) DO NOTHING"], "SELECT id, name FROM cust", f"SELECT id, name FROM ({_ROWS}) UNION ALL SELECT c_custkey + 700, 'again' FROM customer WHERE c_custkey + 700 NOT IN (SELECT c_custkey FROM customer)")
+engine(
+    "sql_upsert_update",
+    "customer",
+    [_CUST, _FILL, "INSERT INTO cust (id, name, bal, nation) SELECT c_custkey + 700, 'again', 2.5, 0 FROM customer ON CONFLICT (id) DO UPDATE SET name = EXCLUDED.name, bal = bal + EXCLUDED.bal"],
+    "SELECT id, name, ROUND(bal, 4) AS bal FROM cust",
+    "WITH n AS (SELECT c_custkey + 700 AS k FROM customer) SELECT c_custkey AS id, CASE WHEN k IS NULL THEN c_name ELSE 'again' END AS name, round(c_acctbal + CASE WHEN k IS NULL THEN 0 ELSE 2.5 END, 4) AS bal FROM customer LEFT JOIN n ON k = c_custkey UNION ALL SELECT k, 'again', 2.5 FROM n WHERE k NOT IN (SELECT c_custkey FROM customer)",
+)
+engine("sql_update_where", "customer", [_CUST, _FILL, "UPDATE cust SET nation = nation / 2, seg = CONCAT(seg, '-', NULL, name) WHERE id % 2 = 0"], "SELECT id, nation, seg FROM cust", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey // 2 ELSE c_nationkey END AS nation, CASE WHEN c_custkey % 2 = 0 THEN 'NONE-' || c_name ELSE 'NONE' END AS seg FROM customer")
+engine("sql_update_subquery", "customer orders", [_CUST, _FILL, "UPDATE cust SET seg = 'BUYER' WHERE id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)"], "SELECT id, seg FROM cust", "SELECT c_custkey AS id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) THEN 'BUYER' ELSE 'NONE' END AS seg FROM customer")
+engine("sql_update_from", "customer nation", [_CUST, _FILL, "UPDATE cust SET seg = n.n_name FROM nation n WHERE cust.nation = n.n_nationkey AND n.n_regionkey = 1"], "SELECT id, seg FROM cust", "SELECT c_custkey AS id, CASE WHEN n_regionkey = 1 THEN n_name ELSE 'NONE' END AS seg FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+engine("sql_delete_where", "customer", [_CUST, _FILL, "DELETE FROM cust WHERE bal < 0 OR id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)"], "SELECT id FROM cust", "SELECT c_custkey AS id FROM customer WHERE c_acctbal >= 0 AND c_nationkey <> 3")
+engine("sql_delete_using", "customer nation", [_CUST, _FILL, "DELETE FROM cust USING nation n WHERE nation = n.n_nationkey AND n.n_regionkey = 2"], "SELECT id FROM cust", "SELECT c_custkey AS id FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+engine(
+    "sql_merge",
+    "customer supplier",
+    [_CUST, _FILL, "MERGE INTO cust AS t USING supplier AS s ON t.id = s.s_suppkey WHEN MATCHED AND s.s_acctbal < 0 THEN DELETE WHEN MATCHED THEN UPDATE SET name = s.s_name, bal = t.bal + s.s_acctbal WHEN NOT MATCHED THEN INSERT (id, name, bal) VALUES (s.s_suppkey, s.s_name, 0.0)"],
+    "SELECT id, name, ROUND(bal, 4) AS bal FROM cust",
+    "SELECT c_custkey AS id, coalesce(s_name, c_name) AS name, round(c_acctbal + coalesce(s_acctbal, 0), 4) AS bal FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey WHERE coalesce(s_acctbal, 0) >= 0 UNION ALL SELECT s_suppkey, s_name, 0.0 FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer)",
+)
+engine("sql_truncate", "customer", [_CUST, _FILL, "TRUNCATE TABLE cust", "INSERT INTO cust (id, name, bal) VALUES (1, 'one', 0.0)"], "SELECT id, name, seg FROM cust", "SELECT 1::BIGINT AS id, 'one' AS name, 'NONE' AS seg")
+engine(
+    "sql_alter_table",
+    "customer",
+    [_CUST, _FILL, "ALTER TABLE cust ADD COLUMN note TEXT DEFAULT 'new'", "ALTER TABLE cust RENAME COLUMN name TO label", "ALTER TABLE cust DROP COLUMN nation", "ALTER TABLE cust RENAME TO people", "UPDATE people SET note = label WHERE id < 10"],
+    "SELECT * FROM people",
+    "SELECT c_custkey AS id, c_name AS label, c_acctbal AS bal, 'NONE' AS seg, CASE WHEN c_custkey < 10 THEN c_name ELSE 'new' END AS note FROM customer",
+)
+engine("sql_views", "customer", [_CUST, _FILL, "CREATE VIEW rich AS SELECT id, bal FROM cust WHERE bal > 5000", "CREATE OR REPLACE VIEW richest (key, amount) AS SELECT id, bal FROM rich WHERE bal > 9000", "DELETE FROM cust WHERE id % 3 = 0"], "SELECT * FROM richest", "SELECT c_custkey AS key, c_acctbal AS amount FROM customer WHERE c_acctbal > 9000 AND c_custkey % 3 <> 0")
+engine("sql_prepared", "customer", [_CUST, _FILL, "PREPARE raise AS UPDATE cust SET bal = $1 WHERE nation = $2", "EXECUTE raise(1.5, 7)", "EXECUTE raise(2.5, 8)"], "SELECT id, bal FROM cust WHERE nation IN ($1, $2)", "SELECT c_custkey AS id, (CASE c_nationkey WHEN 7 THEN 1.5 ELSE 2.5 END)::DOUBLE AS bal FROM customer WHERE c_nationkey IN (7, 8)", [7, 8])
+engine("sql_transaction_commit", "customer", [_CUST, "CREATE TABLE log (id BIGINT)", "BEGIN", _FILL, "INSERT INTO log SELECT id FROM cust WHERE bal < 0", "COMMIT"], "SELECT c.id FROM cust c JOIN log l ON c.id = l.id", "SELECT c_custkey AS id FROM customer WHERE c_acctbal < 0")
+engine("sql_transaction_rollback", "customer", [_CUST, _FILL, "BEGIN", "DELETE FROM cust WHERE id > 5", "UPDATE cust SET name = 'gone'", "ROLLBACK", "DELETE FROM cust WHERE id = 1"], "SELECT id, name FROM cust", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey <> 1")
+engine(
+    "sql_procedure_call",
+    "",
+    [
+        "CREATE TABLE logs (id INT, message TEXT)",
+        "CREATE PROCEDURE fill(IN n INT) AS $$ DECLARE i INT := 0; BEGIN WHILE i < n LOOP i := i + 1; IF i % 2 = 0 THEN INSERT INTO logs VALUES (i, concat('even ', i)); END IF; END LOOP; END; $$ LANGUAGE plpgsql",
+        "CALL fill(5)",
+        "CALL fill(3)",
+    ],
+    "SELECT id, message FROM logs",
+    "SELECT * FROM (VALUES (2, 'even 2'), (4, 'even 4'), (2, 'even 2')) AS v(id, message)",
+)
+engine(
+    "sql_trigger",
+    "region",
+    [
+        "CREATE TABLE logs (id INT, message TEXT)",
+        "CREATE TABLE r (id INT, name TEXT)",
+        "CREATE FUNCTION seen() RETURNS TRIGGER AS $$ BEGIN INSERT INTO logs VALUES (new_id, concat('new ', new_name)); RETURN NEW; END; $$ LANGUAGE plpgsql",
+        "CREATE TRIGGER t AFTER INSERT ON r FOR EACH ROW EXECUTE FUNCTION seen()",
+        "INSERT INTO r SELECT r_regionkey, r_name FROM region",
+    ],
+    "SELECT id, message FROM logs",
+    "SELECT r_regionkey AS id, 'new ' || r_name AS message FROM region",
+)
+engine("sql_match_against", "part", [], "SELECT p_partkey, ROUND(MATCH(p_name) AGAINST('red rings'), 8) AS r, MATCH(p_name) AGAINST('red rings' IN BOOLEAN MODE) AS b FROM part", f"SELECT p_partkey, round((len(list_filter(s, lambda x: x = 'red')) + len(list_filter(s, lambda x: x = 'ring'))) / len(s)::DOUBLE, 8) AS r, (CASE WHEN list_has_any(s, ['red', 'ring']) THEN 1.0 ELSE 0.0 END)::DOUBLE AS b FROM (SELECT p_partkey, {_stems_sql('p_name')} AS s FROM part)")
+engine(
+    "sql_text_queries",
+    "part",
+    [],
+    "SELECT p_partkey, to_tsquery(CONCAT('The & ', REPLACE(p_name, ' ', ' | '))) AS q, websearch_to_tsquery(p_name) AS w, plainto_tsquery(p_name) AS p FROM part",
+    f"SELECT p_partkey, '& ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: {_QUOTED}), ' | ') AS q, array_to_string(list_transform(string_split(p_name, ' '), lambda w: {_QUOTED}), ' ') AS w, array_to_string(list_transform(string_split(p_name, ' '), lambda w: {_QUOTED}), ' & ') AS p FROM part",
+)
+engine("sql_headline", "documents", [], "SELECT doc_id, ts_headline(text, 'the oner') AS h FROM documents", ORACLES["fts_headline"])
+engine(
+    "sql_cast_types",
+    "orders",
+    [],
+    "SELECT o_orderkey, CAST(o_orderkey AS TEXT) AS t, CAST(CONCAT('1', o_custkey) AS BIGINT) AS b, CAST(CASE WHEN o_custkey % 2 = 0 THEN 'yes' ELSE '0' END AS BOOL) AS f, CAST(CONCAT('[', o_custkey, ']') AS JSON) AS j FROM orders",
+    "SELECT o_orderkey, o_orderkey::VARCHAR AS t, concat('1', o_custkey)::BIGINT AS b, o_custkey % 2 = 0 AS f, concat('[', o_custkey, ']') AS j FROM orders",
+)
+engine(
+    "sql_whole_numbers",
+    "orders",
+    [],
+    "SELECT o_orderkey, o_orderkey / 7 AS d, -o_orderkey / 7 AS n, o_custkey * 3 / 2 AS c, o_totalprice / 2 AS f, POWER(o_custkey % 5, 3) AS p, SQRT(o_custkey) AS r FROM orders",
+    "SELECT o_orderkey, o_orderkey // 7 AS d, -o_orderkey // 7 AS n, o_custkey * 3 // 2 AS c, o_totalprice / 2 AS f, ((o_custkey % 5) * (o_custkey % 5) * (o_custkey % 5))::BIGINT AS p, floor(sqrt(o_custkey))::BIGINT AS r FROM orders",
+)
+engine(
+    "sql_information_schema",
+    "",
+    [_CUST, "CREATE TABLE log (id BIGINT, cust BIGINT REFERENCES cust(id))", "CREATE VIEW v AS SELECT id FROM log"],
+    "SELECT t.table_name, t.table_type, c.column_name, c.data_type, c.is_nullable FROM information_schema.tables t LEFT JOIN information_schema.columns c ON t.table_name = c.table_name",
+    "SELECT * FROM (VALUES ('cust', 'BASE TABLE', 'id', 'BIGINT', 'NO'), ('cust', 'BASE TABLE', 'name', 'TEXT', 'NO'), ('cust', 'BASE TABLE', 'bal', 'DOUBLE', 'YES'), ('cust', 'BASE TABLE', 'seg', 'TEXT', 'YES'), ('cust', 'BASE TABLE', 'nation', 'INT', 'YES'), ('log', 'BASE TABLE', 'id', 'BIGINT', 'YES'), ('log', 'BASE TABLE', 'cust', 'BIGINT', 'YES'), ('v', 'VIEW', NULL, NULL, NULL)) AS v(table_name, table_type, column_name, data_type, is_nullable)",
+)
+engine("sql_constraints_catalog", "", [_CUST, "CREATE TABLE log (id BIGINT, cust BIGINT REFERENCES cust(id))"], "SELECT table_name, constraint_type, COUNT(*) AS n FROM information_schema.table_constraints GROUP BY table_name, constraint_type", "SELECT * FROM (VALUES ('cust', 'PRIMARY KEY', 1::BIGINT), ('cust', 'CHECK', 1), ('log', 'FOREIGN KEY', 1)) AS v(table_name, constraint_type, n)")
+engine("sql_show_tables", "", [_CUST, "CREATE TABLE other (id INT)", "DROP TABLE IF EXISTS nothing", "CREATE TABLE last (id INT)", "DROP TABLE other"], "SHOW TABLES", "SELECT * FROM (VALUES ('cust'), ('last')) AS v(table_name)")
+engine("sql_databases", "", ["CREATE DATABASE more", "USE more", "CREATE TABLE t (id INT)", "INSERT INTO t VALUES (1)", "USE main"], "SHOW DATABASES", "SELECT * FROM (VALUES ('main'), ('more')) AS v(database_name)")
+_REACH = "WITH RECURSIVE reach AS (SELECT n_nationkey AS k FROM nation WHERE n_nationkey = 24 UNION SELECT (n.n_nationkey * 3 + n.n_regionkey) % 25 AS k FROM reach r JOIN nation n ON n.n_nationkey = r.k) SELECT k FROM reach"
+engine("sql_recursive_over_table", "nation", [], _REACH, _REACH)
+engine("sql_json_paths", "events", [], "SELECT event_id, CONCAT('{\"a\": ', props, '}') #> '{a,k}' AS v, CONCAT('{\"a\": ', props, '}') @> '{\"a\": {\"k\": 7}}' AS c, '{\"k\": 7}' <@ props AS w FROM events", "SELECT event_id, json_extract(props, '$.k')::VARCHAR AS v, json_extract_string(props, '$.k') = '7' AS c, json_extract_string(props, '$.k') = '7' AS w FROM events")
+engine("sql_fulltext_index", "part", ["CREATE TABLE p (id INT PRIMARY KEY, name TEXT)", "INSERT INTO p SELECT p_partkey, p_name FROM part", "CREATE FULLTEXT INDEX f ON p (name)", "INSERT INTO p VALUES (-1, 'red late ring')", "REINDEX f"], "SELECT doc_id FROM f WHERE term = 'ring'", "SELECT p_partkey AS doc_id FROM part WHERE list_contains(string_split(p_name, ' '), 'ring') UNION ALL SELECT -1")
+engine("sql_indexes", "customer", [_CUST, _FILL, "CREATE UNIQUE INDEX by_id ON cust (id)", "CREATE INDEX by_nation ON cust (nation)", "DROP INDEX by_nation"], "SELECT id, name FROM cust WHERE nation = 7 OR id < 4", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_nationkey = 7 OR c_custkey < 4")
+engine(
+    "sql_partitioned_table",
+    "orders",
+    ["CREATE TABLE o (k BIGINT, cust INT) PARTITION BY RANGE (cust) (PARTITION p0 VALUES LESS THAN (100), PARTITION p1 VALUES LESS THAN (500), PARTITION p2 VALUES LESS THAN (MAXVALUE))", "INSERT INTO o SELECT o_orderkey, o_custkey FROM orders", "DELETE FROM o WHERE cust < 50"],
+    "SELECT k, cust FROM o WHERE cust < 600",
+    "SELECT o_orderkey AS k, o_custkey AS cust FROM orders WHERE o_custkey < 600 AND o_custkey >= 50",
+)

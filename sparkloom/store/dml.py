@@ -27,8 +27,13 @@ def insert(target: DataFrame, rows: DataFrame, defaults: dict[str, object] | Non
     return target.unionByName(complete(target, rows, defaults, auto, order))
 
 
-def complete(target: DataFrame, rows: DataFrame, defaults: dict[str, object] | None = None, auto: str | None = None, order: list | None = None) -> DataFrame:
-    """New rows with all columns of the target, in its order and types."""
+def complete(target: DataFrame, rows: DataFrame, defaults: dict[str, object] | None = None, auto: str | None = None, order: list | None = None, bucket: Column | None = None) -> DataFrame:
+    """New rows with all columns of the target, in its order and types.
+
+    Numbers of ``auto`` follow ``order``. ``bucket`` says which stretch of that order a
+    row lies in, so that each stretch is numbered by itself from the rows before it;
+    without it all rows without a number are ordered in one place.
+    """
     defaults = defaults or {}
     cols = []
     for f in target.schema.fields:
@@ -37,14 +42,21 @@ def complete(target: DataFrame, rows: DataFrame, defaults: dict[str, object] | N
     out = rows.select(*cols)
     if auto:
         top = target.agg(F.coalesce(F.max(auto), F.lit(0)).alias("_top"))
-        # Only new rows without a number are ordered in one place.
         given = out.where(F.col(auto).isNotNull())
-        open_ = out.where(F.col(auto).isNull())
         most = given.agg(F.coalesce(F.max(auto), F.lit(0)).alias("_most"))
-        number = F.row_number().over(Window.orderBy(*(order or [F.lit(1)])))
-        open_ = open_.withColumn("_r", number).crossJoin(F.broadcast(top)).crossJoin(F.broadcast(most))
+        by = order or [F.lit(1)]
+        keep = [c for c in order or [] if isinstance(c, str) and c in rows.columns]
+        part = (bucket if bucket is not None else F.lit(0)).cast("bigint").alias("_part")
+        open_ = rows.withColumn("_part", part).where(F.col(auto).isNull() if auto in rows.columns else F.lit(True))
+        open_ = open_.select(*cols, "_part", *(F.col(c).alias(f"_by_{c}") for c in keep))
+        counts = open_.groupBy("_part").agg(F.count("*").alias("_n"))
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each stretch
+        counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        by = [F.col(f"_by_{c}") if c in keep else c for c in by]
+        open_ = open_.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
+        open_ = open_.join(counts, "_part").crossJoin(F.broadcast(top)).crossJoin(F.broadcast(most))
         kind = target.schema[auto].dataType
-        open_ = open_.withColumn(auto, (F.greatest("_top", "_most") + F.col("_r")).cast(kind)).select(target.columns)
+        open_ = open_.withColumn(auto, (F.greatest("_top", "_most") + F.col("_before") + F.col("_r")).cast(kind)).select(target.columns)
         out = given.unionByName(open_)
     return out
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir, or a folder of our own where it is unset and there is one machine."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="engine-checkpoints-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -57,11 +60,24 @@ class Files:
         out = fs.create(tmp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if fs.exists(p) or not fs.rename(tmp, p):
+        if not self._publish(fs, tmp, p):
             fs.delete(tmp, False)
             return False
         return True
 
+    def _publish(self, fs, tmp, p) -> bool:
+        """Give a written file its name; of several writers one succeeds."""
+        if fs.getUri().getScheme() == "file":
+            # A local rename would replace what is there; a link fails.
+            at = lambda path: self.jvm.java.io.File(path.toUri().getPath()).toPath()
+            try:
+                self.jvm.java.nio.file.Files.createLink(at(p), at(tmp))
+            except Py4JJavaError:
+                return False
+            fs.delete(tmp, False)
+            return True
+        return not fs.exists(p) and fs.rename(tmp, p)
+
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
