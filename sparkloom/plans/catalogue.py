@@ -18,9 +18,10 @@ from sparkloom.fts.index import Index
 from sparkloom.operators import relational as rel
 from sparkloom.session import Engine
 from sparkloom.sources import tables as src
-from sparkloom.store import dml
+from sparkloom.store import dml, partition
 from sparkloom.store.files import shared_dir
 from sparkloom.store.partition import Partitioning
+from sparkloom.store.shards import Shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -355,8 +356,24 @@ pair(
     lambda t: t("customer").select("c_custkey", _HASH.route().alias("p")),
     "SELECT c_custkey, concat('p', (list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(c_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) % 4)::VARCHAR) AS p FROM customer",
 )
-pair("partition_prune", lambda t: t("orders").withColumn("_part", _RANGE.route()).where(F.col("_part").isin(_RANGE.prune(">=", 500))).where("o_custkey >= 500").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_custkey >= 500")
-pair("shard_scatter_gather", lambda t: t("orders").repartition(8, "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n")), "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
+def _kept(df: DataFrame, write: Callable[[DataFrame, str], None]) -> tuple[SparkSession, str]:
+    """``df`` written to a new folder of the shared one."""
+    path = f"{shared_dir(df.sparkSession)}/engine-{uuid.uuid4().hex}"
+    write(df, path)
+    return df.sparkSession, path
+
+
+def _pruned(t) -> DataFrame:
+    spark, path = _kept(t("orders").select("o_orderkey", "o_custkey"), lambda df, p: partition.write(df, _RANGE, p))
+    return partition.read(spark, path, _RANGE, ">=", 500).select("o_orderkey")
+
+
+pair("partition_prune", _pruned, "SELECT o_orderkey FROM orders WHERE o_custkey >= 500")
+_FNV = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(o_custkey::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) % 4294967296)"
+_SHARDS = Shards("o_custkey", 6)
+pair("shard_route", lambda t: t("orders").select("o_orderkey", _SHARDS.route().alias("shard")), f"SELECT o_orderkey, ({_FNV} * 6 // 4294967296)::INT AS shard FROM orders")
+pair("shard_key_lookup", lambda t: _SHARDS.read(*_kept(t("orders"), _SHARDS.write), 77).select("o_orderkey", "o_custkey"), "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 77")
+pair("shard_scatter_gather", lambda t: _SHARDS.read(*_kept(t("orders"), _SHARDS.write)).groupBy("o_custkey").agg(F.count("*").alias("n")), "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
 
 
 def _columns(t) -> DataFrame:
@@ -506,3 +523,8 @@ engine(
     "SELECT k, cust FROM o WHERE cust < 600",
     "SELECT o_orderkey AS k, o_custkey AS cust FROM orders WHERE o_custkey < 600 AND o_custkey >= 50",
 )
+engine("sql_limited_changes", "customer", [_CUST, _FILL, "DELETE FROM cust WHERE nation = 3 LIMIT 1000000", "UPDATE cust SET seg = 'SOME' WHERE nation = 4 LIMIT 2"], "SELECT COUNT(*) AS n, SUM(CASE WHEN seg = 'SOME' THEN 1 ELSE 0 END) AS some, SUM(CASE WHEN nation = 3 THEN 1 ELSE 0 END) AS three FROM cust", "SELECT count(*) AS n, least(2, sum((c_nationkey = 4)::INT))::BIGINT AS some, 0::BIGINT AS three FROM customer WHERE c_nationkey <> 3")
+_TWO = "WITH RECURSIVE start AS (SELECT 24 AS k), reach AS (SELECT k FROM start UNION SELECT (n.n_nationkey * 3 + n.n_regionkey) % 25 AS k FROM reach r JOIN nation n ON n.n_nationkey = r.k), steps AS (SELECT 1 AS i UNION ALL SELECT i + 1 AS i FROM steps WHERE i < 3) SELECT k, i FROM reach CROSS JOIN steps"
+engine("sql_recursive_list", "nation", [], _TWO, _TWO)
+engine("sql_system_catalog", "", [_CUST, "CREATE INDEX by_nation ON cust (nation)", "CREATE TABLE p (id INT PRIMARY KEY, name TEXT)", "INSERT INTO p VALUES (1, 'red ring')", "CREATE FULLTEXT INDEX f ON p (name)"], "SELECT t.table_name, t.columns, i.index_name, i.kind FROM system.tables t JOIN system.indexes i ON i.table_name = t.table_name", "SELECT * FROM (VALUES ('cust', 5, 'by_nation', 'btree'), ('p', 2, 'f', 'fulltext')) AS v(table_name, columns, index_name, kind)")
+engine("sql_partition_pruned", "orders", ["CREATE TABLE o (k BIGINT, cust INT) PARTITION BY HASH (cust) PARTITIONS 4", "INSERT INTO o SELECT o_orderkey, o_custkey FROM orders", "INSERT INTO o VALUES (-1, 77)"], "SELECT k FROM o WHERE cust = 77 AND k < 100000000", "SELECT o_orderkey AS k FROM orders WHERE o_custkey = 77 UNION ALL SELECT -1")
