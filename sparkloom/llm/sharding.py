@@ -25,10 +25,11 @@ from .common import materialize, shared_dir, shuffle_parts
 BLOCK_ROWS, MAX_BLOCKS = 20_000, 200_000
 #: Blocks of an old shard at least, so that few rows lie in cut blocks.
 LEAST_BLOCKS = 64
-#: Rows of cut blocks that the driver deals out at most; of more, the blocks are cut into ones of SMALL_ROWS first.
-SINGLES, SMALL_ROWS = 50_000, 500
+#: Rows that the pieces of a cut block hold on average; the driver sees one row for each piece, and deals out the rows of
+#: those pieces that are cut again, about one for each pair of an old and a new shard with flow.
+SMALL_ROWS = 500
 #: Bytes of text that a written file holds, about.
-FILE_BYTES = 1 << 28
+FILE_BYTES = 1 << 27
 #: Mean-sized rows that each flow keeps for dealing out one by one, so that shards end near their capacity.
 SPARE_ROWS = 48
 
@@ -146,7 +147,8 @@ class Layout:
         self.base = base
         n = base.count()
         per_old = max(LEAST_BLOCKS, math.ceil(min(MAX_BLOCKS, n / BLOCK_ROWS) / old_count))
-        self.per_old, self.small, self.cut_frame = per_old, 1, None
+        self.per_old, self.small = per_old, 1
+        self.cut_frame: DataFrame | None = None
         blocks = self._sizes(self._blocks())
         supply = [0] * old_count
         for old, _, size, _ in blocks:
@@ -157,8 +159,8 @@ class Layout:
         whole, cut = plan_blocks(blocks, flow)
         rows_of = {(o, b): rows for o, b, _, rows in blocks}
         cut_rows = {(o, b): rows_of[o, b] for o, (bs, _) in cut.items() for b in bs}
-        if sum(cut_rows.values()) > SINGLES:
-            self.small = min(math.ceil(max(cut_rows.values()) / SMALL_ROWS), max(2, MAX_BLOCKS // len(cut_rows)))
+        if cut_rows:
+            self.small = min(math.ceil(max(cut_rows.values()) / SMALL_ROWS), max(1, MAX_BLOCKS // len(cut_rows)))
             pairs = [(o, b, per_old + i * self.small) for i, (o, b) in enumerate(sorted(cut_rows))]
             self.cut_frame = spark.createDataFrame(pairs, "old int, block int, first int")
             smaller = self._sizes(self._blocks().where(F.col("block") >= per_old))
@@ -234,7 +236,8 @@ def reshard(docs: DataFrame, old_shard: Column, old_count: int, capacities: list
     any other; an empty table gives no rows. Further columns are ignored.
 
     Sent to the driver: one row for each block (MAX_BLOCKS in all, or LEAST_BLOCKS
-    of each old shard) and those of the blocks that the flow cuts (about SINGLES).
+    of each old shard) and the rows of the pieces of blocks that the flow cuts
+    (SMALL_ROWS or few more of each).
     """
     base = _numbered(docs, old_shard, old_count, False)
     rows = Layout(base, old_count, capacities, shards, costs).rows(shuffle_parts(docs.sparkSession))
