@@ -28,6 +28,8 @@ LEAST = 3
 ORDERS = (6, 5, 4, 3, 2, 1)
 #: Counters of each order of n-grams and language; rows sent to the driver are bounded by them.
 GRAMS = 1 << 17
+#: Occurrences that each language is given beyond those seen.
+PRIOR = 10
 #: Words of a text that count as independent evidence in its score.
 EVIDENCE = 50
 
@@ -82,7 +84,8 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
 
 
 def _log_shares(counts: np.ndarray) -> np.ndarray:
-    return np.log((counts + 0.5) / (counts.sum(axis=0, keepdims=True) + 0.5 * len(counts))).astype(np.float32)
+    """Smoothed by PRIOR occurrences spread evenly, so that a language of few documents gains nothing by what it lacks."""
+    return np.log((counts + PRIOR / max(1, len(counts))) / (counts.sum(axis=0, keepdims=True) + PRIOR)).astype(np.float32)
 
 
 def fit(docs: DataFrame) -> dict | None:
