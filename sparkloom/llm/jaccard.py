@@ -138,9 +138,9 @@ def _describe(k: int):
                 for node, check, s in zip(nodes, checks, sets, strict=True):
                     bits.append(None if node is None or (node, check) in done else bitmap(s, bitmap_bits(len(s))).tobytes())
                     done.add((node, check))
-                yield {"doc_id": pdf["doc_id"].iloc[lo:hi], "n": [len(s) for s in sets], "node": nodes, "chk": checks, "bits": bits, "sketch": [None] * len(sets)}
+                yield {"doc_id": pdf["doc_id"].iloc[lo:hi], "n": [len(s) for s in sets], "node": nodes, "chk": checks, "k1": pdf["k1"].iloc[lo:hi], "k2": pdf["k2"].iloc[lo:hi], "bits": bits, "sketch": [None] * len(sets)}
         if sketch.any():
-            yield {"doc_id": [None], "n": [-1], "node": [None], "chk": [None], "bits": [None], "sketch": [zlib.compress(sketch.astype("<i8").tobytes(), 1)]}
+            yield {"doc_id": [None], "n": [-1], "node": [None], "chk": [None], "k1": [None], "k2": [None], "bits": [None], "sketch": [zlib.compress(sketch.astype("<i8").tobytes(), 1)]}
 
     return run
 
@@ -549,14 +549,16 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, links: bo
     share the id (their components meet in it only through links); a null doc_id
     stays null and does not name a component unless all its members are null.
     Equal sets link. Other columns are ignored; an empty table gives no rows.
-    Returns doc_id, n_shingles, component_id, node (the set's key, null if empty)
+    Returns doc_id, n_shingles, component_id, node (the set's key, null if empty),
+    root (a node of the component), k1 and k2 (hashes of the text)
     and, with ``links``, n_links: how many other documents the row is linked with,
     copies counted each.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
-    described = materialize(batch_map(docs, _describe(k), "doc_id long, n long, node long, chk long, bits binary, sketch binary"))
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2"))
+    described = materialize(batch_map(hashed, _describe(k), "doc_id long, n long, node long, chk long, k1 long, k2 long, bits binary, sketch binary"))
     rows, nodes, renamed = _names(described)
     shared = described.where("bits is not null").select("node", "chk", "n", "bits")
     counts = spark.sparkContext.broadcast(_frequencies(described))
@@ -572,9 +574,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, percent: int = 75, links: bo
     fetch = lambda wanted, wide: _fetch(wanted, wide, docs, nodes, k, renamed)
     roots = _link(sized, bits, fetch, percent)
     named = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
-    named = named.select("node", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    named = named.select("node", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
     out = rows.join(named, "node", "left")
-    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node"]
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node", "root", "k1", "k2"]
     if links:
         found = _links(roots, nodes, fetch, percent)
         out = out.join(nodes.join(found, "node", "left").select("node", (F.col("weight") - 1 + F.coalesce("found", F.lit(0))).alias("linked")), "node", "left")
@@ -592,7 +594,7 @@ def _names(described: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
     sets); all but one of each key get another name, by {key: {second key: name}}.
     """
     spark = described.sparkSession
-    rows = described.where("n >= 0").select("doc_id", "n", "node", "chk")
+    rows = described.where("n >= 0").select("doc_id", "n", "node", "chk", "k1", "k2")
     of_node = lambda r: r.where("node is not null").groupBy("node")
     least, weight, size = F.min("doc_id").alias("least"), F.count("*").alias("weight"), F.max("n").alias("size")
     nodes = materialize(of_node(rows).agg(least, weight, size, F.min("chk").alias("chk"), F.max("chk").alias("top")))
@@ -604,7 +606,7 @@ def _names(described: DataFrame) -> tuple[DataFrame, DataFrame, dict]:
         remove(spark, nodes)
         rows = _renamed(rows, renamed)
         nodes = materialize(of_node(rows).agg(least, weight, size))
-    return rows.select("doc_id", "n", "node"), nodes.select("node", "least", "weight", "size"), renamed
+    return rows.select("doc_id", "n", "node", "k1", "k2"), nodes.select("node", "least", "weight", "size"), renamed
 
 
 def _renamed(table: DataFrame, renamed: dict) -> DataFrame:
@@ -626,12 +628,31 @@ def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, that with the least doc_id.
+    """Pipeline stage: one row of each component stays, that with the least doc_id (null after all others).
 
-    Documents without words are components of their own and stay. Of rows with
-    one doc_id that is kept, all stay; null doc_ids stay.
+    Rows are told apart by doc_id and text, so a row with another text under an id
+    that is removed stays if its own component keeps it. Of rows equal in both, one
+    stays (any, if they differ in other columns). Rows without words are components
+    of their own and stay.
     """
     found = ngram_jaccard_join(docs, links=False)
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct())
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    key = ["doc_id", "k1", "k2"]
+    rows = found.where("node is not null").select("root", *key)
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), *key)).alias("kept")).select("root", *(F.col(f"kept.{c}").alias(f"{c}_kept") for c in key))
+    gone = rows.join(kept, "root").where("not (doc_id <=> doc_id_kept and k1 = k1_kept and k2 = k2_kept)").select(*key).distinct()
+    gone = materialize(gone)
+    several = rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    several = materialize(several.join(gone, [several[c].eqNullSafe(gone[c]) for c in key], "left_anti"))
+
+    def at(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
+        """Rows of ``docs`` with (left_semi) or without (left_anti) a match in ``named``."""
+        few = named.select(*(F.col(c).alias(f"_{c}_of") for c in key))
+        few = F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+        own = (F.col("doc_id"), F.xxhash64("text"), F.xxhash64("text", F.lit(1)))
+        return rows.join(few, [o.eqNullSafe(F.col(f"_{c}_of")) for o, c in zip(own, key, strict=True)], how)
+
+    left = at(docs, gone, "left_anti")
+    if not several.head(1):
+        return left
+    one = at(left, several, "left_semi").withColumn("_k", F.struct(F.xxhash64("text"), F.xxhash64("text", F.lit(1)))).dropDuplicates(["doc_id", "_k"]).drop("_k")
+    return at(left, several, "left_anti").unionByName(one)
