@@ -21,7 +21,7 @@ from .textscan import span_hashes
 
 LIMIT = 0x250
 #: Pieces kept by a worker before the cache starts anew.
-CACHE = 400_000
+CACHE = 150_000
 #: Characters of a piece that is kept.
 LONGEST = 256
 #: Characters that are split at once.
@@ -58,10 +58,8 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        self.path, self._exact = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", [])}
@@ -71,6 +69,16 @@ class Encoder:
         self.pieces = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes] = {}
 
+    @property
+    def exact(self):
+        """``tokenizers`` itself, loaded when the first text needs it."""
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.path)
+            self._exact.encode_special_tokens = True
+        return self._exact
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and the offsets of each text (one more than texts)."""
         parts: list = [None] * len(texts)

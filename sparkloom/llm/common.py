@@ -1,35 +1,15 @@
-"""Shared plumbing: shipping code, shared-folder tables, connected components."""
+"""Shared plumbing: shared-folder tables, connected components, functions over Arrow batches."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parent.parent
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application.
-
-    Python workers on other machines do not have the repository on their path.
-    """
-    sc = spark.sparkContext
-    if getattr(sc, "_loom_shipped", False):
-        return
-    folder = os.path.realpath(tempfile.mkdtemp(prefix="loom-"))
-    path = os.path.join(folder, f"{PACKAGE.name}_code.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in PACKAGE.rglob("*.py"):
-            z.write(f, f.relative_to(PACKAGE.parent))
-    sc.addPyFile(path)
-    sc._loom_shipped = True
+from sparkloom.shipping import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -182,13 +162,26 @@ def batch_map(df: DataFrame, fn, ddl: str) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches):
-        for cols in fn(b.to_pandas(integer_object_nulls=True) for b in batches):
+        for cols in fn(b.to_pandas(integer_object_nulls=True) for b in small(batches)):
             arrays = [pa.array(cols[f.name], type=f.type, from_pandas=True) for f in schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return df.mapInArrow(run, ddl)
 
 
+#: Bytes of a piece of a batch that is converted at once, unless one row has more.
+PIECE = 8 << 20
+
+
+def small(batches):
+    """Arrow batches in pieces of PIECE bytes, so that a worker holds few Python objects; memory goes back at the end."""
+    for b in batches:
+        rows = max(1, int(b.num_rows * PIECE / max(PIECE, b.nbytes)))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def filter_texts(df: DataFrame, keep) -> DataFrame:
     """Rows of ``df`` for which ``keep``, given the texts of a batch, has True. No column is converted on the way."""
     from pyspark.sql.types import StructType
@@ -196,7 +189,7 @@ def filter_texts(df: DataFrame, keep) -> DataFrame:
     ship(df.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array(keep(b.column("text").to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, StructType(df.schema.fields))
@@ -217,7 +210,7 @@ def replace_columns(df: DataFrame, fn, ddl: str = "") -> DataFrame:
     types = to_arrow_schema(schema)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             made = fn(b)
             arrays = [pa.array(made[f.name], type=f.type) if f.name in made else b.column(f.name) for f in types]
             yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([pa.field(f.name, a.type) for f, a in zip(types, arrays, strict=True)]))

@@ -168,10 +168,9 @@ def test_rewrite_touches_affected_shards_only(spark, tmp_path):
         assert spark.read.parquet(str(tmp_path / "b")).count() == 16
 
 
-@pytest.mark.parametrize("singles", [50_000, 5])
-def test_rewrite_writes_null_and_repeated_ids_once(spark, tmp_path, monkeypatch, singles):
-    monkeypatch.setattr(sharding, "SINGLES", singles)
-    monkeypatch.setattr(sharding, "SMALL_ROWS", 2)
+@pytest.mark.parametrize("small", [500, 2])
+def test_rewrite_writes_null_and_repeated_ids_once(spark, tmp_path, monkeypatch, small):
+    monkeypatch.setattr(sharding, "SMALL_ROWS", small)
     monkeypatch.setattr(sharding, "LEAST_BLOCKS", 4)
     ids = [None, None, None, 3, 3, 3, 4, 4, *range(10, 40)]
     texts = ["a", "a", None, "b", "b", "other", "", None, *("x" * (i % 5) for i in range(30))]
@@ -195,7 +194,6 @@ def test_rewrite_writes_null_and_repeated_ids_once(spark, tmp_path, monkeypatch,
 
 
 def test_rows_that_are_all_equal_go_to_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "SINGLES", 40)
     monkeypatch.setattr(sharding, "SMALL_ROWS", 4)
     docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
     rows = sharding.reshard(docs, F.lit(1), 2, shards=5).collect()
@@ -769,3 +767,199 @@ def test_pipeline_stages_hold_what_they_promise(spark):
     assert clean.columns == docs.columns and not any(pii.NUMBERS.search(r["text"]) and texts[r["doc_id"]] == r["text"] for r in clean.collect() if pii.find(r["text"]))
     out = p.run(spark, sf)
     assert set(out.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} and out.count() > 0
+
+
+# --- operators against slow versions of themselves ---
+
+
+def test_contexts_against_plain_loops():
+    import pandas as pd
+
+    rng = random.Random(51)
+    texts = [" ".join(rng.choice(["Ab", "ab", "c1", "d.", "E-e", "éa"]) for _ in range(n)) for n in (0, 1, 2, 9, 40)] + [None]
+    got = next(quality._contexts(iter([pd.DataFrame({"text": texts})])))["sums"][0]
+    got = np.frombuffer(got, "<i4").reshape(2 * quality.UNITS, quality.DIM)
+    index, want = quality.index_vectors(), np.zeros((2 * quality.UNITS, quality.DIM))
+    for t in texts:
+        words_, shapes, _, _ = quality.units([(t or "").encode()])
+        for i in range(len(words_)):
+            for j in range(max(0, i - quality.WINDOW), min(len(words_), i + quality.WINDOW + 1)):
+                if i != j:
+                    for own in (words_[i], shapes[i]):
+                        want[own] += index[words_[j]] + index[shapes[j]]
+    assert (got == want).all() and want.any()
+
+
+def test_features_against_plain_loops(monkeypatch):
+    monkeypatch.setattr(quality, "GROUP_TEXTS", 3)
+    rng = random.Random(52)
+    vectors = np.random.default_rng(3).standard_normal((2 * quality.UNITS, quality.DIM)).astype(np.float32)
+    texts = [words(rng, n, 12).encode() for n in (0, 1, 2, 3, 30, 200, 1, 50)] + [b"One\nTwo two TWO"]
+    got = quality.features(texts, quality.pooling_table(vectors))
+    for row, t in zip(got, texts, strict=True):
+        own, shapes, full, _ = quality.units([t])
+        n = len(own)
+        if not n:
+            assert not row.any()
+            continue
+        v, s = vectors[own].astype(float), vectors[shapes].astype(float)
+        runs = [tuple(full[i : i + 3].tolist()) for i in range(n - 2)]
+        plain = [np.log1p(n), len(set(full.tolist())) / n, len(set(runs)) / max(1, n - 2), len(t) / n, t.count(b"\n") / n, 1]
+        assert np.allclose(row, np.concatenate((v.mean(axis=0), s.mean(axis=0), s.std(axis=0), plain)), atol=1e-3)
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(53)
+    x = rng.standard_normal((6000, 8))
+    y = (rng.random(6000) < 1 / (1 + np.exp(-1.5 * x[:, 0]))).astype(float)
+    model = quality.train(x[:4000], y[:4000])
+    p = quality.score(model, x[4000:])
+    loss = lambda q: -np.mean(y[4000:] * np.log(q) + (1 - y[4000:]) * np.log(1 - q))
+    sharp = quality.score(model | {"temperature": model["temperature"] / 3}, x[4000:])
+    assert 0.25 <= model["temperature"] <= 8 and loss(np.clip(p, 1e-9, 1 - 1e-9)) < loss(np.clip(sharp, 1e-9, 1 - 1e-9))
+    for lo, hi in ((0.1, 0.35), (0.35, 0.65), (0.65, 0.9)):
+        inside = (p >= lo) & (p < hi)
+        assert abs(p[inside].mean() - y[4000:][inside].mean()) < 0.08
+
+
+def test_word_first_backoff_against_plain_loops(spark):
+    rng = random.Random(54)
+    langs = {i: ("en", "xx")[i % 2] for i in range(200)}
+    texts = [" ".join("".join(rng.choice(("aeiou", "bcdfg")[i % 2] + "lm") for _ in range(rng.randrange(2, 7))) for _ in range(30)) for i in range(200)]
+    model = langid.fit(frame(spark, texts, langs=langs))
+    for t in [*texts[:5], "aeli bcd zzz", "qqq", "lm ml aaaaaa"]:
+        total = np.zeros(len(model["langs"]))
+        for w in t.split():
+            h = textscan.word_hashes([w.encode()], langid.ONLY_LETTERS)[0][0]
+            if h in model["keys"]:
+                s = model["words"][np.searchsorted(model["keys"], h)].astype(float)
+            else:
+                s = np.zeros(len(model["langs"]))
+                flat = np.frombuffer(b"\x01" + w.encode() + b"\x01", np.uint8)
+                for order in langid.ORDERS:
+                    known, shares = model["grams"][order]
+                    keys = [int(textscan.ngram_hashes(flat[i : i + order].astype(np.uint64) + np.uint64(1), order)[0] >> np.uint64(20)) & (langid.GRAMS - 1) for i in range(len(flat) - order + 1)]
+                    keys = [k for k in keys if known[k]]
+                    if keys:
+                        s = np.mean([shares[k].astype(float) for k in keys], axis=0)
+                        break
+            total += s - s.max()
+        best, share = langid.predict(model, [t.encode()])
+        assert best[0] == total.argmax() and 0 <= share[0] <= 1
+
+
+def test_a_rare_language_is_learned(spark):
+    rng = random.Random(55)
+    common = [" ".join("".join(rng.choices("abcde", k=4)) for _ in range(20)) for _ in range(600)]
+    rare = [" ".join("".join(rng.choices("wxyz", k=4)) for _ in range(20)) for _ in range(12)]
+    langs = {i: "aa" if i < 600 else "zz" for i in range(612)}
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame(spark, common + rare, langs=langs)).collect()}
+    assert all(got[600 + i] == "zz" for i in range(12)) and sum(v == "aa" for v in got.values()) == 600
+
+
+def slow_two_fit(lengths, capacity):
+    """Best-two-fit document by document."""
+    left, bins = sorted(lengths, reverse=True), 0
+    while left:
+        own, gap = [left.pop(0)], 0
+        gap = capacity - own[0]
+        i = 0
+        while i < len(left):
+            if left[i] <= gap:
+                gap -= left[i]
+                own.append(left.pop(i))
+            else:
+                i += 1
+        while gap and len(own) > 1:
+            small = min(own)
+            pairs = [(a + b, i, j) for i, a in enumerate(left) for j, b in enumerate(left) if i < j and small < a + b <= gap + small]
+            if not pairs:
+                break
+            s, i, j = max(pairs)
+            own.remove(small)
+            own += [left[i], left[j]]
+            for k in (j, i):
+                del left[k]
+            left.append(small)
+            left.sort(reverse=True)
+            gap += small - s
+        bins += 1
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_needs_as_few_bins_as_document_by_document(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randrange(1, 65) for _ in range(120)]
+    patterns = packing.plan(Counter(lengths), 64)
+    assert abs(sum(n for _, n in patterns) - slow_two_fit(lengths, 64)) <= 1
+
+
+# --- every operator on odd tables ---
+
+
+OPERATORS = {
+    "op1": lambda spark, docs: sharding.reshard(docs, F.lit(0), 2, shards=3),
+    "op2": lambda spark, docs: jaccard.ngram_jaccard_join(docs),
+    "op3": lambda spark, docs: decontam.decontaminate(docs, spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")).select("doc_id", "coverage", "item_ids"),
+    "op4": lambda spark, docs: pii.surrogates(docs, b"key"),
+    "op5": lambda spark, docs: tokencount.count_tokens(docs, packing.token_path()).select("doc_id", "n_tokens"),
+    "op6": lambda spark, docs: licenses.scan(docs),
+    "op7": lambda spark, docs: quality.classify(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int")),
+    "op8": lambda spark, docs: packing.pack(docs, packing.token_path()).select("doc_id", "piece", "length", "ids_crc32"),
+    "op9": lambda spark, docs: langid.identify(docs),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_nulls_repeats_ties_clashing_columns_and_nothing(spark, name):
+    run = OPERATORS[name]
+    long = " ".join(f"w{i % 977}" for i in range(600_000))  # 3 MB
+    texts = [None, None, "", "one two three four five six seven", "one two three four five six seven", "a@b.co", long, long + " end"]
+    ids = [None, 1, 2, 3, 3, None, 7, 8]
+    names = ["score", "shard", "coverage", "lang_pred", "row", "slot", "n_entities", "weight", "token"]
+    docs = frame(spark, texts, ids, langs={1: "en", 3: "en", 7: None, 8: "fr"}).select("*", *(F.lit(float("nan")).alias(n) for n in names))
+    rows = run(spark, docs).collect()
+    seen = Counter(r["doc_id"] for r in rows)
+    if name == "op8":
+        assert set(seen) == set(ids) and sum(r["length"] for r in rows if r["doc_id"] == 7) + 1 <= sum(r["length"] for r in rows if r["doc_id"] == 8)
+    else:
+        assert seen == Counter(ids)
+    alike = [tuple(r.asDict(True).items()) for r in rows if r["doc_id"] == 3]
+    if name not in ("op1", "op8"):
+        assert repr(alike[0]) == repr(alike[1])
+    assert run(spark, docs.limit(0)).count() == 0
+
+
+def test_stages_keep_other_columns_as_they_are(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40).withColumn("coverage", F.lit(0.77)).withColumn("contaminated", F.lit("mine")).withColumn("_x", F.lit(float("nan"))).withColumn("tags", F.array(F.lit(1.5), F.lit(None).cast("double")))
+    for stage in (decontam.drop_contaminated, pii.clean_stage, quality.keep_good, jaccard.keep_one):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        assert all(r["coverage"] == 0.77 and r["contaminated"] == "mine" and r["_x"] != r["_x"] and r["tags"] == [1.5, None] for r in out.collect())
+
+
+def test_sets_with_one_key_are_told_apart(spark, monkeypatch):
+    texts = ["a b c d e f", "g h i j k l", "a b c d e f", None, "m n o p q r s"]
+    want = [0, 1, 0, 3, 4]
+    got = jaccard._names(spark.createDataFrame([(i, n, node, chk, 0, 0) for i, (n, node, chk) in enumerate([(2, 5, 1), (2, 5, 9), (2, 5, 1), (0, None, None), (3, 6, 7)])], "doc_id long, n long, node long, chk long, k1 long, k2 long"))
+    rows = {r["doc_id"]: r["node"] for r in got[0].collect()}
+    assert rows[0] == rows[2] == 5 != rows[1] and rows[1] == got[2][5][9] and rows[4] == 6 and rows[3] is None
+    assert {r["node"]: (r["least"], r["weight"]) for r in got[1].collect()} == {5: (0, 2), rows[1]: (1, 1), 6: (4, 1)}
+    assert [r["component_id"] for r in sorted(jaccard.ngram_jaccard_join(frame(spark, texts), links=False).collect(), key=lambda r: r["doc_id"])] == want
+
+
+def test_words_that_cancel_in_polynomial_sums_do_not_link(spark):
+    docs = frame(spark, [MORSE, OTHER_MORSE, " ".join([MORSE] * 9), " ".join([OTHER_MORSE] * 9)])
+    assert [r["component_id"] for r in sorted(jaccard.ngram_jaccard_join(docs).collect(), key=lambda r: r["doc_id"])] == [0, 1, 2, 3]
+
+
+def test_one_row_of_each_group_stays_under_null_and_repeated_ids(spark):
+    a, b, c = "one two three four five six", "other words of its own here", "a third text that nobody else has"
+    docs = frame(spark, [a, b, a, c, c, c, None, None, "", b + "!"], [1, 2, 2, None, None, 7, None, None, 8, 3])
+    rows = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(spark, docs, "").collect()), key=repr)
+    assert rows == sorted([(1, a), (2, b), (7, c), (None, None), (None, None), (8, ""), (3, b + "!")], key=repr)
+    again = frame(spark, [c, c, c], [None, None, None])
+    assert [(r["doc_id"], r["text"]) for r in jaccard.keep_one(spark, again, "").collect()] == [(None, c)]
+    assert jaccard.keep_one(spark, docs.limit(0), "").count() == 0
