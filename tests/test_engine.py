@@ -161,3 +161,41 @@ def test_text_search_in_sql(engine, spark):
     assert rows(engine.sql("SELECT id, MATCH(body) AGAINST ('fox' IN BOOLEAN MODE) FROM art WHERE MATCH(body) AGAINST ('quick') > 0")) == [(1, 1.0)]
     assert engine.sql("SELECT 'it''s' AS s").first()[0] == "it's"
     assert [r[0] for r in engine.sql("SELECT DISTINCT ON (id % 2) id FROM art ORDER BY id % 2, id DESC LIMIT 2").collect()] != []
+
+
+def test_partitions_are_read_as_far_as_a_query_can_need_them(engine):
+    engine.sql("CREATE TABLE p (k INT, day INT) PARTITION BY RANGE (day) (PARTITION a VALUES LESS THAN (10), PARTITION b VALUES LESS THAN (20))")
+    engine.sql("INSERT INTO p VALUES (1, 5), (2, 15), (3, 19)")
+    with pytest.raises(Exception, match="no partition of p takes a row"):
+        engine.sql("INSERT INTO p VALUES (4, 25)")
+    plan = lambda text: engine.query(text)._jdf.queryExecution().executedPlan().toString()
+    assert "_part" in plan("SELECT k FROM p WHERE day >= 12 AND k > 0") and "[b]" in plan("SELECT k FROM p WHERE day >= 12 AND k > 0").replace("IN (b)", "[b]").replace("= b)", "[b]")
+    assert [r[0] for r in engine.sql("SELECT k FROM p WHERE day BETWEEN 12 AND 16 OR k = 1 ORDER BY k").collect()] == [1, 2]
+    engine.sql("UPDATE p SET day = 6 WHERE k = 2")
+    assert sorted(tuple(r) for r in engine.sql("SELECT * FROM p").collect()) == [(1, 5), (2, 6), (3, 19)]
+
+
+def test_only_one_writer_gives_a_file_its_name(engine):
+    files, path = engine.store.files, f"{engine.store.root}/main/once"
+    assert files.create(path, "first") and not files.create(path, "second") and files.read(path) == "first"
+    assert [n for n in files.names(f"{engine.store.root}/main") if n.startswith("once")] == ["once"]
+
+
+def test_users_that_are_not_there(engine):
+    engine.sql("CREATE USER u PASSWORD 'secret'")
+    assert "secret" not in str(engine.users) and engine.users["u"]["password"]
+    engine.sql("ALTER USER u PASSWORD 'other'")
+    for bad in ("DROP USER nobody", "ALTER USER nobody PASSWORD 'x'"):
+        with pytest.raises(ValueError, match="no user nobody"):
+            engine.sql(bad)
+    engine.sql("DROP USER IF EXISTS nobody")
+    engine.sql("DROP USER u")
+    assert not engine.users
+
+
+def test_whole_number_rules_reach_subqueries_and_changes(engine):
+    engine.sql("CREATE TABLE w (a BIGINT, b DOUBLE)")
+    engine.sql("INSERT INTO w VALUES (7, 7.0), (9007199254740993, 1.0)")
+    assert [tuple(r) for r in engine.sql("SELECT a / 2 AS x, b / 2 AS y, (SELECT MIN(a) / 2 FROM w) AS z FROM w WHERE a / 2 > 1 ORDER BY a").collect()] == [(3, 3.5, 3), (4503599627370496, 0.5, 3)]
+    engine.sql("UPDATE w SET a = a / 2, b = b / 2")
+    assert sorted(tuple(r) for r in engine.sql("SELECT * FROM w").collect()) == [(3, 3.5), (4503599627370496, 0.5)]
