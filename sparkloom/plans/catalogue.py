@@ -386,17 +386,17 @@ pair("information_schema_columns", _columns, "SELECT * FROM (VALUES ('region', '
 pair("json_contains_column", lambda t: t("events").where(json.contains(F.concat(F.lit('{"a": '), "props", F.lit("}")), F.concat(F.lit('{"a": '), "props", F.lit("}")))).select("event_id"), "SELECT event_id FROM events")
 
 # --- whole numbers beyond 2**53 ---
-_BIG = "SELECT o_orderkey, o_orderkey * 600000000000001 + 9007199254740993 AS big, o_custkey % 5 AS small FROM orders"
+_BIG = "SELECT o_orderkey, o_orderkey % 1000 * 600000000000001 + 9007199254740993 AS big, o_custkey % 5 AS small FROM orders"
 pair(
     "whole_number_rules",
     lambda t: (
         t("orders")
-        .selectExpr("o_orderkey", "o_orderkey * 600000000000001 + 9007199254740993 AS big", "o_custkey % 5 AS small")
+        .selectExpr("o_orderkey", "o_orderkey % 1000 * 600000000000001 + 9007199254740993 AS big", "o_custkey % 5 AS small")
         .select("o_orderkey", compat.int_div(F.col("big"), F.col("small") - 7).alias("d"), compat.int_pow(F.col("small") - 2, F.lit(39)).alias("p"), compat.int_pow(F.lit(3), F.lit(39)).alias("q"), compat.int_sqrt(F.col("big")).alias("r"))
     ),
     f"SELECT o_orderkey, big // (small - 7) AS d, CASE small WHEN 0 THEN -549755813888 WHEN 1 THEN -1 WHEN 2 THEN 0 WHEN 3 THEN 1 ELSE 549755813888 END AS p, 4052555153018976267 AS q, (SELECT max(x) FROM (SELECT unnest([sqrt(big)::BIGINT - 1, sqrt(big)::BIGINT, sqrt(big)::BIGINT + 1]) AS x) WHERE x::HUGEINT * x <= big) AS r FROM ({_BIG})",
 )
-pair("avg_trunc_big", lambda t: t("orders").selectExpr("o_custkey", "o_orderkey * 600000000000001 AS big").groupBy("o_custkey").agg(compat.avg_trunc("big").alias("a")), "SELECT o_custkey, (sum(o_orderkey * 600000000000001) // count(*))::BIGINT AS a FROM orders GROUP BY o_custkey")
+pair("avg_trunc_big", lambda t: t("orders").selectExpr("o_custkey", "o_orderkey % 10 * 600000000000001 AS big").groupBy("o_custkey").agg(compat.avg_trunc("big").alias("a")), "SELECT o_custkey, (sum(o_orderkey % 10 * 600000000000001) // count(*))::BIGINT AS a FROM orders GROUP BY o_custkey")
 
 
 # --- statements of a session, in a warehouse of their own in the shared folder ---
