@@ -94,17 +94,22 @@ def headline(text: Column, query: Column) -> Column:
     """Up to three stretches of ten words around hits, hits in <b>; else the first ten words and '...'."""
     raw = F.filter(F.split(F.trim(F.regexp_replace(text, r"[\s]+", " ")), " "), lambda w: w != "")
     terms = F.transform(F.filter(words(query), lambda w: F.length(w) > 0), stem)
-    hit = lambda w: F.array_contains(terms, stem(F.regexp_replace(F.lower(w), "[^a-z0-9]", "")))
-    places = F.slice(F.filter(F.transform(raw, lambda w, i: F.when(hit(w), i).otherwise(F.lit(-1))), lambda i: i >= 0), 1, 3)
 
-    def stretch(i: Column) -> Column:
-        start = F.greatest(i - 5, F.lit(0))
-        end = F.least(i + 5, F.size(raw))
-        shown = F.transform(F.slice(raw, start + 1, end - start), lambda w: F.when(hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
-        return F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), F.array_join(shown, " "), F.when(end < F.size(raw), F.lit("...")).otherwise(F.lit("")))
+    def shown(raw: Column, terms: Column) -> Column:
+        clean = lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "")
+        hit = lambda w: F.exists(terms, lambda x: _is(clean(w), x))
+        hits = F.slice(F.filter(F.transform(raw, lambda w, i: F.when(hit(w), i).otherwise(F.lit(-1))), lambda i: i >= 0), 1, 3)
 
-    found = F.array_join(F.transform(places, stretch), " ... ")
-    return F.when(F.size(raw) == 0, F.lit("")).when(F.size(places) > 0, found).otherwise(F.concat(F.array_join(F.slice(raw, 1, 10), " "), F.lit("...")))
+        def stretch(i: Column) -> Column:
+            start, end = F.greatest(i - 5, F.lit(0)), F.least(i + 5, F.size(raw))
+            part = F.transform(F.slice(raw, start + 1, end - start), lambda w: F.when(hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
+            return F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), F.array_join(part, " "), F.when(end < F.size(raw), F.lit("...")).otherwise(F.lit("")))
+
+        first = F.concat(F.array_join(F.slice(raw, 1, 10), " "), F.lit("..."))
+        found = _once(hits, lambda places: F.when(F.size(places) > 0, F.array_join(F.transform(places, stretch), " ... ")).otherwise(first))
+        return F.when(F.size(raw) == 0, F.lit("")).otherwise(found)
+
+    return _once(raw, lambda own: _once(terms, lambda wanted: shown(own, wanted)))
 
 
 def normalize_text(text: Column) -> Column:
