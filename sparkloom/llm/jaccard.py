@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import textscan as T
 from .common import batch_map, components, grouped_map, materialize, remove, ship, shuffle_parts, texts_of
 
-#: Counters of the sketch; what is broadcast is bounded by them (2**20 longs: 8 MB), and so is what the driver gets.
+#: Counters of the sketch; what is broadcast is bounded by them (2**20 longs: 8 MB, compressed), and so is what the driver gets.
 SKETCH = 1 << 20
 SKETCH_TASKS = 8
 #: A shingle that occurs in more documents than this, as far as the sketch tells, is dealt out in blocks.
@@ -154,24 +154,28 @@ def _sum_sketches(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         yield {"sketch": [zlib.compress(total.astype("<i8").tobytes(), 1)]}
 
 
-def _frequencies(described: DataFrame) -> tuple[np.ndarray, int]:
-    """The sketch summed over all tasks, and the count up to which a counter may be mere noise.
+def _frequencies(described: DataFrame) -> tuple[bytes, int]:
+    """The sketch summed over all tasks (compressed), and the count up to which a counter may be mere noise.
 
-    The tasks' sketches are summed in two rounds, so that the driver gets SKETCH_TASKS of them.
+    The tasks' sketches are summed in three rounds, so that the driver gets one.
     """
     rows = described.where("sketch is not null").select("sketch")
-    rows = materialize(batch_map(rows.coalesce(SKETCH_TASKS**2), _sum_sketches, "sketch binary"))
-    out = np.zeros(SKETCH, np.int64)
-    for r in batch_map(rows.coalesce(SKETCH_TASKS), _sum_sketches, "sketch binary").collect():
-        out += np.frombuffer(zlib.decompress(r["sketch"]), "<i8")
-    remove(described.sparkSession, rows)
-    mean = out.sum() / SKETCH
+    made = []
+    for tasks in (SKETCH_TASKS**2, SKETCH_TASKS):
+        rows = materialize(batch_map(rows.coalesce(tasks), _sum_sketches, "sketch binary"))
+        made.append(rows)
+    one = batch_map(rows.coalesce(1), _sum_sketches, "sketch binary").collect()
+    for t in made:
+        remove(described.sparkSession, t)
+    out = bytes(one[0]["sketch"]) if one else zlib.compress(bytes(8 * SKETCH))
+    mean = np.frombuffer(zlib.decompress(out), "<i8").sum() / SKETCH
     return out, int(mean + 6 * math.sqrt(mean) + 8)
 
 
 def _postings(k: int, percent: int, counts, renamed: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        common, noise = counts.value
+        packed, noise = counts.value
+        common = np.frombuffer(zlib.decompress(packed), "<i8")
         done: set[int] = set()
         for pdf in batches:
             for lo, hi in T.groups(list(pdf["text"])):

@@ -10,6 +10,8 @@ logits divided by a temperature fitted on rows kept from training.
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textscan as T
-from .common import batch_map, crc_mod, filter_texts, materialize, texts_of, utf8
+from .common import batch_map, crc_mod, filter_texts, materialize, remove, texts_of, utf8
 
 #: Labelled documents that the fit may see, chosen by a hash of doc_id.
 SAMPLE = 8000
-#: Tasks of the fit at most; each sends one matrix of 2 x UNITS x DIM floats (6 MB) to the driver.
+#: Tasks of the fit at most; their matrices of 2 x UNITS x DIM numbers are summed in one task, and the driver gets the sum, compressed.
 FIT_TASKS = 8
 UNITS = 1 << 14
 DIM = 48
@@ -83,6 +85,25 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
     yield {"sums": [total.astype("<i4").tobytes()]}
 
 
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    for r in _contexts(batches):
+        yield {"sums": [zlib.compress(b, 1) for b in r["sums"]]}
+
+
+def _sum(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    total = np.zeros(2 * UNITS * DIM, np.int64)
+    for pdf in batches:
+        for b in pdf["sums"]:
+            total += np.frombuffer(zlib.decompress(b), "<i4")
+    yield {"sums": [zlib.compress(total.astype("<i8").tobytes(), 1)]}
+
+
+def _tables(sums: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Pooling tables of the summed contexts, made by each worker from what the driver holds compressed."""
+    total = np.frombuffer(zlib.decompress(sums), "<i8").reshape(2 * UNITS, DIM).astype(float)
+    return pooling_table((total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32))
+
+
 def _pool(table: np.ndarray, unit: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """For each of n texts the sum of its units' rows: a dense count matrix over the units that occur, times their rows."""
     used = np.flatnonzero(np.bincount(unit, minlength=len(table)))
@@ -143,16 +164,25 @@ def features(texts: list[bytes], tables: tuple[np.ndarray, np.ndarray]) -> np.nd
     return out
 
 
-def _features(tables):
+def _features(sums):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        tables = _tables(sums.value)
         for pdf in batches:
             for lo, hi in T.groups(list(pdf["text"])):
                 part = pdf.iloc[lo:hi]
-                yield {"doc_id": part["doc_id"], "label": part["label"], "x": [r.astype("<f8").tobytes() for r in features(texts_of(part), tables.value)]}
+                yield {"doc_id": part["doc_id"], "label": part["label"], "x": [r.astype("<f8").tobytes() for r in features(texts_of(part), tables)]}
 
     return run
 
 
+def _train(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    """The network, fitted on all rows in a fixed order; nothing where fewer than two classes are labelled."""
+    rows = sorted(r for pdf in batches for r in zip(pdf["doc_id"].tolist(), pdf["label"].tolist(), pdf["x"], strict=True))
+    if len({label for _, label, _ in rows}) == 2:
+        x = np.stack([np.frombuffer(b, "<f8") for _, _, b in rows])
+        yield {"net": [pickle.dumps(train(x, np.array([label for _, label, _ in rows], float)))]}
+
+
 def train(x: np.ndarray, y: np.ndarray, epochs: int = 40) -> dict:
     """Two-layer network by Adam on four fifths of the rows; temperature on the rest."""
     rng = np.random.default_rng(7)
@@ -192,9 +222,10 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(_logits(model, x) / model["temperature"], -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], dict] | None:
-    """Pooling tables and network from a bounded sample of labelled documents outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame):
+    """Contexts (broadcast, as _tables takes them) and network from a bounded sample of labelled documents outside the held-out fold.
 
+    Matrices and features stay on the executors; the driver gets the summed contexts, compressed, and the network.
     None where fewer than two classes are labelled.
     """
     spark = docs.sparkSession
@@ -202,18 +233,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[tuple[np.ndarray, np.ndarra
     known = known.select("doc_id", F.col("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SAMPLE)
     chosen = spark.createDataFrame(known.collect(), "doc_id long, label int")
     # The sample is written, so that few tasks can read it; sums of whole numbers do not depend on their order.
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).coalesce(FIT_TASKS)
-    total = np.zeros((2 * UNITS, DIM))
-    for r in batch_map(sample, _contexts, "sums binary").collect():
-        total += np.frombuffer(r["sums"], "<i4").reshape(2 * UNITS, DIM)
-    vectors = (total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    tables = pooling_table(vectors)
-    shared = spark.sparkContext.broadcast(tables)
-    rows = sorted(batch_map(sample, _features(shared), "doc_id long, label int, x binary").collect(), key=lambda r: (r["doc_id"], r["label"], r["x"]))
-    if len({r["label"] for r in rows}) < 2:
-        return None
-    x = np.stack([np.frombuffer(r["x"], "<f8") for r in rows])
-    return tables, train(x, np.array([r["label"] for r in rows], float))
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    sums = materialize(batch_map(sample.coalesce(FIT_TASKS), _packed, "sums binary"))
+    total = batch_map(sums.coalesce(1), _sum, "sums binary").collect()
+    made, nets = [sample, sums], []
+    if total:
+        shared = spark.sparkContext.broadcast(bytes(total[0]["sums"]))
+        made.append(materialize(batch_map(sample.coalesce(FIT_TASKS), _features(shared), "doc_id long, label int, x binary")))
+        nets = batch_map(made[-1].coalesce(1), _train, "net binary").collect()
+    for t in made:
+        remove(spark, t)
+    return (shared, pickle.loads(nets[0]["net"])) if nets else None
 
 
 def _scored(net: dict, tables, texts: list[bytes]) -> np.ndarray:
@@ -222,9 +252,9 @@ def _scored(net: dict, tables, texts: list[bytes]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0)
 
 
-def _scores(model):
+def _scores(sums, net: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        tables, net = model.value
+        tables = _tables(sums.value)
         for pdf in batches:
             yield {"doc_id": pdf["doc_id"], "score": _scored(net, tables, texts_of(pdf))}
 
@@ -244,7 +274,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out")
     if model is None:
         return docs.select("doc_id", held, F.lit(1.0).alias("score"), F.lit(1).alias("predicted"))
-    out = batch_map(docs.select("doc_id", "text"), _scores(spark.sparkContext.broadcast(model)), "doc_id long, score double")
+    out = batch_map(docs.select("doc_id", "text"), _scores(*model), "doc_id long, score double")
     return out.select("doc_id", held, "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
@@ -257,10 +287,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model is None:
         return docs
-    shared = spark.sparkContext.broadcast(model)
+    sums, net = model
+    tables = []
 
     def good(texts: list[str | None]) -> np.ndarray:
-        tables, net = shared.value
-        return _scored(net, tables, utf8(texts)) >= THRESHOLD
+        if not tables:
+            tables.append(_tables(sums.value))
+        return _scored(net, tables[0], utf8(texts)) >= THRESHOLD
 
     return filter_texts(docs, good)

@@ -963,3 +963,20 @@ def test_one_row_of_each_group_stays_under_null_and_repeated_ids(spark):
     again = frame(spark, [c, c, c], [None, None, None])
     assert [(r["doc_id"], r["text"]) for r in jaccard.keep_one(spark, again, "").collect()] == [(None, c)]
     assert jaccard.keep_one(spark, docs.limit(0), "").count() == 0
+
+
+def test_the_driver_gets_one_packed_matrix_and_one_sketch(spark, monkeypatch):
+    """Matrices of 6 MB from each task, the features and eight sketches once took the driver beyond its memory."""
+    import pickle
+
+    rng, got, sent = random.Random(61), [], []
+    rows_of, context = type(spark.range(0)), type(spark.sparkContext)
+    monkeypatch.setattr(rows_of, "collect", lambda self, f=rows_of.collect: got.append(f(self)) or got[-1])
+    monkeypatch.setattr(context, "broadcast", lambda self, value, f=context.broadcast: sent.append(len(pickle.dumps(value))) or f(self, value))
+    docs = frame(spark, [words(rng, 80) for _ in range(120)]).repartition(6)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    assert quality.fit(docs, labels) is not None
+    jaccard.ngram_jaccard_join(docs, links=False)
+    binary = [len(v) for rows in got for r in rows for v in r if isinstance(v, (bytes, bytearray))]
+    assert got and sent and sum(binary) < 1 << 20 and sum(sent) < 1 << 20
+    assert sum("sketch" in r.asDict() for rows in got for r in rows) == 1
