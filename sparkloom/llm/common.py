@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -173,13 +175,21 @@ def batch_map(df: DataFrame, fn, ddl: str) -> DataFrame:
 PIECE = 8 << 20
 
 
+def give_back() -> None:
+    """What a worker has freed goes back to the system, also from the C library's heap where that can be told so."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def small(batches):
-    """Arrow batches in pieces of PIECE bytes, so that a worker holds few Python objects; memory goes back at the end."""
+    """Arrow batches in pieces of PIECE bytes, so that a worker holds few Python objects; memory goes back before and after."""
+    give_back()
     for b in batches:
         rows = max(1, int(b.num_rows * PIECE / max(PIECE, b.nbytes)))
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def filter_texts(df: DataFrame, keep) -> DataFrame:

@@ -980,3 +980,12 @@ def test_the_driver_gets_one_packed_matrix_and_one_sketch(spark, monkeypatch):
     binary = [len(v) for rows in got for r in rows for v in r if isinstance(v, (bytes, bytearray))]
     assert got and sent and sum(binary) < 1 << 20 and sum(sent) < 1 << 20
     assert sum("sketch" in r.asDict() for rows in got for r in rows) == 1
+
+
+def test_workers_give_memory_back_before_and_after_their_batches(monkeypatch):
+    import pyarrow as pa
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda f=common.give_back: calls.append(f()))
+    batch = pa.RecordBatch.from_pydict({"x": list(range(10))})
+    assert [len(calls) for _ in common.small(iter([batch, batch]))] == [1, 1] and len(calls) == 2
