@@ -18,6 +18,12 @@ STOP_WORDS = (
 # Suffixes in the order in which they are tried.
 SUFFIXES = "ing ed es er ly tion ness ment ful less able ible ous ive al".split()
 
+# Patterns for Java. Characters that do not count in a word; letters that have further capitals.
+NOISE, K, I = "[^a-z0-9 \u212a\u0130]*", "[k\u212a]", "[i\u0130]"
+# White space that is not one blank; what stands before the first hit.
+UNEVEN, BEFORE = r"[\t\n\x0B\f\r]\s*| \s+", "(?is)^(?:|.*? )"
+ENDING = "|".join("".join({"k": K, "i": I}.get(c, c) + NOISE for c in s) for s in SUFFIXES)
+
 
 def stem(word: Column) -> Column:
     """Drop the first fitting suffix that leaves more than two letters, else a plural s."""
@@ -90,26 +96,51 @@ def to_tsquery(query: Column, plain: bool = False) -> Column:
     return F.array_join(parts, " & " if plain else " ")
 
 
+def hit_pattern(query: Column) -> Column:
+    """Java's pattern of a word whose stem is one of the query's; '' without any. NULL for NULL."""
+    stems = F.transform(F.filter(words(query), lambda w: F.length(w) > 0), stem)
+
+    def term(x: Column) -> Column:
+        # A stem's words are itself and itself with an ending, as far as their stem is the same.
+        own, plural = F.when(stem(x) == x, F.lit("")), F.when(stem(F.concat(x, F.lit("s"))) == x, F.lit("s" + NOISE))
+        return F.concat(loose(x), F.lit("(?:"), F.concat_ws("|", own, plural, F.when(F.length(x) > 2, F.lit(ENDING))), F.lit(")"))
+
+    return _once(stems, lambda own: F.when(F.size(own) == 0, F.lit("")).otherwise(F.concat(F.lit(f"{NOISE}(?:"), F.array_join(F.transform(own, term), "|"), F.lit(")(?![^ ])"))))
+
+
+def loose(word: Column) -> Column:
+    """Pattern of a lower-case word in any case, with characters between that do not count."""
+    return F.replace(F.replace(F.regexp_replace(word, "(.)", f"$1{NOISE}"), F.lit("k"), F.lit(K)), F.lit("i"), F.lit(I))
+
+
 def headline(text: Column, query: Column) -> Column:
-    """Up to three stretches of ten words around hits, hits in <b>; else the first ten words and '...'."""
-    raw = F.filter(F.split(F.trim(F.regexp_replace(text, r"[\s]+", " ")), " "), lambda w: w != "")
-    terms = F.transform(F.filter(words(query), lambda w: F.length(w) > 0), stem)
+    """Up to three stretches of ten words around hits, hits in <b>; else the first ten words and '...'.
+
+    Patterns go through the text up to the third hit; only stretches are taken apart.
+    """
+    flat = F.trim(F.regexp_replace(text, UNEVEN, " "))
+
+    def shown(flat: Column, hit: Column) -> Column:
+        first = F.concat(F.substring_index(flat, " ", 10), F.lit("..."))
+        upto = lambda rest: F.call_function("regexp_extract", rest, F.concat(F.lit(BEFORE), hit), F.lit(0))
+        behind = lambda part: F.call_function("substring", flat, F.length(part) + 1)
+
+        def stretch(part: Column) -> Column:
+            head, rest = F.substring_index(part, " ", -6), F.call_function("substring", flat, F.length(part) + 2)
+            tail = F.substring_index(rest, " ", 4)
+            words = F.regexp_replace(F.concat_ws(" ", head, F.when(tail != "", tail)), F.concat(F.lit("(?i)(?<![^ ])"), hit), F.lit("<b>$0</b>"))
+            return F.concat(F.when(F.length(head) < F.length(part), F.lit("...")).otherwise(F.lit("")), words, F.when(F.length(tail) < F.length(rest), F.lit("...")).otherwise(F.lit("")))
 
-    def shown(raw: Column, terms: Column) -> Column:
-        clean = lambda w: F.regexp_replace(F.lower(w), "[^a-z0-9]", "")
-        hit = lambda w: F.exists(terms, lambda x: _is(clean(w), x))
-        hits = F.slice(F.filter(F.transform(raw, lambda w, i: F.when(hit(w), i).otherwise(F.lit(-1))), lambda i: i >= 0), 1, 3)
+        def more(part: Column) -> Column:
+            return _once(upto(behind(part)), lambda own: F.when(own == "", F.lit(None)).otherwise(F.concat(part, own)))
 
-        def stretch(i: Column) -> Column:
-            start, end = F.greatest(i - 5, F.lit(0)), F.least(i + 5, F.size(raw))
-            part = F.transform(F.slice(raw, start + 1, end - start), lambda w: F.when(hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
-            return F.concat(F.when(start > 0, F.lit("...")).otherwise(F.lit("")), F.array_join(part, " "), F.when(end < F.size(raw), F.lit("...")).otherwise(F.lit("")))
+        def found(a: Column) -> Column:
+            return _once(more(a), lambda b: _once(more(b), lambda c: F.array_join(F.transform(F.filter(F.array(a, b, c), lambda x: x.isNotNull()), stretch), " ... ")))
 
-        first = F.concat(F.array_join(F.slice(raw, 1, 10), " "), F.lit("..."))
-        found = _once(hits, lambda places: F.when(F.size(places) > 0, F.array_join(F.transform(places, stretch), " ... ")).otherwise(first))
-        return F.when(F.size(raw) == 0, F.lit("")).otherwise(found)
+        some = _once(upto(flat), lambda a: F.when(a == "", first).otherwise(found(a)))
+        return F.when(flat.isNull(), F.lit(None)).when(flat == "", F.lit("")).when(F.coalesce(hit, F.lit("")) == "", first).otherwise(some)
 
-    return _once(raw, lambda own: _once(terms, lambda wanted: shown(own, wanted)))
+    return _once(flat, lambda own: _once(hit_pattern(query), lambda hit: shown(own, hit)))
 
 
 def normalize_text(text: Column) -> Column:

@@ -1,5 +1,7 @@
 """The SQL session: dialect, tables, constraints, transactions, views, prepared statements."""
 
+import re
+
 import pytest
 
 from sparkloom.dialect import rewrite
@@ -154,6 +156,13 @@ def test_rewrite_of_null_order_and_dates():
     assert "timestampadd ( MONTH" in rewrite("SELECT DATE_ADD(ts, INTERVAL 1 MONTH) FROM t")
 
 
+def test_headline_in_sql_takes_only_stretches_apart(engine, spark):
+    engine.register("art", spark.createDataFrame([(1, "a b\n c d e f  Fox-es, g h i j k", "foxes"), (2, None, "fox"), (3, "one fox", None), (4, " ", "fox"), (5, "one two", "\u00e9")], "id int, body string, q string"))
+    df = engine.sql("SELECT id, ts_headline(body, q) AS h FROM art")
+    assert rows(df) == [(1, "...b c d e f <b>Fox-es,</b> g h i j..."), (2, None), (3, None), (4, ""), (5, "one two...")]
+    assert not re.search(r"split\(trim\(regexp_replace\((?!lower)", df._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_text_search_in_sql(engine, spark):
     engine.register("art", spark.createDataFrame([(1, "The quick brown fox"), (2, "Running cats run"), (3, None)], "id int, body string"))
     assert rows(engine.sql("SELECT id FROM art WHERE to_tsvector('english', body) @@ to_tsquery('english', 'foxes & !cat')")) == [(1,), (2,)]  # operators do not count

@@ -1,5 +1,7 @@
 """Facts of functions, text search, partitioning and changes of tables on small literal rows."""
 
+import re
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -49,6 +51,19 @@ def test_text_search(spark):
     assert tuple(r) == ("'run':4 'runn':1 'runner':3", "'runn' & ! 'cat'", "'runn' & 'cat'", 2 / 3, "one two <b>fox</b>", "a b")
 
 
+def test_headline_takes_only_stretches_apart(spark):
+    shown = lambda t, q: one(spark, text_search.headline(F.lit(t), F.lit(q)))[0]
+    assert shown("a b\n c d e f  Fox-es, g h i j k l m fox n", "foxes") == "...b c d e f <b>Fox-es,</b> g h i j... ... ...i j k l m <b>fox</b> n"
+    assert shown("fox fox fox fox end", "fox") == " ... ".join(["<b>fox</b> <b>fox</b> <b>fox</b> <b>fox</b> end"] * 3)
+    assert shown("\u212aiss k\u0130sses kissed less lesss", "kiss less") == " ... ".join(["<b>\u212aiss</b> <b>k\u0130sses</b> <b>kissed</b> <b>less</b> lesss"] * 3)
+    assert shown(" \n", "fox") == "" and shown("one two", "") == "one two..." and shown("one two", "- \u00e9") == "one two..." and shown(None, "fox") is None
+    long = spark.range(1).select(F.concat(F.repeat(F.lit("dull \U0001f600 words "), 200_000), F.lit("fox")).alias("t")).select(text_search.headline(F.col("t"), F.lit("fox")))
+    assert long.first()[0] == "...\U0001f600 words dull \U0001f600 words <b>fox</b>"
+    # Words of the text itself are not made an array; the query's are.
+    text = spark.createDataFrame([("a", "b")], "t string, q string").select(text_search.headline(F.col("t"), F.col("q")))
+    assert not re.search(r"split\(trim\(regexp_replace\((?!lower)", text._jdf.queryExecution().optimizedPlan().toString())
+
+
 def test_porter_and_queries():
     assert [analyzer.porter(w) for w in ("caresses", "ponies", "cats", "hopping", "agreed", "relational", "happy", "fox")] == ["caress", "poni", "cat", "hop", "agre", "relat", "happi", "fox"]
     assert analyzer.analyze("The quick fox, a dog!") == [("quick", 1), ("fox", 2), ("dog", 3)]
