@@ -4,15 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkloom.dialect import global_places
+
 
 def null_last(c: str, desc: bool = False) -> Column:
     """NULL is greater than everything."""
     return F.col(c).desc_nulls_first() if desc else F.col(c).asc_nulls_last()
 
 
+def _directed(c: Column, desc: bool, first: bool) -> Column:
+    return (c.desc_nulls_first() if first else c.desc_nulls_last()) if desc else c.asc_nulls_first() if first else c.asc_nulls_last()
+
+
+def place(df: DataFrame, name: str, keys: list[tuple[str, bool, bool]], rank: bool = False) -> DataFrame:
+    """``name`` becomes row_number(), or rank(), OVER (ORDER BY keys) of all rows; keys are (column, descending, NULLs first).
+
+    A window without partitions is one task. Here rows are dealt by ranges of the keys and sorted, each task numbers
+    its own, and what stands before a task is added. Hashes of whole rows part equal keys, so no key is one task's.
+    """
+    from sparkloom.store.files import materialize
+
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    by = [*(_directed(F.col(c), desc, first) for c, desc, first in keys), F.col("_tie")]
+    done = df.withColumn("_tie", F.xxhash64(*hashed)).repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+    done = materialize(done.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each task
+    parts = done.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = done.join(F.broadcast(parts), "_part").withColumn(name, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("int"))
+    if rank:
+        out = out.withColumn("_key", F.struct(*(k[0] for k in keys)))
+        firsts = out.groupBy("_key").agg(F.min(name).alias("_first"))
+        out = out.join(firsts, "_key").withColumn(name, F.col("_first"))
+    return out.select(df.columns)
+
+
+def query(spark: SparkSession, text: str, args: dict | None = None) -> DataFrame:
+    """A query in Spark's dialect; row_number() and rank() over all rows among its columns are not one task's.
+
+    Those of subqueries, and of a SELECT with DISTINCT, LIMIT or set operations, are left to Spark.
+    """
+    found = global_places(text)
+    if not found:
+        return spark.sql(text, args=args)
+    inner, places, order = found
+    try:
+        df = spark.sql(inner, args=args)
+        names, k = df.columns, sum(len(p[2]) for p in places)
+        names = names[: len(names) - k]
+        df = df.toDF(*(f"_c{i}" for i in range(len(names) + k)))
+        at = len(names)
+        for i, (name, rank, ways) in enumerate(places):
+            c = names.index(f"_place_{i}")
+            names[c] = name
+            df = place(df, f"_c{c}", [(f"_c{at + j}", *way) for j, way in enumerate(ways)], rank)
+            at += len(ways)
+        df = df.select(df.columns[: len(names)]).toDF(*names)
+        return df.orderBy(*(_directed(F.expr(e), *way) for e, *way in order)) if order else df
+    except AnalysisException:  # an ORDER BY of columns that are not shown, or a type that files don't have
+        return spark.sql(text, args=args)
+
+
 def in_subquery(df: DataFrame, column: str, sub: DataFrame) -> DataFrame:
     other = sub.toDF("_k").where("_k is not null")
     return df.join(other, F.col(column) == F.col("_k"), "left_semi")

@@ -41,7 +41,7 @@ def pair(name: str, plan: Callable[..., DataFrame], oracle: str | None) -> None:
 def same(name: str, text: str, oracle: str | None = None, args: dict | None = None) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         src.views(spark, sf_dir, text)
-        return spark.sql(rewrite(text), args=args)
+        return rel.query(spark, rewrite(text), args)
 
     QUERIES[name] = run
     ORACLES[name] = oracle or text

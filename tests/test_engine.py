@@ -163,6 +163,28 @@ def test_headline_in_sql_takes_only_stretches_apart(engine, spark):
     assert not re.search(r"split\(trim\(regexp_replace\((?!lower)", df._jdf.queryExecution().optimizedPlan().toString())
 
 
+def test_places_of_all_rows_are_not_one_tasks(engine, spark):
+    data = [(i, None if i % 7 == 0 else i % 5, f"r{i}") for i in range(1000)]
+    spark.createDataFrame(data, "id int, g int, n string").repartition(5).createOrReplaceTempView("many")
+    plain = "SELECT *, row_number() OVER (ORDER BY g DESC NULLS FIRST, id) AS a, id + 1, rank() OVER (ORDER BY g NULLS LAST) AS b FROM many WHERE id % 3 > 0"
+    df = engine.sql("SELECT *, row_number() OVER (ORDER BY g DESC, id) AS a, id + 1, RANK() OVER (ORDER BY g) b FROM many WHERE id % 3 > 0")
+    want = spark.sql(plain)
+    assert df.schema.simpleString() == want.schema.simpleString() and sorted(map(tuple, df.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert "Window [row_number" not in df._jdf.queryExecution().optimizedPlan().toString()
+    # One key for all rows, and none at all.
+    tied = engine.sql("SELECT id, row_number() OVER (ORDER BY id * 0) AS a, rank() OVER (ORDER BY id * 0) AS b FROM many ORDER BY a DESC").collect()
+    assert [r["a"] for r in tied] == list(range(1000, 0, -1)) and {r["b"] for r in tied} == {1} and len({r["id"] for r in tied}) == 1000
+    assert engine.sql("SELECT id, row_number() OVER (ORDER BY id) AS a FROM many WHERE id < 0").collect() == []
+    # Keys of a GROUP BY; what is left to Spark.
+    for text in (
+        "SELECT g, count(*) AS n, rank() OVER (ORDER BY count(*) DESC NULLS FIRST, g NULLS LAST) AS r FROM many WHERE id < 50 GROUP BY g",
+        "SELECT id, row_number() OVER (ORDER BY id DESC NULLS FIRST) AS a FROM many ORDER BY a LIMIT 3",
+        "SELECT id, row_number() OVER (ORDER BY id DESC NULLS FIRST) AS a FROM many ORDER BY n DESC, id",
+        "SELECT id, NULL AS x, row_number() OVER (ORDER BY id NULLS LAST) AS a FROM many",
+    ):
+        assert sorted(map(repr, engine.sql(text).collect())) == sorted(map(repr, spark.sql(text).collect()))
+
+
 def test_text_search_in_sql(engine, spark):
     engine.register("art", spark.createDataFrame([(1, "The quick brown fox"), (2, "Running cats run"), (3, None)], "id int, body string"))
     assert rows(engine.sql("SELECT id FROM art WHERE to_tsvector('english', body) @@ to_tsquery('english', 'foxes & !cat')")) == [(1,), (2,)]  # operators do not count
