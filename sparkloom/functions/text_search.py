@@ -24,6 +24,11 @@ NOISE, K, I = "[^a-z0-9 \u212a\u0130]*", "[k\u212a]", "[i\u0130]"
 UNEVEN, BEFORE = r"[\t\n\x0B\f\r]\s*| \s+", "(?is)^(?:|.*? )"
 ENDING = "|".join("".join({"k": K, "i": I}.get(c, c) + NOISE for c in s) for s in SUFFIXES)
 
+# What a vector leaves out of clean text: one-letter and stop words, and the ending that ``stem`` drops (no suffix ends with
+# another, and the leftmost match is the longest). Then neighbours of one stem become one.
+CUT = rf"\b(?:[a-z0-9]|{'|'.join(STOP_WORDS)})\b|(?<=[a-z0-9]{{3}})(?:{'|'.join(SUFFIXES)}|(?<!s)s)\b"
+SAME_NEXT, SAME_AGAIN = (r"'([a-z0-9]+)':([0-9]+) (?='\1':)", "'$1':$2,"), (",'[a-z0-9]+':", ",")
+
 
 def stem(word: Column) -> Column:
     """Drop the first fitting suffix that leaves more than two letters, else a plural s."""
@@ -77,12 +82,11 @@ def rank(text: Column, query: Column) -> Column:
 
 def to_tsvector(text: Column) -> Column:
     """'stem':positions, by stem; stop words and one-letter words have none."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    placed = F.transform(words(text), lambda w, i: F.struct(stem(w).alias("s"), (i + 1).alias("p"), w.alias("w")))
-    placed = F.filter(placed, lambda x: (F.length(x["w"]) > 1) & ~F.array_contains(stop, x["w"]))
-    names = F.array_sort(F.array_distinct(F.transform(placed, lambda x: x["s"])))
-    parts = F.transform(names, lambda n: F.concat(F.lit("'"), n, F.lit("':"), F.array_join(F.transform(F.filter(placed, lambda x: x["s"] == n), lambda x: x["p"].cast("string")), ",")))
-    return F.array_join(parts, " ")
+    clean = F.regexp_replace(F.trim(F.regexp_replace(F.lower(text), r"[\s]+", " ")), "[^a-z0-9 ]", "")
+    placed = F.transform(F.split(F.regexp_replace(clean, CUT, ""), " "), lambda s, i: F.struct(s.alias("s"), (i + 1).alias("p")))
+    placed = F.sort_array(F.filter(placed, lambda x: x["s"] != ""))
+    each = F.array_join(F.transform(placed, lambda x: F.concat(F.lit("'"), x["s"], F.lit("':"), x["p"].cast("string"))), " ")
+    return F.regexp_replace(F.regexp_replace(each, *SAME_NEXT), *SAME_AGAIN)
 
 
 def to_tsquery(query: Column, plain: bool = False) -> Column:

@@ -1,6 +1,7 @@
 """Facts of functions, text search, partitioning and changes of tables on small literal rows."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -64,6 +65,19 @@ def test_headline_takes_only_stretches_apart(spark):
     assert not re.search(r"split\(trim\(regexp_replace\((?!lower)", text._jdf.queryExecution().optimizedPlan().toString())
 
 
+def test_vector_of_a_long_text(spark):
+    """Work grows with the words, not with words times stems."""
+    vector = lambda t: one(spark, text_search.to_tsvector(F.lit(t)))[0]
+    assert vector("Does \u2014 the pious x ness runs, RUN-NING lessing less kisses able") == "'able':12 'doe':1 'kiss':11 'less':9,10 'ness':6 'piou':4 'run':7 'runn':8"
+    assert vector("the a \n") == vector("") == "" and vector(None) is None
+    n = 30_000
+    long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("W"), (i % (n // 2)).cast("string"))), " ").alias("t"))
+    began = time.perf_counter()
+    got = long.select(text_search.to_tsvector("t")).first()[0].split(" ")
+    assert time.perf_counter() - began < 20
+    assert got == [f"'w{i}':{i + 1},{i + 1 + n // 2}" for i in sorted(range(n // 2), key=str)]
+
+
 def test_porter_and_queries():
     assert [analyzer.porter(w) for w in ("caresses", "ponies", "cats", "hopping", "agreed", "relational", "happy", "fox")] == ["caress", "poni", "cat", "hop", "agre", "relat", "happi", "fox"]
     assert analyzer.analyze("The quick fox, a dog!") == [("quick", 1), ("fox", 2), ("dog", 3)]
